@@ -47,9 +47,7 @@ class ByteTokenizer:
     """
 
     def __init__(self, path: str, max_chunks: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         self.max_chunks, self.cache = max_chunks, {}
         self.fast = self._ranks(path)
 
@@ -69,7 +67,11 @@ class ByteTokenizer:
         return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         got = np.asarray(self.fast.encode_ordinary(chunk), "<u4").tobytes() if self.fast else self.plain(chunk)
