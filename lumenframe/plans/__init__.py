@@ -1 +1 @@
-
+"""Named queries over the stored tables, each with an independent SQL form."""

@@ -1 +1 @@
-
+"""Structured Streaming twins of the long-lived operators."""
