@@ -1,3 +1,210 @@
-"""Stub."""
+"""Text, semantics, ingest and consistency."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe import schemas
+from lumenframe.functions import text as T
+from lumenframe.operators import health, ingest, stats
+
+from .registry import registrar
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+query = registrar(QUERIES, ORACLES)
+
+
+@query(
+    "WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM benchmark WHERE item_id = 0), "
+    "d AS (SELECT doc_id, 0.4 * len(list_intersect(t, [lower(lang), lower(source)])) + 0.3 * len(list_intersect(t, list_distinct(string_split_regex(lower(text), '\\s+')))) AS score FROM documents, q), "
+    "r AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM d WHERE score >= 0.5) SELECT doc_id, round(score::DOUBLE, 6) AS score, rank FROM r WHERE rank <= 50"
+)
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents")
+    q = schemas.table(spark, sf_dir, "benchmark").where("item_id = 0").select(T.terms(F.col("text")).alias("t"))  # one row
+    none = F.array().cast("array<string>")
+    scored = d.crossJoin(F.broadcast(q)).select("doc_id", T.semantic_score(F.col("t"), F.array("lang", "source"), none, F.col("text"), F.lit("")).alias("score"))
+    order = (F.desc(F.round("score", 6)), F.asc("doc_id"))
+    best = scored.where("score >= 0.5").orderBy(*order).limit(50)
+    return best.select("doc_id", F.round("score", 6).alias("score"), F.row_number().over(ingest.Window.orderBy(*order)).cast("long").alias("rank"))
+
+
+_LANGUAGE = "CASE WHEN text IS NULL OR trim(text) = '' THEN 'en' WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[\\x{3040}-\\x{30ff}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{ac00}-\\x{d7af}]') THEN 'ko' WHEN regexp_matches(text, '[\\x{0e00}-\\x{0e7f}]') THEN 'th' WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'vi' ELSE 'en' END"
+
+
+@query(f"SELECT 'd' || doc_id AS id, {_LANGUAGE} AS language FROM documents UNION ALL SELECT 'c' || conv_id || '.' || turn, {_LANGUAGE} FROM conversations")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), T.detect_language(F.col("text")).alias("language"))
+    c = schemas.table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), T.detect_language(F.col("text")).alias("language"))
+    return d.unionByName(c)
+
+
+#: Phrases that occur in the test conversations, to exercise the ordered replacement.
+_PHRASES = [("the", "THE"), ("then", "never reached"), ("de la", "of-the"), ("de", "OF"), ("er", "ER")]
+_REPLACED = "text"
+for _a, _b in _PHRASES:
+    _REPLACED = f"replace({_REPLACED}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT conv_id, turn, md5({_REPLACED}) AS translated FROM conversations")
+def dictionary_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = schemas.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.md5(T.translate_dictionary(F.col("text"), _PHRASES)).alias("translated"))
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, text, {_LANGUAGE} AS language FROM documents) SELECT doc_id, language, CASE WHEN trim(text) = '' THEN 0.0::DOUBLE WHEN language = 'vi' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS confidence FROM s"
+)
+def structured_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents").select("doc_id", T.structured_query(F.col("text"), T.VIETNAMESE).alias("q"))
+    return d.select("doc_id", F.col("q.language").alias("language"), F.col("q.confidence").alias("confidence"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, len(w) AS n_tokens, len(regexp_extract_all(text, '[0-9]+')) AS n_numbers, "
+    "len(list_filter(w, lambda x: regexp_full_match(x, '[A-Za-z]'))) AS n_letters, len(regexp_extract_all(text, '[!-/:-@\\[-`{-~]')) AS n_punctuation FROM t"
+)
+def tokens_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.table(spark, sf_dir, "documents").select("doc_id", T.token_features(F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+@query(
+    "WITH c AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b FROM conversations GROUP BY 1), "
+    "x AS (SELECT conv_id, a, b FROM c WHERE a IS NOT NULL AND b IS NOT NULL) "
+    "SELECT conv_id, 'f1' AS name, md5(CASE WHEN trim(a) = '' THEN 'Analysis of f1' ELSE trim(a) END) AS block FROM x UNION ALL SELECT conv_id, 'f2', md5(CASE WHEN trim(b) = '' THEN 'Analysis of f2' ELSE trim(b) END) FROM x UNION ALL SELECT conv_id, 'f3', md5('Analysis of f3') FROM x"
+)
+def label_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = schemas.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
+    answer = F.concat(F.lit("[f1]: "), "a", F.lit(" Frame F2: "), "b")
+    names = F.array(F.lit("f1"), F.lit("f2"), F.lit("f3"))
+    x = c.where("a is not null and b is not null").select("conv_id", answer.alias("text"), names.alias("names"), F.explode(names).alias("name"))
+    return x.select("conv_id", "name", F.md5(T.label_block(F.col("text"), F.col("name"), F.col("names"), F.concat(F.lit("Analysis of "), "name"))).alias("block"))
+
+
+@query("SELECT page_id, coalesce(try_cast(regexp_extract(url, '([0-9]+)[^0-9]*$', 1) AS BIGINT), -1) AS frame_id FROM pages")
+def frame_id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.table(spark, sf_dir, "pages").select("page_id", T.frame_id(F.col("url")).alias("frame_id"))
+
+
+@query(
+    "WITH s AS (SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '') AS l FROM pages) SELECT page_id, CASE WHEN list_position(l, 'en') > 0 THEN array_to_string(l[list_position(l, 'en'):], '/') WHEN len(l) >= 2 THEN 'en/' || l[-2] || '/' || l[-1] ELSE l[-1] END AS path FROM s"
+)
+def path_relativize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.table(spark, sf_dir, "pages").select("page_id", T.relative_path(F.col("url"), "en").alias("path"))
+
+
+@query("SELECT doc_id, substr(md5(text), 1, 12) AS short_id, substr(sha256(text), 1, 16) AS content_id FROM documents")
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.table(spark, sf_dir, "documents").select("doc_id", T.short_id(F.col("text")).alias("short_id"), T.content_id(F.col("text")).alias("content_id"))
+
+
+@query("SELECT doc_id, lang || ',' || source || ',new' AS tags FROM documents")
+def tag_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(T.update_tags(F.array("lang", "source"), F.array(F.col("lang"), F.lit(" "), F.lit("new"))), ",").alias("tags"))
+
+
+@query("SELECT doc_id, md5(substr(trim(text), 1, 1000)) AS cleaned FROM documents WHERE trim(text) <> ''")
+def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents").withColumn("c", T.clean(F.col("text")))
+    return d.where("c is not null").select("doc_id", F.md5("c").alias("cleaned"))
+
+
+# --- ingest
+
+_INVENTORIES = (
+    "cur AS (SELECT doc_id AS path, md5(text) AS hash FROM documents), old AS (SELECT path, CASE WHEN path % 11 = 0 THEN hash || 'x' ELSE hash END AS hash FROM cur WHERE path % 7 <> 0 UNION ALL SELECT path + 1000000, hash FROM cur WHERE path % 13 = 0), "
+    "ch AS (SELECT coalesce(cur.path, old.path) AS path, CASE WHEN old.path IS NULL THEN 'new' WHEN cur.path IS NULL THEN 'deleted' WHEN cur.hash <> old.hash THEN 'modified' ELSE 'unchanged' END AS change FROM cur FULL OUTER JOIN old ON cur.path = old.path)"
+)
+
+
+@query(f"WITH {_INVENTORIES} SELECT path, change FROM ch")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.detect_changes(*schemas.inventories(spark, sf_dir))
+
+
+@query(
+    f"WITH {_INVENTORIES}, n AS (SELECT count(*) FILTER (WHERE change = 'new') AS n_new, count(*) FILTER (WHERE change = 'modified') AS n_modified, count(*) FILTER (WHERE change = 'deleted') AS n_deleted, count(*) FILTER (WHERE change = 'unchanged') AS n_unchanged FROM ch), "
+    "r AS (SELECT *, (n_new + n_modified) / (n_new + n_modified + n_unchanged)::DOUBLE AS x FROM n) SELECT n_new, n_modified, n_deleted, n_unchanged, round(x, 6) AS ratio, CASE WHEN x > 0.1 THEN 'rebuild' ELSE 'incremental' END AS decision FROM r"
+)
+def change_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.change_ratio(ingest.detect_changes(*schemas.inventories(spark, sf_dir)))
+
+
+@query(f"WITH {_INVENTORIES} SELECT path, hash FROM cur WHERE hash NOT IN (SELECT hash FROM old)")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current, stored = schemas.inventories(spark, sf_dir)
+    return ingest.pending(current, stored).select("path", "hash")
+
+
+@query(f"WITH {_INVENTORIES} SELECT cur.path, cur.hash FROM cur JOIN ch USING (path) WHERE change <> 'deleted'")
+def incremental_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current, stored = schemas.inventories(spark, sf_dir)
+    return ingest.apply_changes(stored, ingest.detect_changes(current, stored), current).select("path", "hash")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("folder"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.col("lang").alias("extension"), F.col("n_chars").alias("bytes"))
+
+
+@query("SELECT source AS folder, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, sum(count(*)) OVER ()::BIGINT AS all_files, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY 1")
+def folder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.folder_stats(_files(spark, sf_dir))
+
+
+@query(
+    "WITH d AS (SELECT source AS folder, lpad(doc_id::VARCHAR, 9, '0') AS name, lang FROM documents), f AS (SELECT DISTINCT folder FROM d ORDER BY 1 LIMIT 3), n AS (SELECT folder, name, row_number() OVER (PARTITION BY folder ORDER BY name) AS k FROM d WHERE folder IN (SELECT folder FROM f)) "
+    "SELECT (SELECT count(DISTINCT folder) FROM d) AS folders, (SELECT count(*) FROM d) AS files, (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM d)) AS extensions, (SELECT string_agg(folder || '/' || name, ',' ORDER BY folder, name) FROM n WHERE k <= 5) AS samples"
+)
+def structure_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.structure_profile(_files(spark, sf_dir))
+
+
+_CONSISTENCY = (
+    "WITH b AS (SELECT d.doc_id AS i, l.doc_id AS m, l.quality = 1 AS ok FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id), "
+    "c AS (SELECT count(i) AS index_rows, count(m) AS metadata_rows, count(*) FILTER (WHERE m IS NULL) AS missing_metadata, count(*) FILTER (WHERE i IS NULL) AS orphan_metadata, count(*) FILTER (WHERE m IS NOT NULL AND NOT ok) AS invalid_rows FROM b) "
+)
+
+
+@query(
+    _CONSISTENCY + "SELECT *, missing_metadata = 0 AND orphan_metadata = 0 AND invalid_rows = 0 AS consistent, CASE WHEN missing_metadata = 0 AND orphan_metadata = 0 AND invalid_rows = 0 THEN 'none' WHEN missing_metadata + orphan_metadata > 0 THEN 'rebuild' ELSE 'repair' END AS recommendation FROM c"
+)
+def consistency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, labels = (schemas.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return health.consistency(d.select("doc_id"), labels, "doc_id", F.col("quality") == 1)
+
+
+@query(
+    "WITH k AS (SELECT 'index' AS component, count(*) > 0 AS ok, 'missing rows' AS issue FROM documents UNION ALL SELECT 'index', min(n_chars) > 0, 'empty text' FROM documents UNION ALL SELECT 'labels', min(quality) = 1, 'invalid rows' FROM labels UNION ALL SELECT 'labels', count(*) >= 10, 'missing labels' FROM labels) "
+    "SELECT bool_and(ok) AS healthy, coalesce(string_agg(component || ': ' || issue, '; ' ORDER BY component || ': ' || issue) FILTER (WHERE NOT ok), '') AS issues, round(avg(ok::INT::DOUBLE), 6) AS health_rate, "
+    "CASE WHEN coalesce(string_agg(issue, ';') FILTER (WHERE NOT ok), '') LIKE '%missing%' THEN 'rebuild' WHEN coalesce(string_agg(issue, ';') FILTER (WHERE NOT ok), '') LIKE '%invalid%' THEN 'repair' WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'inspect' ELSE 'none' END AS recovery FROM k"
+)
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, labels = (schemas.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    checks = health.gates(d, {"rows": (F.count("*") > 0, "missing rows"), "text": (F.min("n_chars") > 0, "empty text")}, "index")
+    checks = checks.unionByName(health.gates(labels, {"quality": (F.min("quality") == 1, "invalid rows"), "size": (F.count("*") >= 10, "missing labels")}, "labels"))
+    return health.rollup(checks)
+
+
+@query("SELECT round(count(*) FILTER (WHERE l.doc_id IS NOT NULL) / count(*), 6) AS present, count(*) FILTER (WHERE l.doc_id IS NOT NULL) / count(*) >= 0.8 AS compatible FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def structure_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, labels = (schemas.table(spark, sf_dir, t).select(F.col("doc_id").alias("folder")) for t in ("documents", "labels"))
+    return health.compatible_structure(d, labels)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 3 <> 0) AS found, round(avg((page_id % 3 <> 0)::INT), 6) AS rate FROM pages")
+def path_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = schemas.table(spark, sf_dir, "pages").select(F.concat(F.lit("/old/keyframes/v/"), "page_id", F.lit(".jpg")).alias("path"))
+    there = schemas.table(spark, sf_dir, "pages").where("page_id % 3 <> 0").select(F.concat(F.lit("/new/keyframes/v/"), "page_id", F.lit(".jpg")).alias("path"))
+    return ingest.resolution_report(ingest.resolve_paths(wanted, there, ["/gone", "/new"]))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(turn || ':' || role, ' ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 10 GROUP BY 1")
+def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = ingest.Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    c = schemas.table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(w)).where("k <= 10")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: F.concat_ws(":", s["turn"], s["role"]))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(turns, " ").alias("context"))

@@ -28,7 +28,7 @@ def pair_timers(starts: DataFrame, stops: DataFrame, longest: str = "1 hour", la
     if late:
         a, b = a.withWatermark("start_ts", late), b.withWatermark("stop_ts", late)
     ok = (F.col("timer_id") == F.col("stop_id")) & (F.col("stop_ts") >= F.col("start_ts")) & (F.col("stop_ts") <= F.col("start_ts") + F.expr(f"interval {longest}"))
-    return a.join(b, ok).select("timer_id", (F.col("stop_ts").cast("double") - F.col("start_ts").cast("double")).alias("duration"))
+    return a.join(b, ok).select("timer_id", ((F.unix_micros("stop_ts") - F.unix_micros("start_ts")) / 1e6).alias("duration"))
 
 
 def registry_updates(announcements: DataFrame) -> DataFrame:
