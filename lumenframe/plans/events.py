@@ -120,13 +120,13 @@ def event_windows_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT event_id AS timer_id, ts FROM events WHERE event_id % 2 = 0), e AS (SELECT event_id - 1 AS timer_id, ts FROM events WHERE event_id % 2 = 1) SELECT timer_id, round((epoch_us(e.ts) - epoch_us(s.ts)) / 1e6, 4) AS duration FROM s JOIN e USING (timer_id) WHERE e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR"
+    "WITH s AS (SELECT event_id AS timer_id, ts FROM events WHERE event_id % 2 = 0), e AS (SELECT event_id - 1 AS timer_id, ts FROM events WHERE event_id % 2 = 1) SELECT timer_id, epoch_us(e.ts) - epoch_us(s.ts) AS duration_us FROM s JOIN e USING (timer_id) WHERE e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR"
 )
 def timer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = schemas.performance(spark, sf_dir)
     starts = e.where("event_id % 2 = 0").select(F.col("event_id").alias("timer_id"), "ts")
     stops = e.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("timer_id"), "ts")
-    return windows.pair_timers(starts, stops).select("timer_id", F.round("duration", 4).alias("duration"))
+    return windows.pair_timers(starts, stops).select("timer_id", F.round(F.col("duration") * 1e6).cast("long").alias("duration_us"))
 
 
 @query("SELECT count(*) AS requests, count(*) FILTER (WHERE value < 100) AS hits, round(count(*) FILTER (WHERE value < 100) / count(*), 3) AS hit_rate, count(*) > 100 AND count(*) FILTER (WHERE value < 100) / count(*) < 0.1 AS low_hit_rate FROM events")

@@ -59,9 +59,9 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     numbered = raw.withColumn("row", F.row_number().over(Window.orderBy("__row")))  # one file of at most 50 MB
     key = F.trim(f"c{image}")
     number = key.try_cast("double")
-    name = F.when(number.isNotNull() & ~F.isnan(number), F.lpad(number.cast("long").cast("string"), 3, "0")).otherwise(F.when(F.lower(key) != "nan", key))
+    name = F.when(number.isNotNull() & ~F.isnan(number), F.lpad(number.try_cast("long").cast("string"), 3, "0")).otherwise(F.when(F.lower(key) != "nan", key))
     value = F.trim(f"c{frame}").try_cast("double")
     frame_id = F.when(value.isNull() | F.isnan(value) | (value < 0), F.col("row")).otherwise(value).cast("long")
     # long numbers keep all their digits: padding never cuts
-    name = F.when(F.length(F.coalesce(number.cast("long").cast("string"), F.lit(""))) > 3, number.cast("long").cast("string")).otherwise(name)
+    name = F.when(F.length(F.coalesce(number.try_cast("long").cast("string"), F.lit(""))) > 3, number.try_cast("long").cast("string")).otherwise(name)
     return numbered.select(name.alias("image"), frame_id.alias("frame_id"), "row").where("image is not null and image <> ''").groupBy("image").agg(F.max_by("frame_id", "row").alias("frame_id"))
