@@ -53,3 +53,15 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+
+
+def plain(docs: DataFrame, *wanted: str) -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
+    """``docs`` with neutral column names, those of ``wanted``, and all names, so that extra columns can't clash."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), tuple(names[w] for w in wanted), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.col(v).alias(k) for k, v in names.items()])

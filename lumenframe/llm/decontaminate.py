@@ -20,6 +20,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _util
+
 #: ASCII upper case becomes lower case; other ASCII than letters and digits separates words; the rest stays.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256)
@@ -185,10 +187,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; columns kept."""
-    found = decontaminate(docs, benchmark, carry=True, **options)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    work, (own_id, own_text), names = _util.plain(docs, id_col, text_col)
+    found = decontaminate(work, benchmark, id_col=own_id, text_col=own_text, carry=True, **options)
+    return _util.restored(found.where(F.size("hits") == 0), names)
 
 
 def brute(docs: list[tuple], items: list[tuple], window: int = 10) -> dict:

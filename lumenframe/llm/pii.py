@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialise
+from ._util import materialise, plain, restored
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -171,6 +171,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every span replaced by ``<KIND>``; overlapping spans become one, named after the first."""
+    docs, (id_col, text_col), names = plain(docs, id_col, text_col)
     found = find_pii(docs, id_col=id_col, text_col=text_col, keep=True, **options)
     spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
@@ -184,9 +185,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
 
     cut = F.aggregate("__spans", empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.length(text_col))))
     done = found.withColumn("__spans", spans).withColumn(text_col, F.when(F.size("__spans") > 0, cut).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    if n_chars := names.get("n_chars"):
+        done = done.withColumn(n_chars, F.when(F.size("__spans") > 0, F.length(text_col).cast("long")).otherwise(F.col(n_chars)))
+    return restored(done, names)
 
 
 def brute_base(text: str | None) -> list[tuple[int, int, str]]:

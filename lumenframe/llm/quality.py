@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _util
+
 DIMENSIONS = 1 << 18
 #: Dense features: shape of the text, on top of the hashed words.
 DENSE = 6
@@ -206,8 +208,6 @@ def score(
 
 def select(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are kept; columns as they were."""
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that extra columns can't clash
-    plain = docs.toDF(*names.values())
-    id_col, text_col = (names[options.pop(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text")))
-    kept = score(plain, labels, id_col=id_col, text_col=text_col, carry=True, **options).where("keep")
-    return kept.select(*[F.col(v).alias(k) for k, v in names.items()])
+    work, (own_id, own_text), names = _util.plain(docs, options.pop("id_col", "doc_id"), options.pop("text_col", "text"))
+    kept = score(work, labels, id_col=own_id, text_col=own_text, carry=True, **options).where("keep")
+    return _util.restored(kept, names)

@@ -128,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col="page_id", url_col="
             for page_id, url, html, digest, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(listed):04d}.warc.zst"
-                    out = files.open_output_stream(f"{root}/{path}")
+                    out = files.open_output_stream(f"{root}/{path}", compression=None)
                     head = skippable(dictionary)
                     out.write(head)
                     n, size = 0, len(head)
@@ -186,7 +186,7 @@ def read_archives(listed: DataFrame, with_payload: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 files, at = _filesystem(path)
                 rows, held = [], 0
-                with files.open_input_stream(at) as stream:
+                with files.open_input_stream(at, compression=None) as stream:
                     for f, body in read_frames(stream):
                         if f["WARC-Type"] == "response" and hashlib.sha256(body).hexdigest() != f["WARC-Payload-Digest"][7:]:
                             raise ValueError(f"a payload of {path} does not have its digest")
