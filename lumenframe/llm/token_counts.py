@@ -43,13 +43,14 @@ def load_scores(path: str) -> dict[bytes, float]:
 class CountTrie:
     """Trie of pre-tokens with forward scores; emptied when it holds ``max_nodes``."""
 
-    def __init__(self, scores: dict[bytes, float], max_nodes: int = 400_000):
+    def __init__(self, scores: dict[bytes, float], max_nodes: int = 600_000):
         self.scores, self.max_nodes = scores, max_nodes
         self.longest = max(map(len, scores))
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, int], int] = {}
+        #: node * 256 + byte -> node
+        self.child: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
         self.terminal: dict[int, int] = {}
 
@@ -57,38 +58,45 @@ class CountTrie:
         """Token count of ``word``; scores only the nodes that are new."""
         if len(self.best) > self.max_nodes:
             self.clear()
-        child, best, tokens, scores, longest = self.child, self.best, self.tokens, self.scores, self.longest
+        child, best, tokens, longest = self.child, self.best, self.tokens, self.longest
+        score = self.scores.get
         path, node = [0], 0
         for i, b in enumerate(word):
-            nxt = child.get((node, b))
+            nxt = child.get(node << 8 | b)
             if nxt is None:
-                nxt = len(best)
-                child[node, b] = nxt
+                end = i + 1
                 top, count = -math.inf, 0
-                for start in range(max(0, i + 1 - longest), i + 1):
-                    s = scores.get(word[start : i + 1])
-                    if s is not None and (s := s + best[path[start]]) > top:
-                        top, count = s, tokens[path[start]] + 1
+                for start in range(end - longest if end > longest else 0, end):
+                    s = score(word[start:end])
+                    if s is not None:
+                        s += best[path[start]]
+                        if s > top:
+                            top, count = s, tokens[path[start]] + 1
+                nxt = child[node << 8 | b] = len(best)
                 best.append(top)
                 tokens.append(count)
             node = nxt
             path.append(node)
-        self.terminal[node] = tokens[node]
-        return tokens[node]
+        if node not in self.terminal:
+            self.terminal[node] = tokens[node]
+        return self.terminal[node]
 
 
 class Counter(dict):
-    """Chunk -> (pre-tokens, tokens); a bounded cache over the trie."""
+    """Chunk after a space -> pre-tokens * 2^32 + tokens; a bounded cache over the trie."""
 
-    def __init__(self, scores: dict[bytes, float], max_chunks: int = 300_000):
+    def __init__(self, scores: dict[bytes, float], max_chunks: int = 500_000):
         super().__init__()
         self.trie, self.max_chunks = CountTrie(scores), max_chunks
 
-    def __missing__(self, chunk: str) -> tuple[int, int]:
+    def _count(self, chunk: str) -> int:
+        pre = _PRETOKEN.findall(chunk)
+        return (len(pre) << 32) + sum(self.trie.insert(p.encode()) for p in pre)
+
+    def __missing__(self, chunk: str) -> int:
         if len(self) >= self.max_chunks:
             self.clear()
-        pre = _PRETOKEN.findall(chunk)
-        out = (len(pre), sum(self.trie.insert(p.encode()) for p in pre))
+        out = self._count(" " + chunk)
         if len(chunk) <= 64:
             self[chunk] = out
         return out
@@ -97,11 +105,7 @@ class Counter(dict):
         if not text:
             return 0, 0
         first, *rest = text.split(" ")
-        a, b = self[first]
-        for x, y in map(self.__getitem__, map(" ".__add__, rest)):
-            a += x
-            b += y
-        return a, b
+        return divmod(self._count(first) + sum(map(self.__getitem__, rest)), 1 << 32)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
