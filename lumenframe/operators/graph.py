@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the cluster's checkpoint folder and read back, so that no round depends on executors' memory."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lumenframe.storage import stored
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``id, root`` with the least id reachable: minimum of the neighbours' labels, then pointer jumping."""
-    both = _stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = _stored(nodes.select(F.col("id"), F.col("id").alias("root")))
+    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = stored(nodes.select(F.col("id"), F.col("id").alias("root")))
     for _ in range(max_rounds):
         told = both.join(labels, both.dst == labels.id).groupBy("src").agg(F.min("root").alias("low"))
         near = labels.join(told, labels.id == told.src, "left").select("id", F.least("root", F.coalesce("low", "root")).alias("mid"), F.col("root").alias("old"))
         jump = near.select(F.col("id").alias("jid"), F.col("mid").alias("jroot"))
-        new = _stored(near.join(jump, near.mid == jump.jid).select("id", F.least("mid", "jroot").alias("root"), "old"))
+        new = stored(near.join(jump, near.mid == jump.jid).select("id", F.least("mid", "jroot").alias("root"), "old"))
         if new.where("root <> old").isEmpty():
             return new.select("id", "root")
         labels = new.select("id", "root")
