@@ -21,8 +21,8 @@ columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections import defaultdict
 from functools import lru_cache
 
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from . import _util
 
 _SPECIAL = "<|endoftext|>"
-#: A space inside a run of white space: cutting there could part a pre-token.
-_UNSAFE = re.compile(r"  |\s \s")
+
+
+class _Blanks(Exception):
+    """A space before another blank: cutting there could part a pre-token."""
 
 
 class ByteTokenizer:
@@ -43,10 +45,10 @@ class ByteTokenizer:
 
     A space that follows a non-blank always starts a pre-token, so text is cut
     at spaces and the ids of a chunk are cached (the cache is bounded); texts
-    with other runs of blanks or special strings take the plain way.
+    with a space before another blank, or special strings, are encoded whole.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000):
+    def __init__(self, path: str, max_chunks: int = 800_000):
         self.path, self.slow = path, None
         self.max_chunks, self.cache = max_chunks, {}
         self.fast = self._ranks(path)
@@ -73,22 +75,29 @@ class ByteTokenizer:
             self.slow = Tokenizer.from_file(self.path)
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        got = np.asarray(self.fast.encode_ordinary(chunk), "<u4").tobytes() if self.fast else self.plain(chunk)
+    def _fast(self, text: str) -> bytes:
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
+
+    def _miss(self, chunk: str) -> bytes:
+        """Ids of a space and the chunk after it."""
+        if not chunk or chunk[0].isspace():
+            raise _Blanks
+        got = self._fast(" " + chunk)
         if len(chunk) <= 64:
+            if len(self.cache) >= self.max_chunks:
+                self.cache.clear()
             self.cache[chunk] = got
         return got
 
     def encode(self, text: str) -> bytes:
         if _SPECIAL in text or self.fast is None:
             return self.plain(text)
-        if _UNSAFE.search(text):
-            return np.asarray(self.fast.encode_ordinary(text), "<u4").tobytes()
-        if len(self.cache) > self.max_chunks:
-            self.cache.clear()
         first, *rest = text.split(" ")
-        get, chunk = self.cache.get, self._chunk
-        return b"".join([get(c) or chunk(c) for c in (first, *map(" ".__add__, rest)) if c])
+        get, miss = self.cache.get, self._miss
+        try:
+            return self._fast(first) + b"".join([get(c) or miss(c) for c in rest])
+        except _Blanks:
+            return self._fast(text)
 
 
 @lru_cache(maxsize=1)
