@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BASE, LEAF = 1.5, 64
+BASE, LEAF, SMALL = 1.5, 64, 16
 
 
 class Node:
@@ -52,16 +52,25 @@ def build(x: np.ndarray, points: np.ndarray | None = None, radius: float | None
     if len(points) <= LEAF or cover == 0.0 or depth > 60:
         return Node(centre, cover, points, [])
     limit = cover / BASE
-    left, children, singles = np.arange(len(points)), [], []
+    left, children, small = np.arange(len(points)), [], []
+    square = (own * own).sum(axis=1)
     while len(left):
-        # the next centre is the first point that no child covers; it takes all points within the limit
-        near = ((own[left] - own[left[0]]) ** 2).sum(axis=1) <= limit * limit
-        group = points[left[near]]
-        (singles if len(group) == 1 else children).append(group)
-        left = left[~near]
+        # the next centre is the first point that no child covers; it takes all points within the limit.
+        # distances of the next 256 possible centres come from one matrix product
+        head = left[:256]
+        apart = square[head][:, None] + square[left][None, :] - 2.0 * (own[head] @ own[left].T)
+        free = np.ones(len(left), bool)
+        for r in range(len(head)):
+            if free[r]:
+                near = free & (apart[r] <= limit * limit)
+                near[r] = True
+                free[near] = False
+                group = points[left[near]]
+                (small if len(group) < SMALL else children).append(group)
+        left = left[free]
     nodes = [build(x, g, limit, depth + 1) for g in children]
-    if singles:  # points that only cover themselves make one leaf around this centre
-        lone = np.concatenate(singles)
+    if small:  # points that cover few others make one leaf around this centre
+        lone = np.concatenate(small)
         nodes.append(Node(centre, float(np.sqrt(((x[lone] - centre) ** 2).sum(axis=1)).max()), lone, []))
     return Node(centre, cover, points, nodes)
 
@@ -86,9 +95,10 @@ def search(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_i
                 s = queries[q.points] @ cands[block].T
             else:
                 s = queries[q.points].astype(object) @ cands[block].T.astype(object)
-            for i, row in enumerate(q.points):
-                line = s[i]
-                ok = np.flatnonzero((line >= worst[row]) & (cand_ids[block] != query_ids[row]))
+            hit = np.asarray(s >= worst[q.points][:, None], bool)
+            for i in np.flatnonzero(hit.any(axis=1)):
+                row, line = q.points[i], s[i]
+                ok = np.flatnonzero(hit[i] & (cand_ids[block] != query_ids[row]))
                 if len(ok) > 4 * k:  # only those at or above the kth can matter
                     kth = np.sort(line[ok])[-k] if not exact else np.partition(line[ok], len(ok) - k)[len(ok) - k]
                     ok = ok[line[ok] >= kth]
