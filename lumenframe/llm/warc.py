@@ -108,7 +108,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col="page_id", url_col="
     ``sample`` bounds the records (of at most 64 KB each) that the dictionary is built from.
     """
     spark = pages.sparkSession
-    chosen = pages.orderBy(F.xxhash64(id_col)).select(F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, 16384).alias("h")).limit(sample)
+    heads = pages.select(F.col(id_col).alias("i"), F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, 16384).alias("h"))
+    chosen = _util.least_hashed(heads, "i", sample).select("h")
     samples = [r["h"].encode() for r in chosen.toLocalIterator()]
     samples = [record(i, None, s, hashlib.sha256(s).hexdigest(), "response", None) for i, s in enumerate(samples)]
     shared = spark.sparkContext.broadcast(build_dictionary(samples))
@@ -205,7 +206,9 @@ def read_archives(listed: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes ``pages`` and returns what the archives say; the contract's columns."""
-    listed = write_archives(pages, _util.shared_dir(pages.sparkSession) + "-warc", **options)
+    folder = _util.shared_path(pages.sparkSession) + "-warc"
+    listed = write_archives(pages, folder, **options)
+    _util.delete_at_exit(pages.sparkSession, folder)
     return read_archives(listed, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
