@@ -106,21 +106,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, min_share: float = 0.
         top = int(present[0]) if len(present) else GRADES - 1
         cut = np.where(np.arange(GRADES - 1) < top, -40.0, 40.0)
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(DENSE), cut)
-    indices = np.concatenate([b for b, _, _ in rows])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b, _, _ in rows])
-    support = np.bincount(indices, minlength=DIMENSIONS)
+    # counts of buckets by grade, from a few hundred rows at a time: the rows are never concatenated whole
     n = len(rows)
+    by_grade = np.zeros((GRADES, DIMENSIONS), np.int64)
+    for at in range(0, n, 256):
+        for g in present:
+            if some := [b for b, _, h in rows[at : at + 256] if h == g]:
+                by_grade[g] += np.bincount(np.concatenate(some), minlength=DIMENSIONS)
+    support = by_grade.sum(axis=0)
     chi2 = np.zeros(DIMENSIONS)
     for g in present:
         expected = support * (grades == g).mean()
-        seen = np.bincount(indices[(grades == g)[owner]], minlength=DIMENSIONS)
-        chi2 += np.divide((seen - expected) ** 2, expected, out=np.zeros(DIMENSIONS), where=expected > 0)
-    low = np.bincount(indices, grades[owner], DIMENSIONS) < support * grades.mean()
+        chi2 += np.divide((by_grade[g] - expected) ** 2, expected, out=np.zeros(DIMENSIONS), where=expected > 0)
+    low = np.arange(GRADES) @ by_grade < support * grades.mean()
     used = np.flatnonzero((support >= max(4, min_share * n)) & (chi2 >= least_chi2) & low)
     column = np.full(DIMENSIONS, -1)
     column[used] = np.arange(len(used))
-    ok = column[indices] >= 0
-    col, own = column[indices[ok]], owner[ok]
+    held = [c[c >= 0] for c in (column[b] for b, _, _ in rows)]
+    col, own = np.concatenate(held), np.repeat(np.arange(n), [len(c) for c in held])
     x = np.stack([d for _, d, _ in rows])
     weight = np.bincount(grades, minlength=GRADES)[grades] ** -balance
     weight /= weight.sum()
@@ -154,7 +157,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     known = labels.select(F.col("doc_id").alias("label_id"), grade.alias("grade")).where("label_id is not null and grade is not null")
     known = known.groupBy("label_id").agg(F.min("grade").alias("grade"))
     # bounded by `sample` rows of two numbers, hence safe to broadcast
-    known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    known = _util.least_hashed(known, "label_id", sample)
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id"))
     schema = "id {k}, grade int, buckets array<int>, dense array<double>".format(k=dict(docs.dtypes)[id_col])
 
