@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,13 +165,113 @@ def similar_frames(graph: DataFrame, frame_id: int, limit: int = 10) -> DataFram
     return graph.where(F.col("src") == frame_id).orderBy("rank").limit(limit)
 
 
-def lsh_topk(frames: DataFrame, query: list[float], k: int, *, bits: int = 64, candidates: int = 200, seed: int = 7) -> DataFrame:
-    """Approximate search: the nearest codes by Hamming distance, scored exactly."""
-    planes = np.random.default_rng(seed).standard_normal((bits, len(query)))
-    code = int(sum(1 << i for i in range(bits) if float(planes[i] @ np.asarray(query)) > 0))
-    code = code - (1 << 64) if code >> 63 else code
-    coded = frames.withColumn("__d", V.hamming(V.hyperplane_code("v", planes.tolist()), F.lit(code).cast("long")))
-    return topk(coded.orderBy("__d", "frame_id").limit(candidates), query, k)
+def lsh_topk(frames: DataFrame, query: list[float], k: int, *, bits: int = 64, candidates: int = 200, recall: float = 0.95, seed: int = 7) -> DataFrame:
+    """``lsh_topk_batch`` for one vector: ``folder, frame_id, score, rank``."""
+    one = frames.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, v array<double>")
+    return lsh_topk_batch(frames, one, k, bits=bits, candidates=candidates, recall=recall, seed=seed).drop("query_id")
+
+
+def lsh_topk_batch(frames: DataFrame, queries: DataFrame, k: int, *, bits: int = 64, candidates: int = 200, recall: float = 0.95, seed: int = 7, query_block: int = 4096) -> DataFrame:
+    """Approximate search by hyperplane codes: ``query_id, folder, frame_id, score, rank``.
+
+    A first pass scores the ``candidates`` nearest codes of every batch; the
+    kth score it finds is at most the true one, so its angle ``t`` is at least
+    that of every true neighbour.  The Hamming distance of two vectors at the
+    angle ``t`` is binomial (``bits``, t / pi), so the distance that holds
+    ``recall`` of that law holds each true neighbour at least as likely, at
+    any table size.  A second pass scores all codes within it exactly.
+    Where no positive kth score bounds the angle, all rows are scored.
+    """
+    first = queries.where("v is not null").select("v").first()
+    planes = np.random.default_rng(seed).standard_normal((bits, len(first["v"]) if first else 0))
+    found = None
+    for rows in _blocks(queries, query_block):
+        ids, q = rows
+        codes = _codes(q, planes)
+
+        def nearest(m, _, codes=codes):
+            apart = _hamming(codes, m, planes)
+            if apart.shape[1] <= candidates:
+                return np.ones(apart.shape, bool)
+            return apart <= np.partition(apart, candidates - 1, axis=1)[:, candidates - 1 : candidates]
+
+        bound = _ranked(_score_kept(frames, rows, k, nearest), k).where(F.col("rank") == k).select("query_id", "score").collect()
+        kth = {r["query_id"]: r["score"] for r in bound}
+        reach = np.array([_reach(kth.get(i, -1.0), bits, recall) for i in ids.tolist()])
+
+        def within(m, _, codes=codes, reach=reach):
+            return _hamming(codes, m, planes) <= reach[:, None]
+
+        one = _score_kept(frames, rows, k, within)
+        found = one if found is None else found.unionByName(one)
+    return _ranked(found, k)
+
+
+def _reach(score: float, bits: int, recall: float) -> int:
+    """Least Hamming distance that holds ``recall`` of the codes at the angle of ``score``."""
+    if score <= 0:
+        return bits
+    p, mass = math.acos(min(1.0, score)) / math.pi, 0.0
+    for d in range(bits):
+        mass += math.comb(bits, d) * p**d * (1 - p) ** (bits - d)
+        if mass >= recall:
+            return d
+    return bits
+
+
+def _codes(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    return np.packbits(m @ planes.T > 0, axis=1)
+
+
+def _hamming(codes: np.ndarray, m: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Distances of all codes to those of the rows of ``m``; zero vectors have no angle and are near all."""
+    own = _codes(m, planes)
+    apart = np.zeros((len(codes), len(own)), np.uint16)
+    for byte in range(own.shape[1]):
+        apart += np.bitwise_count(codes[:, byte, None] ^ own[None, :, byte])
+    apart[:, ~m.any(axis=1)] = 0
+    return apart
+
+
+def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the counted query set, dealt into blocks."""
+    queries = queries.where("v is not null")
+    blocks = max(1, -(-queries.count() // size))
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = part.select("query_id", "v").toArrow()
+        yield rows.column("query_id").to_numpy(), _unit(_matrix(rows.column("v").combine_chunks()))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "frame_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _score_kept(frames: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, kept, cell: str | None = None) -> DataFrame:
+    """The k best of the rows that ``kept(unit vectors, cells)`` marks for each query, of every Arrow batch."""
+    shared = frames.sparkSession.sparkContext.broadcast(queries)
+    kinds = dict(frames.dtypes)
+
+    def score(batches: Iterator[pa.RecordBatch]):
+        ids, q = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            frame, m = batch.column(1).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(2)))
+            rows, cols, scores = [], [], []
+            for i, mark in enumerate(kept(m, batch.column(3).to_numpy() if cell else None)):
+                at = np.flatnonzero(mark)
+                s = m[at] @ q[i]
+                best = np.lexsort((frame[at], -s))[:k]
+                rows.append(np.full(len(best), i))
+                cols.append(at[best])
+                scores.append(s[best])
+            rows, take = np.concatenate(rows), pa.array(np.concatenate(cols))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(scores))], names=["query_id", "folder", "frame_id", "score"])
+
+    source = frames.select("folder", "frame_id", "v", *([cell] if cell else [])).where("v is not null")
+    return source.mapInArrow(score, f"query_id long, folder {kinds['folder']}, frame_id {kinds['frame_id']}, score double")
 
 
 def kmeans_cells(frames: DataFrame, cells: int | None = None, *, sample: int = 100_000, seed: int = 7):
@@ -189,12 +290,47 @@ def kmeans_cells(frames: DataFrame, cells: int | None = None, *, sample: int = 1
     return [c.tolist() for c in model.clusterCenters()], coded
 
 
-def cell_topk(coded: DataFrame, centres: list[list[float]], query: list[float], k: int, probes: int = 8) -> DataFrame:
-    """Exact scores within the cells whose centres are nearest; stored by cell, this prunes partitions."""
+def fitted_probes(coded: DataFrame, centres: list[list[float]], k: int, *, recall: float = 0.95, sample: int = 200) -> int:
+    """The least number of cells that hold ``recall`` of the true neighbours, measured on this table.
+
+    A bounded sample of frames is searched exactly, in one pass; a frame is
+    no neighbour of its own.  The number so grows with table and cells.
+    """
+    some = coded.where("v is not null").orderBy(F.xxhash64("frame_id"), "frame_id").limit(sample).select(F.col("frame_id").alias("query_id"), "v").collect()
+    queries = coded.sparkSession.createDataFrame([(r["query_id"], r["v"]) for r in some], "query_id long, v array<double>")
+    true = topk_batch(coded.select(F.col("cell").alias("folder"), "frame_id", "v"), queries, k + 1).where("query_id <> frame_id").collect()
+    place = {r["query_id"]: np.argsort(np.argsort(-(np.asarray(centres) @ np.asarray(r["v"])), kind="stable")) for r in some}
+    at = np.sort([place[r["query_id"]][r["folder"]] for r in true])
+    return int(at[math.ceil(recall * len(at)) - 1]) + 1 if len(at) else len(centres)
+
+
+def cell_topk(coded: DataFrame, centres: list[list[float]], query: list[float], k: int, probes: int | None = None) -> DataFrame:
+    """Exact scores within the cells whose centres are nearest; stored by cell, this prunes partitions.
+
+    ``probes`` defaults to ``fitted_probes``; fit it once for many searches.
+    """
+    probes = probes or fitted_probes(coded, centres, k)
     order = np.argsort([-float(np.dot(c, query)) for c in centres])[:probes]
     return topk(coded.where(F.col("cell").isin(*map(int, order))), query, k)
 
 
+def cell_topk_batch(coded: DataFrame, centres: list[list[float]], queries: DataFrame, k: int, probes: int | None = None, *, query_block: int = 4096) -> DataFrame:
+    """``cell_topk`` of every query: ``query_id, folder, frame_id, score, rank``."""
+    probes = probes or fitted_probes(coded, centres, k)
+    found = None
+    for rows in _blocks(queries, query_block):
+        open_ = np.zeros((len(rows[0]), len(centres)), bool)
+        if len(open_):
+            np.put_along_axis(open_, np.argsort(-(rows[1] @ np.asarray(centres).T), axis=1, kind="stable")[:, :probes], True, axis=1)
+
+        def probed(_, cell, open_=open_):
+            return open_[:, cell]
+
+        one = _score_kept(coded, rows, k, probed, "cell")
+        found = one if found is None else found.unionByName(one)
+    return _ranked(found, k)
+
+
 def detail(results: DataFrame, level: str = "standard") -> DataFrame:
     """Rows of results as ``key, payload`` (JSON), with the context as ``near<i>.<j>`` from level standard on."""
     name = lambda c: F.concat(c.cast("string"), F.lit(".jpg"))

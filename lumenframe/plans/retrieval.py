@@ -151,17 +151,25 @@ def lsh_codes_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.crossJoin(F.broadcast(q)).select("folder", "frame_id", "code", V.hamming("code", "qc").alias("distance"))
 
 
+def _every_20th(frames: DataFrame) -> DataFrame:
+    return frames.where("frame_id % 20 = 0").select(F.col("frame_id").alias("query_id"), "v")
+
+
+def _out_batch(results: DataFrame) -> DataFrame:
+    return results.select("query_id", "folder", "frame_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def ann_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = schemas.frames(spark, sf_dir)
-    return _out(search.lsh_topk(f, search.vector_of(f, 0), 10))
+    return _out_batch(search.lsh_topk_batch(f, _every_20th(f), 10))
 
 
 @query()
 def ann_kmeans_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = schemas.frames(spark, sf_dir)
     centres, coded = search.kmeans_cells(f)
-    return _out(search.cell_topk(coded, centres, search.vector_of(f, 0), 10))
+    return _out_batch(search.cell_topk_batch(coded, centres, _every_20th(f), 10))
 
 
 # --- ranking and fusion

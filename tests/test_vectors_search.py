@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
 from lumenframe.operators import fusion, search
+from lumenframe.plans import catalog
 
 ROWS = [(0, 1, [1.0, 0.0]), (0, 2, [0.0, 0.0]), (0, 3, [1.0, 0.0]), (0, 4, [-1.0, 0.0]), (1, 5, [0.6, 0.8])]
 
@@ -109,3 +110,31 @@ def test_lsh_and_cells_find_exact_copies(spark):
     exact = {r.frame_id for r in search.topk(frames, x[3].tolist(), 10).collect()}
     got = {r.frame_id for r in search.cell_topk(coded, centres, x[3].tolist(), 10, probes=6).collect()}
     assert got == exact
+
+
+@pytest.mark.parametrize("name", ["ann_lsh", "ann_kmeans_cells"])
+def test_approximate_queries_recall(spark, name):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(ids % 20 == 0) for j in np.lexsort((ids, -(x @ x[i])))[:10]}
+    got = catalog.QUERIES[name](spark, sf).collect()
+    assert len(got) == len(true) and {r.query_id for r in got} == {i for i, _ in true}
+    recall = len(true & {(r.query_id, r.frame_id) for r in got}) / len(true)
+    print(name, "recall", recall)
+    assert recall >= 0.9
+
+
+def test_approximate_recall_holds_on_a_larger_table(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frames = spark.createDataFrame([(0, i, v) for i, v in enumerate(x.tolist())], "folder int, frame_id long, v array<double>").repartition(6).persist()
+    queries = frames.where("frame_id % 400 = 0").select(F.col("frame_id").alias("query_id"), "v")
+    true = {(q, int(j)) for q in range(0, 20_000, 400) for j in np.argsort(-(x @ x[q]), kind="stable")[:10]}
+    centres, coded = search.kmeans_cells(frames, 40, sample=4000)
+    for name, found in (("lsh", search.lsh_topk_batch(frames, queries, 10)), ("cells", search.cell_topk_batch(coded, centres, queries, 10))):
+        recall = len(true & {(r.query_id, r.frame_id) for r in found.collect()}) / len(true)
+        print(name, "recall on 20,000 rows", recall)
+        assert recall >= 0.9
