@@ -10,6 +10,12 @@ an instance's score is that of its best pattern (seeds stay 1).  Identifiers
 behind patterns with enough confidence and distinct seeds become spans of the
 kind ``context``; base spans are never changed.
 
+A word is a run of letters, marks and digits (with underscores before a
+letter) together with a quote and ``:`` or ``=`` that directly follow; between
+it and its value stand other signs or blanks, or nothing.  Patterns and totals
+are cut by this one rule, so ``id: X``, ``id=X`` and ``"id":"X"`` all count.
+A run that goes on into the value is no word.
+
 The patterns below are the base rules with start conditions and possessive or
 lazy loops that make them linear and free of recursion in the JVM's regex
 engine; their matches are those of the plain rules.
@@ -39,12 +45,23 @@ PATTERNS = {
     # identifier-like: a run of these signs that holds a digit
     "candidate": r"(?<![A-Za-z0-9._/-])[A-Za-z._/-]*+[0-9][A-Za-z0-9._/-]*+",
 }
+#: Words before values, and what may stand between; possessive, hence linear.
+_R = r"\p{L}\p{M}\p{N}"
+WORD = rf"(?<![{_R}])[{_R}]++(?:_++(?=\p{{L}})[{_R}]++)*+(?:[\"']?+[:=])?+"
+_BEFORE = rf"({WORD})[^{_R}]*+$"
 #: A text without the sign can't match.
 _NEEDS = {"email": "@", "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SPAN = "struct<start:long,end:long,kind:int,value:string,word:string>"
 
 
+def _word_before(gap: Column, hit: Column, at: Column) -> Column:
+    """The last word of the gap; none where a run of the text goes on over either end of it."""
+    word = F.when(at > 0, F.regexp_extract(gap, "(?!^)" + _BEFORE, 1)).otherwise(F.regexp_extract(gap, _BEFORE, 1))
+    glued = (gap.rlike(rf"[{_R}]$") & hit.rlike(rf"^[{_R}_]")) | (gap.rlike("_$") & hit.rlike(r"^\p{L}"))
+    return F.when(glued, "").otherwise(F.lower(word))
+
+
 def _occurrences(text: Column, kind: str, number: int) -> Column:
     """All matches with code-point offsets and the word before, in one fold over gaps and matches."""
     pattern = F.lit(PATTERNS[kind])
@@ -54,7 +71,7 @@ def _occurrences(text: Column, kind: str, number: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        word = F.lower(F.regexp_extract(F.right(x["gap"], F.lit(64)), r"(\S{1,40})[\s\"'(<\[]*$", 1))
+        word = _word_before(x["gap"], x["hit"], acc["at"])
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(number).alias("kind"), x["hit"].alias("value"), word.alias("word"))
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
@@ -104,7 +121,8 @@ def _patterns(found: DataFrame, docs: DataFrame, text_col: str, rounds: int, min
         F.count("*").alias("n"), F.max((F.col("s.kind") < len(KINDS)).cast("double")).alias("seed")
     )
     support = edges.groupBy("word").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("total"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("total"))
     words = materialise(words.join(support, F.col("w") == F.col("word")).select("word", "seeds", "total"))
     edges = materialise(edges.withColumnRenamed("word", "ew").join(words, F.col("ew") == F.col("word")).select("word", "value", "n", "seed", "total"))
     score = F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("confidence")

@@ -97,6 +97,28 @@ def test_contexts_learn_from_seeds_and_find_new_identifiers(spark):
     assert not found[101].extra and [s.kind for s in found[3].base] == ["email"]
 
 
+@pytest.mark.parametrize("form", ["id:{}", "id={}", '{{"name":"n{{0}}","id":"{}"}}', "a=1,id={};b=2", 'id="{}"', "x" * 60 + "={}", "ID\t(  {} )"])
+def test_contexts_joined_to_their_value(spark, form):
+    rows = [(i, "log " + form.format(f"10.20.30.{i}") + " end") for i in range(12)]
+    rows += [(100, "log " + form.format("4455667788") + " end"), (101, "plain 20240101 and 55667788 too")]
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.value) for s in found[100].extra] == [("context", "4455667788")] and not found[101].extra
+
+
+def test_totals_count_glued_occurrences(spark):
+    rows = [(i, f"id:user{i}@site.org and then") for i in range(12)] + [(50 + i, "see id:none or id:null") for i in range(12)] + [(100, "id:4455667788")]
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not found[100].extra  # 12 of 25 occurrences lead to a known identifier
+
+
+def test_words_of_patterns_are_words_of_totals(spark, docs):
+    made = spark.createDataFrame(list(enumerate(AWKWARD + TRICKY + ["a_1.2.3.4", "v1.2.3.4 é_x@y.com", "_id_=12345678", "x_AB-12345678", "a_" * 50_000 + "=1234567"], 10_000)), "doc_id long, text string")
+    d = docs.select("doc_id", "text").unionByName(made)
+    found = pii._base(d, "text").select(F.explode(F.concat(*[f"__{k}" for k in (*pii.KINDS, "candidate")])).alias("s")).select(F.col("s.word").alias("w")).where("w <> ''").groupBy("w").count()
+    total = d.select(F.explode(F.regexp_extract_all("text", F.lit(pii.WORD), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    assert found.count() and found.join(total, "w", "left_anti").count() == 0
+
+
 def test_redaction_keeps_columns_and_merges_overlaps(spark, awkward):
     d = spark.createDataFrame([(1, "mail a@b.co, +1 10.20.30.40.50.60 now", 9)], "doc_id long, text string, n_chars long")
     r = pii.redact(d).first()
