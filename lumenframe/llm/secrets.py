@@ -4,7 +4,8 @@ Base rules (``assign``, ``access``, ``hex``) are matched leftmost and non
 overlapping for each kind over whole texts; failing matches are dropped
 without a retry.  Beside them the scan collects weak parts of credentials:
 access identifiers (``client_id``, ``user``, ``account`` ... with a value),
-secret-like strings (mixed letters and digits without a keyword) and
+secret-like strings (whole runs of 20 or more letters, digits and ``+/_-``
+that mix two of the classes lower, upper and digit, without a keyword) and
 endpoints (URLs with a host, ``host = ...``).  Each part has a scope, the
 ``scope`` code points around it; an interval join of the three kinds by scope
 reports a weak candidate only where a complementary part stands in its scope:
@@ -45,7 +46,8 @@ _RULES = {
 }
 _PARTS = {
     "identifier": re.compile(r"\b(?:client_?id|user(?:name)?|login|account(?:_?id)?|access_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,64}", re.A | re.I),
-    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"),
+    # a whole run of at least two of the classes lower, upper and digit, behind a blank, a quote, "=" ...
+    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?![a-z+/_-]*+(?![A-Z0-9]))(?![A-Z+/_-]*+(?![a-z0-9]))(?![0-9+/_-]*+(?![A-Za-z]))[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
     "endpoint": re.compile(r"\b(?:[a-z][a-z0-9+]{1,10}://[A-Za-z0-9.-]+(?::[0-9]+)?|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,253})", re.A),
 }
 Span = tuple[int, int, str]

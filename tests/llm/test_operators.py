@@ -282,6 +282,18 @@ def test_weak_parts_are_reported_only_together():
     assert secrets.scan(apart)[1] == []
 
 
+@pytest.mark.parametrize("secret", ["Ab3dEf6hIj9lMn2pQr5t", "ab3def6hij9lmn2pqr5t", "AB3DEF6HIJ9LMN2PQR5T", "AbcdEfghIjklMnopQrst", "Ab3d" * 40, "zb3d" * 5_000, "Ab3dEf6hIj9lMn2pQr5t=="])
+@pytest.mark.parametrize("before", ["", "sig=", "AUTH=", "https://db.example.com/get?sig="])
+def test_weak_secrets_of_every_class(secret, before):
+    text = f"host = db.example.com user = bob1 {before}{secret} end"
+    assert (text.index(secret), text.index(secret) + len(secret), "weak_secret") in secrets.scan(text)[1]
+
+
+def test_plain_runs_are_no_secrets():
+    for run in ("counterrevolutionaries", "COUNTERREVOLUTIONARIES", "state-of-the-art-approach", "2024-01-15/2024-02-16", "short1Ab=", "_" * 30):
+        assert secrets.scan(f"host = db.example.com user = bob1 {run} end")[1] == []
+
+
 def test_secrets_awkward(awkward):
     r = secrets.digest(secrets.find_secrets(awkward))
     assert r.count() == awkward.count() and r.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").count()
