@@ -10,7 +10,8 @@ endpoints (URLs with a host, ``host = ...``).  Each part has a scope, the
 ``scope`` code points around it; an interval join of the three kinds by scope
 reports a weak candidate only where a complementary part stands in its scope:
 a weak secret needs an identifier (or access key) and an endpoint, an
-identifier or endpoint is reported with such a secret.
+identifier or endpoint is reported with such a secret, or with an ``assign``
+or ``hex`` span, which is a secret without any complement.
 
 Parts of a document meet only each other, so the join is a sweep over the
 document's sorted parts: linear in text and reported spans, no shuffle.
@@ -32,6 +33,8 @@ from . import _util
 
 KINDS = ("assign", "access", "hex")
 WEAK = ("identifier", "weak_secret", "endpoint")
+#: Base spans that are secrets themselves.
+STRONG = ("assign", "hex")
 
 
 def _either(word: str) -> str:
@@ -70,26 +73,24 @@ def weak_parts(text: str) -> list[Span]:
 
 def link(base: list[Span], parts: list[Span], scope: int) -> list[Span]:
     """Weak candidates whose scope holds the complementary parts."""
-    free = _outside(parts, base)
-    # access keys among the base spans complement, but are reported already
-    points = {k: sorted((a, b) for a, b, kind in free if kind == k) for k in WEAK}
-    points["identifier"] = sorted(points["identifier"] + [(a, b) for a, b, k in base if k == "access"])
-
-    def near(kind: str, a: int, b: int) -> list[tuple[int, int]]:
-        """Parts of the kind within ``scope`` of [a, b): starts in a range, as parts of a kind don't overlap."""
-        p = points[kind]
-        lo = bisect.bisect_left(p, (a - scope - 300,))
-        hi = bisect.bisect_right(p, (b + scope,))
-        return [x for x in p[lo:hi] if x[1] >= a - scope]
+    free = set(_outside(parts, base))
+    # access keys among the base spans and parts that overlap a base span complement, but are reported already
+    points = {k: [(a, b) for a, b, kind in parts if kind == k] for k in ("identifier", "endpoint")}
+    access = [(a, b) for a, b, k in base if k == "access"]
+    ends = {k: [b for _, b in p] for k, p in points.items()}
+    access_ends = [b for _, b in access]
+
+    def near(p: list[tuple[int, int]], e: list[int], a: int, b: int) -> list[tuple[int, int]]:
+        """Parts within ``scope`` of [a, b): a range, as parts of a kind don't overlap and both their sides ascend."""
+        return p[bisect.bisect_left(e, a - scope) : bisect.bisect_right(p, (b + scope, -1))]
 
     found: set[Span] = set()
-    known = {(a, b) for a, b, _ in base}
-    for a, b in points["weak_secret"]:
-        ids, ends = near("identifier", a, b), near("endpoint", a, b)
-        if ids and ends:
-            found.add((a, b, "weak_secret"))
-            found.update((x, y, "identifier") for x, y in ids if (x, y) not in known)
-            found.update((x, y, "endpoint") for x, y in ends)
+    secrets = [s for s in free if s[2] == "weak_secret"] + [s for s in base if s[2] in STRONG]
+    for a, b, kind in secrets:
+        ids, hosts = (near(points[k], ends[k], a, b) for k in ("identifier", "endpoint"))
+        if kind in STRONG or (hosts and (ids or near(access, access_ends, a, b))):
+            own = {(a, b, kind)} if kind == "weak_secret" else set()
+            found |= own | free.intersection([(x, y, "identifier") for x, y in ids] + [(x, y, "endpoint") for x, y in hosts])
     return sorted(found, key=lambda s: (s[0], WEAK.index(s[2])))
 
 
@@ -110,8 +111,8 @@ def scan(text: str | None, scope: int = 200) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = base_spans(text)
-    # most texts hold no weak secret: the other parts are then not looked for
-    if not _PARTS["weak_secret"].search(text):
+    # most texts hold no secret of either kind: the other parts are then not looked for
+    if not any(k in STRONG for _, _, k in base) and not _PARTS["weak_secret"].search(text):
         return base, []
     return base, link(base, weak_parts(text), scope)
 

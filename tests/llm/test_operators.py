@@ -289,6 +289,20 @@ def test_weak_secrets_of_every_class(secret, before):
     assert (text.index(secret), text.index(secret) + len(secret), "weak_secret") in secrets.scan(text)[1]
 
 
+def test_base_secrets_take_part_in_the_join():
+    kinds = lambda text: [(k, text[a:b]) for a, b, k in secrets.scan(text)[1]]
+    token = f'token = "{"0123456789abcdef" * 2}89abcdef"'
+    both = [("identifier", "client_id = app-17"), ("endpoint", "https://api.example.com")]
+    assert kinds(f"client_id = app-17, {token} https://api.example.com/v1") == both
+    assert kinds(f"client_id = app-17, {'0123456789abcdef' * 2} https://api.example.com/v1") == both
+    assert kinds(f"client_id = app-17, {'far ' * 80} {token} {'far ' * 80} https://api.example.com/v1") == []
+    assert kinds(f"user = bob1 {token}") == [("identifier", "user = bob1")]
+    # parts that overlap a base span complement others; an access key may be long
+    weak = "Ab3dEf6hIj9lMn2pQr5t"
+    assert ("weak_secret", weak) in kinds(f"account = {'0123456789abcdef' * 2} https://api.example.com {weak}")
+    assert ("weak_secret", weak) in kinds(f"AKIA{'Z' * 900} https://api.example.com {weak}")
+
+
 def test_plain_runs_are_no_secrets():
     for run in ("counterrevolutionaries", "COUNTERREVOLUTIONARIES", "state-of-the-art-approach", "2024-01-15/2024-02-16", "short1Ab=", "_" * 30):
         assert secrets.scan(f"host = db.example.com user = bob1 {run} end")[1] == []
