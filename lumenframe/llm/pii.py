@@ -6,7 +6,8 @@ dropped without a retry.  A lexical pattern is the word before an entity.
 The bipartite graph of patterns and instances (identifier-like values with
 digits) is scored for ``rounds`` rounds: a pattern's confidence is the summed
 score of its instances over *all* occurrences of its word in the corpus, and
-an instance's score is that of its best pattern (seeds stay 1).  Identifiers
+an instance's score is that of its best pattern (seeds stay 1); identifier-like
+values that overlap an entity are that entity and count once.  Identifiers
 behind patterns with enough confidence and distinct seeds become spans of the
 kind ``context``; base spans are never changed.
 
@@ -111,6 +112,10 @@ def _base(docs: DataFrame, text_col: str) -> DataFrame:
     kinds = [*KINDS, "candidate"]
     found = docs.withColumns({f"__{k}": _occurrences(text, k, i) for i, k in enumerate(kinds)})
     found = found.withColumns({f"__{k}": F.filter(f"__{k}", _check(k)) for k in kinds})
+    # a candidate that overlaps a base span is that span, and counts once
+    found = found.withColumn("__base", F.concat(*[f"__{k}" for k in KINDS]))
+    clash = lambda x: F.exists("__base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    found = found.withColumn("__candidate", F.filter("__candidate", lambda x: ~clash(x))).drop("__base")
     return found.withColumn("__row", F.monotonically_increasing_id())
 
 
@@ -162,8 +167,7 @@ def find_pii(
     both = found.join(extra, F.col("__row") == F.col("__at"), "left")
     base = F.array_sort(F.transform(F.concat(*[f"__{k}" for k in KINDS]), _ordered))
     both = both.withColumn("__base", base).withColumn("__new", F.coalesce("__new", F.expr(f"cast(array() as array<{_SPAN}>)")))
-    clash = lambda x: F.exists("__base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    new = F.array_sort(F.transform(F.filter("__new", lambda x: ~clash(x)), _ordered))
+    new = F.array_sort(F.transform("__new", _ordered))
     return both.select(*columns, F.transform("__base", _named).alias("base"), F.transform(new, _named).alias("extra"))
 
 

@@ -111,6 +111,17 @@ def test_totals_count_glued_occurrences(spark):
     assert not found[100].extra  # 12 of 25 occurrences lead to a known identifier
 
 
+@pytest.mark.parametrize("seed", ["10.20.30.{}", "card"])
+def test_a_seed_counts_once(spark, seed):
+    cards = ["4111111111111111", "5555555555554444", "378282246310005", "6011111111111117", "3530111333300000", "4012888888881881", "4222222222222", "5105105105105100", "371449635398431", "30569309025904", "38520000023237", "6011000990139424"]
+    known = [cards[i] if seed == "card" else seed.format(i) for i in range(12)]
+    rows = [(i, f"id: {x} and then") for i, x in enumerate(known)] + [(50 + i, "see id: none") for i in range(20)] + [(100, "id: 44556677")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_pii(d).collect()}
+    assert not found[100].extra  # 12 of 33 occurrences lead to a known identifier
+    assert sum(len(r.base) for r in found.values()) == 12
+
+
 def test_words_of_patterns_are_words_of_totals(spark, docs):
     made = spark.createDataFrame(list(enumerate(AWKWARD + TRICKY + ["a_1.2.3.4", "v1.2.3.4 é_x@y.com", "_id_=12345678", "x_AB-12345678", "a_" * 50_000 + "=1234567"], 10_000)), "doc_id long, text string")
     d = docs.select("doc_id", "text").unionByName(made)
