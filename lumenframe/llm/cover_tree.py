@@ -18,7 +18,8 @@ Defined cases: null vectors and those with null or non-finite components take
 no part; a row never matches a row of its own id; vectors of different length
 are not compared; with fewer than k candidates all are returned; repeated
 candidate rows count each; repeated query rows of equal id and vector are
-answered once; scores beyond 2^53 are computed in integers.
+answered once; scores beyond 2^53 are computed in Python integers;
+those beyond a long are an error.
 """
 
 from __future__ import annotations
@@ -75,6 +76,10 @@ def build(x: np.ndarray, points: np.ndarray | None = None, radius: float | None
     return Node(centre, cover, points, nodes)
 
 
+#: Whole float64 values as Python integers, which products and sums of objects keep exact.
+_whole = np.frompyfunc(int, 1, 1)
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_ids: np.ndarray, k: int):
     """``(query row, candidate row, score)`` of the k best of every query, ties to the smaller id."""
     if not len(queries) or not len(cands):
@@ -86,7 +91,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_i
 
     def bound(q: Node, c: Node) -> float:
         top = float(q.centre @ c.centre) + q.norm * c.radius + c.norm * q.radius + q.radius * c.radius
-        return top + 1e-9 * (1.0 + abs(top))
+        # the second margin covers large products that cancel
+        return top + 1e-9 * (1.0 + abs(top)) + 1e-12 * (q.norm + q.radius) * (c.norm + c.radius)
 
     def score(q: Node, c: Node) -> None:
         for at in range(0, len(c.points), 4096):
@@ -94,16 +100,17 @@ def search(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_i
             if exact:
                 s = queries[q.points] @ cands[block].T
             else:
-                s = queries[q.points].astype(object) @ cands[block].T.astype(object)
+                s = _whole(queries[q.points]) @ _whole(cands[block]).T
             hit = np.asarray(s >= worst[q.points][:, None], bool)
             for i in np.flatnonzero(hit.any(axis=1)):
                 row, line = q.points[i], s[i]
                 ok = np.flatnonzero(hit[i] & (cand_ids[block] != query_ids[row]))
                 if len(ok) > 4 * k:  # only those at or above the kth can matter
-                    kth = np.sort(line[ok])[-k] if not exact else np.partition(line[ok], len(ok) - k)[len(ok) - k]
+                    kth = sorted(line[ok])[-k] if not exact else np.partition(line[ok], len(ok) - k)[len(ok) - k]
                     ok = ok[line[ok] >= kth]
                     if len(ok) > k:
-                        ok = ok[np.lexsort((cand_ids[block][ok], -line[ok]))[:k]]
+                        ids = cand_ids[block]
+                        ok = ok[np.lexsort((ids[ok], -line[ok]))[:k]] if exact else np.array(sorted(ok.tolist(), key=lambda j: (-line[j], ids[j]))[:k])
                 heap = best[row]
                 for j in ok.tolist():
                     item = (int(line[j]), -int(cand_ids[block[j]]), int(block[j]))
@@ -112,7 +119,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, cands: np.ndarray, cand_i
                     elif item[:2] > heap[0][:2]:
                         heapq.heapreplace(heap, item)
                 if len(heap) == k:
-                    worst[row] = heap[0][0]
+                    # a rounded score may lie above the exact one
+                    worst[row] = heap[0][0] if exact else np.nextafter(float(heap[0][0]), -np.inf)
         q.worst = float(worst[q.points].min())
 
     qt, ct = build(queries), build(cands)

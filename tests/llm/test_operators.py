@@ -382,6 +382,19 @@ def test_dual_tree_equals_brute_force(seed):
         assert [(b, v) for a, b, v in got if a == row] == [(j, int(-v)) for v, j in order]
 
 
+def test_scores_beyond_doubles_are_exact():
+    a, b = 2.0**40 + 1, 2.0**40 + 3
+    assert cover_tree.search(np.array([[a, 3.0]]), np.array([0]), np.array([[b, 5.0]]), np.array([1]), 1) == [(0, 0, (2**40 + 1) * (2**40 + 3) + 15)]
+    rng = np.random.default_rng(3)
+    c = 2.0**30 * rng.choice([-1, 1], (600, 4)) + rng.integers(-2, 3, (600, 4))
+    q, ids = c[:9], np.arange(600)
+    exact = [[sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for v in c] for u in q]
+    got = cover_tree.search(q, ids[:9], c, ids, 5)
+    for row in range(9):
+        order = sorted((-exact[row][j], j) for j in range(600) if j != row)[:5]
+        assert [(j, v) for a, j, v in got if a == row] == [(j, -v) for v, j in order]
+
+
 def test_dual_tree_prunes_clustered_data():
     rng = np.random.default_rng(1)
     c = (np.eye(8)[rng.integers(8, size=4000)] * 1000 + rng.integers(-2, 3, (4000, 8))).astype(float)
