@@ -6,7 +6,8 @@ without a retry.  Beside them the scan collects weak parts of credentials:
 access identifiers (``client_id``, ``user``, ``account`` ... with a value),
 secret-like strings (whole runs of 20 or more letters, digits and ``+/_-``
 that mix two of the classes lower, upper and digit, without a keyword) and
-endpoints (URLs with a host, ``host = ...``).  Each part has a scope, the
+endpoints (URLs with a host, ``host = ...``).  No part has a greatest length.
+Each part has a scope, the
 ``scope`` code points around it; an interval join of the three kinds by scope
 reports a weak candidate only where a complementary part stands in its scope:
 a weak secret needs an identifier (or access key) and an endpoint, an
@@ -14,9 +15,12 @@ identifier or endpoint is reported with such a secret, or with an ``assign``
 or ``hex`` span, which is a secret without any complement.
 
 Parts of a document meet only each other, so the join is a sweep over the
-document's sorted parts: linear in text and reported spans, no shuffle.
+document's sorted parts: linear in text and reported spans, no shuffle.  Two
+parts are in each other's scope when at most ``scope`` code points lie
+between them.
 
-Defined cases: null text is empty; offsets are code points, end exclusive;
+Defined cases: null text is empty and gives no spans; an empty table gives no
+rows; offsets are code points, end exclusive;
 weak parts that overlap a base span are that span and only complement others;
 repeated rows are scanned row by row; extra columns are ignored.
 """
@@ -48,10 +52,10 @@ _RULES = {
     "hex": re.compile(r"[0-9a-f]{24,}"),
 }
 _PARTS = {
-    "identifier": re.compile(r"\b(?:client_?id|user(?:name)?|login|account(?:_?id)?|access_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,64}", re.A | re.I),
+    "identifier": re.compile(r"\b(?:client_?id|user(?:name)?|login|account(?:_?id)?|access_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.A | re.I),
     # a whole run of at least two of the classes lower, upper and digit, behind a blank, a quote, "=" ...
     "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?![a-z+/_-]*+(?![A-Z0-9]))(?![A-Z+/_-]*+(?![a-z0-9]))(?![0-9+/_-]*+(?![A-Za-z]))[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
-    "endpoint": re.compile(r"\b(?:[a-z][a-z0-9+]{1,10}://[A-Za-z0-9.-]+(?::[0-9]+)?|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,253})", re.A),
+    "endpoint": re.compile(r"(?<![A-Za-z0-9_+])[a-z][a-z0-9+]++://[A-Za-z0-9.-]+(?::[0-9]+)?|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}", re.A),
 }
 Span = tuple[int, int, str]
 
@@ -82,7 +86,7 @@ def link(base: list[Span], parts: list[Span], scope: int) -> list[Span]:
 
     def near(p: list[tuple[int, int]], e: list[int], a: int, b: int) -> list[tuple[int, int]]:
         """Parts within ``scope`` of [a, b): a range, as parts of a kind don't overlap and both their sides ascend."""
-        return p[bisect.bisect_left(e, a - scope) : bisect.bisect_right(p, (b + scope, -1))]
+        return p[bisect.bisect_left(e, a - scope) : bisect.bisect_left(p, (b + scope + 1,))]
 
     found: set[Span] = set()
     secrets = [s for s in free if s[2] == "weak_secret"] + [s for s in base if s[2] in STRONG]
@@ -150,6 +154,19 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
+def brute_link(base: list[Span], parts: list[Span], scope: int) -> list[Span]:
+    """Plain model for tests: every secret against every part, by the distance between them."""
+    near = lambda x, y: max(x[0] - y[1], y[0] - x[1]) <= scope
+    free = [p for p in parts if not any(p[0] < b and p[1] > a for a, b, _ in base)]
+    out = set()
+    for s in [p for p in free if p[2] == "weak_secret"] + [x for x in base if x[2] in STRONG]:
+        ids, hosts = ([p for p in parts if p[2] == k and near(s, p)] for k in ("identifier", "endpoint"))
+        keys = [x for x in base if x[2] == "access" and near(s, x)]
+        if s[2] in STRONG or (hosts and (ids or keys)):
+            out |= {p for p in [*ids, *hosts, *([s] if s[2] == "weak_secret" else [])] if p in free}
+    return sorted(out, key=lambda s: (s[0], WEAK.index(s[2])))
+
+
 def brute_base(text: str | None) -> list[Span]:
     """Plain model for tests: the base rules as they are stated."""
     out = []
