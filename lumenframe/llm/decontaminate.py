@@ -1,22 +1,34 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-Patterns are the windows of the benchmark items.  For every pattern length
-``m`` a block of ``B = min(2, m)`` words gives the shift table: a block that
-no pattern contains lets the scan skip ``m - B + 1`` words.  A zero shift
-opens the bucket of patterns that end in that block, and a direct comparison
-with the words of the document confirms an occurrence.
+Patterns are the windows of the benchmark items.  Words of the items are
+numbered, windows are offsets into one array of those numbers, and a document
+is searched as numbers, too.  For every pattern length ``m`` a block of
+``B = min(2, m)`` words is hashed into the shift table, whose cell holds the
+least shift of the blocks that fall into it: a block that no pattern contains
+lets the scan skip ``m - B + 1`` words, a word that no item contains lets it
+skip ``m``.  A zero shift selects the run of windows that end in that block
+and begin with the words in question (suffix and prefix hash), and a direct
+comparison with the words of the document confirms an occurrence.
+
+The search tables hold a few dozen bytes for each benchmark word; a block of
+items is bounded by an upper bound of their size that is measured before, and
+every worker builds the tables of a block once.
 
 Defined cases: null or wordless text has no words and no hits; an item with
 fewer words than the window is a single window; an item with null text or no
 words has none; a null item id is ignored; equal windows of several items
-report all of those items; repeated rows are judged one by one.
+report all of those items; an empty benchmark hits nothing; an empty table
+gives no rows; repeated rows are judged one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import uuid
+from array import array
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,71 +45,137 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
+#: Multipliers of the shift table's hash, and the greatest size of the table.
+_P, _Q, _MOST = 0x9E3779B1, 0x85EBCA6B, 1 << 24
+
+
 class WuManber:
-    """Search of many word sequences of one length ``m``."""
+    """Search of many windows of one length ``m``; words are numbers from 1, 0 is an unknown word."""
 
-    def __init__(self, patterns: dict[tuple, list[str]], m: int):
+    def __init__(self, words: np.ndarray, starts: np.ndarray, owners: np.ndarray, m: int):
+        """``words``: all numbers in one array; ``starts``: where windows begin; ``owners``: the item of each."""
         self.m, self.block = m, min(2, m)
         self.default = m - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, list[str]]] = defaultdict(dict)
-        for p, items in patterns.items():
-            for end in range(self.block, m + 1):
-                key = p[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            self.bucket[p[m - self.block :]][p] = items
-
-    def search(self, w: list[bytes]):
-        """Yields (start, items) of every occurrence."""
-        m, get, default, bucket = self.m, self.shift.get, self.default, self.bucket
+        w = words.astype(np.int64)
+        self.text = words.astype("<i4").tobytes()
+        suffix, prefix = self._pair(w, starts + m - self.block), self._pair(w, starts)
+        # equal windows become neighbours: one entry each, with the items that have it
+        rows = np.stack([words[starts + k] for k in range(m)], axis=1) if len(starts) else np.zeros((0, m), np.int32)
+        order = np.lexsort([owners, *[rows[:, k] for k in reversed(range(m))], prefix, suffix])
+        rows, owners, starts, suffix, prefix = rows[order], owners[order], starts[order], suffix[order], prefix[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        fresh = new.copy()
+        fresh[1:] |= owners[1:] != owners[:-1]
+        group = (np.cumsum(new) - 1)[fresh]
+        self.owners = array("i", owners[fresh].astype(np.int32).tobytes())
+        self.owned = array("i", np.searchsorted(group, np.arange(len(first) + 1)).astype(np.int32).tobytes())
+        self.first = array("i", starts[first].astype(np.int32).tobytes())
+        self.suffix = array("q", suffix[first].tobytes())
+        self.prefix = array("q", prefix[first].tobytes())
+        size = 1 << 10
+        while size < min(_MOST, 8 * m * max(1, len(first))):
+            size <<= 1
+        self.mask = size - 1
+        shift = np.full(size, self.default, np.uint8)
+        for end in range(self.block, m + 1):
+            pair = self._pair(w, starts[first] + end - self.block)
+            np.minimum.at(shift, self._cell(pair >> 32, pair & 0xFFFFFFFF), np.uint8(m - end))
+        self.shift = shift.tobytes()
+
+    def _pair(self, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (w[at] << 32) | w[at + 1] if self.block == 2 else w[at] << 32
+
+    def _cell(self, a, b):
+        return ((a * _P) ^ (b * _Q)) & self.mask
+
+    def search(self, w: array, raw: bytes):
+        """Yields (start, index of the window) of every occurrence; ``raw`` are the bytes of ``w``."""
+        m, default, shift, mask, two = self.m, self.default, self.shift, self.mask, self.block == 2
+        suffix, prefix, first, text = self.suffix, self.prefix, self.first, self.text
         end, n = m, len(w)
-        if self.block == 1:
-            while end <= n:
-                if (s := get((w[end - 1],), default)) == 0:
-                    if found := bucket[(w[end - 1],)].get(tuple(w[end - m : end])):
-                        yield end - m, found
-                    s = 1
-                end += s
-            return
         while end <= n:
-            s = get((w[end - 2], w[end - 1]), default)
-            if s == 0:
-                # the bucket's test strings are compared word by word with the document
-                if found := bucket[(w[end - 2], w[end - 1])].get(tuple(w[end - m : end])):
-                    yield end - m, found
-                s = 1
-            end += s
-
-
-def build_searchers(items: list[tuple], window: int) -> list[WuManber]:
-    """One searcher for each window length that occurs in ``(item_id, text)`` rows."""
-    by_length: dict[int, dict[tuple, list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item_id, text in items:
-        if item_id is None or not (w := words(text)):
-            continue
-        size = min(window, len(w))
-        for i in range(len(w) - size + 1):
-            owners = by_length[size][tuple(w[i : i + size])]
-            if str(item_id) not in owners:
-                owners.append(str(item_id))
-    return [WuManber(dict(p), m) for m, p in sorted(by_length.items())]
-
-
-def find(w: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Occurrence intervals (merged, end exclusive) and item ids."""
-    spans, items = [], set()
-    for s in searchers:
-        for start, found in s.search(w):
-            spans.append((start, start + s.m))
-            items.update(found)
-    spans.sort()
-    merged: list[list[int]] = []
-    for a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    return [tuple(x) for x in merged], items
+            b = w[end - 1]
+            if not b:
+                end += m
+                continue
+            if two:
+                a = w[end - 2]
+                if not a:
+                    end += default
+                    continue
+                s = shift[((a * _P) ^ (b * _Q)) & mask]
+                key = a << 32 | b
+            else:
+                s = shift[(b * _P) & mask]
+                key = b << 32
+            if s:
+                end += s
+                continue
+            low = bisect_left(suffix, key)
+            if low < len(suffix) and suffix[low] == key:
+                high = bisect_right(suffix, key, low)
+                head = w[end - m] << 32 | w[end - m + 1] if two else key
+                low = bisect_left(prefix, head, low, high)
+                while low < high and prefix[low] == head:
+                    at = first[low]
+                    if text[4 * at : 4 * (at + m)] == raw[4 * (end - m) : 4 * end]:
+                        yield end - m, low
+                        break  # windows differ from each other
+                    low += 1
+            end += 1
+
+
+class Searcher:
+    """The tables of one block of items, for all window lengths that occur."""
+
+    def __init__(self, items: list[tuple], window: int):
+        number: dict[bytes, int] = {}
+        text, self.names = array("i"), []
+        by_length: dict[int, tuple[list[np.ndarray], list[int]]] = {}
+        for item_id, item in items:
+            if item_id is None or not (w := words(item)):
+                continue
+            size, at = min(window, len(w)), len(text)
+            text.extend([number.setdefault(x, len(number) + 1) for x in w])
+            starts, own = by_length.setdefault(size, ([], []))
+            starts.append(np.arange(at, at + len(w) - size + 1))
+            own.append(len(self.names))
+            self.names.append(str(item_id))
+        self.number = number
+        every = np.frombuffer(text, np.int32) if len(text) else np.zeros(0, np.int32)
+        self.searchers = [
+            WuManber(every, np.concatenate(starts), np.repeat(np.array(own), [len(s) for s in starts]), m)
+            for m, (starts, own) in sorted(by_length.items())
+        ]
+
+    def find(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Occurrence intervals (merged, end exclusive) and item ids."""
+        get = self.number.get
+        ids = array("i", [get(x, 0) for x in w])
+        raw = ids.tobytes()
+        spans, found = [], set()
+        for s in self.searchers:
+            for start, k in s.search(ids, raw):
+                spans.append((start, start + s.m))
+                found.update(s.owners[s.owned[k] : s.owned[k + 1]])
+        return _merge(spans), {self.names[i] for i in found}
+
+
+#: The tables that this worker built last.
+_BUILT: dict[str, Searcher] = {}
+
+
+def _built(block: str, rows, window: int) -> Searcher:
+    if block not in _BUILT:
+        _BUILT.clear()
+        _BUILT[block] = Searcher(rows.value, window)
+    return _BUILT[block]
+
+
+#: Bytes of the search tables for each word of a benchmark item, at most: number, window, shift cells, dictionary entry.
+WORD_BYTES = 320
 
 
 def decontaminate(
@@ -109,27 +187,29 @@ def decontaminate(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block_bytes: int = 32 << 20,
+    table_bytes: int = 1 << 28,
     carry: bool = False,
 ) -> DataFrame:
     """Word spans of benchmark windows in every document.
 
     Returns ``id_col, n_words, hits array<struct<start,end>> (word positions,
     merged), items array<string>`` and, with ``carry``, the other columns of
-    ``docs``.  The benchmark is the stated pattern set: its text size is
-    measured first, and it is searched in ``ceil(size / block_bytes)`` blocks
-    of items, each with tables bounded by ``block_bytes`` of text, one map
+    ``docs``.  The benchmark is the stated pattern set.  Its words are counted
+    first, and it is searched in blocks of items whose tables take at most
+    about ``table_bytes`` in a worker by an upper bound for each word: one map
     over the documents for each block and no shuffle of documents.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
-    total = bench.agg(F.sum(F.length(F.encode("item_text", "UTF-8")) + 16).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // block_bytes))
+    bench = bench.where("item_id is not null and item_text is not null")
+    n_words = F.size(F.split("item_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = bench.agg(F.sum(n_words.cast("long") * WORD_BYTES + F.octet_length("item_text")).alias("n")).first()["n"] or 0
+    n_blocks = max(1, -(-total // table_bytes))
     out_cols = docs.columns if carry else [id_col]
     work = docs.select(*out_cols, *([] if text_col in out_cols else [text_col]))
     work = work.withColumns({"__n": F.lit(0).cast("long"), "__h": F.lit(None).cast("array<struct<start:long,end:long>>"), "__i": F.lit(None).cast("array<string>")})
     for k in range(n_blocks):
-        block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == k)
+        block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n_blocks)) == k)
         rows = [(r["item_id"], r["item_text"]) for r in block.toLocalIterator()]
         work = _search_block(work, spark.sparkContext.broadcast(rows), text_col, window)
     return work.select(*out_cols, F.col("__n").alias("n_words"), F.col("__h").alias("hits"), F.col("__i").alias("items"))
@@ -141,15 +221,16 @@ def _search_block(work: DataFrame, rows, text_col: str, window: int) -> DataFram
     schema = work.schema
     names = work.columns
     at = names.index(text_col)
+    block = uuid.uuid4().hex
 
     def run(batches):
-        searchers = build_searchers(rows.value, window)
+        searcher = _built(block, rows, window)
         for batch in batches:
             n, h, i = [], [], []
             old_h, old_i = batch.column(len(names) - 2), batch.column(len(names) - 1)
             for k, text in enumerate(batch.column(at)):
                 w = words(text.as_py())
-                spans, items = find(w, searchers)
+                spans, items = searcher.find(w)
                 n.append(len(w))
                 if (before := old_h[k].as_py()) is not None:
                     spans, items = _merge(spans + [(x["start"], x["end"]) for x in before]), items | set(old_i[k].as_py())

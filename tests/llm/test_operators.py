@@ -173,14 +173,14 @@ def _model(found):
     return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(found).collect()}
 
 
-@pytest.mark.parametrize("block", [32 << 20, 2_000])
+@pytest.mark.parametrize("block", [1 << 28, 200_000])
 def test_wu_manber_equals_brute_force(spark, docs, bench, block):
     d = docs.limit(60).select("doc_id", "text")
     extra = spark.createDataFrame([(1001, None), (1002, bench.first().text.upper()), (1003, "short item"), (1004, "a b c d e f g h i j")], "doc_id long, text string")
     items = bench.limit(15).unionByName(spark.createDataFrame([(900, "short item"), (901, None), (902, "!!"), (903, "b"), (None, "a b c")], "item_id long, text string"))
     d = d.unionByName(extra)
     want = decontaminate.brute([tuple(r) for r in d.collect()], [tuple(r) for r in items.collect()])
-    assert _model(decontaminate.decontaminate(d, items, block_bytes=block)) == want
+    assert _model(decontaminate.decontaminate(d, items, table_bytes=block)) == want
 
 
 @settings(max_examples=100, deadline=None)
@@ -188,7 +188,7 @@ def test_wu_manber_equals_brute_force(spark, docs, bench, block):
 def test_wu_manber_on_tiny_alphabets(items, text, window):
     rows = list(enumerate(items))
     w = decontaminate.words(text)
-    spans, got = decontaminate.find(w, decontaminate.build_searchers(rows, window))
+    spans, got = decontaminate.Searcher(rows, window).find(w)
     want = decontaminate.brute([(0, text)], rows, window)[0]
     assert (sum(b - a for a, b in spans), len(got)) == want[1:3]
 
