@@ -52,34 +52,63 @@ WORD = rf"(?<![{_R}])[{_R}]++(?:_++(?=\p{{L}})[{_R}]++)*+(?:[\"']?+[:=])?+"
 _BEFORE = rf"({WORD})[^{_R}]*+$"
 #: A text without the sign can't match.
 _NEEDS = {"email": "@", "phone": "+"}
+#: Hash buckets of the words that are counted.
+BUCKETS = 1 << 20
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_SPAN = "struct<start:long,end:long,kind:int,value:string,word:string>"
+_SPAN = "struct<start:long,kind:int,end:long,value:string,word:string,at:long,to:long>"
+#: Strides of a running fold by doubling; an array has fewer than 2^31 elements.
+_STRIDES = tuple(1 << k for k in range(31))
 
 
-def _word_before(gap: Column, hit: Column, at: Column) -> Column:
+def _none() -> Column:
+    return F.expr(f"cast(array() as array<{_SPAN}>)")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, though the body uses it in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, step) -> Column:
+    """Running folds over an array in n log n, by doubling.
+
+    ``step(x, before, after)`` merges an element with those one stride before
+    and behind it, which are null beyond the ends.
+    """
+
+    def double(acc: Column, d: Column) -> Column:
+        return F.when(d < F.size(acc), F.transform(acc, lambda x, i: step(x, F.get(acc, i - d), F.get(acc, i + d)))).otherwise(acc)
+
+    return F.aggregate(F.array(*map(F.lit, _STRIDES)), items, double)
+
+
+def _word_before(gap: Column, hit: Column, first: Column) -> Column:
     """The last word of the gap; none where a run of the text goes on over either end of it."""
-    word = F.when(at > 0, F.regexp_extract(gap, "(?!^)" + _BEFORE, 1)).otherwise(F.regexp_extract(gap, _BEFORE, 1))
+    word = F.when(first, F.regexp_extract(gap, _BEFORE, 1)).otherwise(F.regexp_extract(gap, "(?!^)" + _BEFORE, 1))
     glued = (gap.rlike(rf"[{_R}]$") & hit.rlike(rf"^[{_R}_]")) | (gap.rlike("_$") & hit.rlike(r"^\p{L}"))
     return F.when(glued, "").otherwise(F.lower(word))
 
 
 def _occurrences(text: Column, kind: str, number: int) -> Column:
-    """All matches with code-point offsets and the word before, in one fold over gaps and matches."""
+    """All matches with the word before, offsets in code points (start, end) and in bytes (at, to)."""
     pattern = F.lit(PATTERNS[kind])
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        word = _word_before(x["gap"], x["hit"], acc["at"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(number).alias("kind"), x["hit"].alias("value"), word.alias("word"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+    def size(x: Column) -> Column:
+        chars, octets = ((f(x["gap"]) + f(x["hit"])).cast("long") for f in (F.length, F.octet_length))
+        return F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), chars.alias("end"), octets.alias("to"))
+
+    def step(x: Column, before: Column, _: Column) -> Column:
+        return F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), (x["end"] + F.coalesce(before["end"], F.lit(0))).alias("end"), (x["to"] + F.coalesce(before["to"], F.lit(0))).alias("to"))
 
-    found = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+    def span(x: Column, i: Column) -> Column:
+        start, at = x["end"] - F.length(x["hit"]), x["to"] - F.octet_length(x["hit"])
+        word = _word_before(x["gap"], x["hit"], i == 0)
+        return F.struct(start.alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), x["hit"].alias("value"), word.alias("word"), at.alias("at"), x["to"].alias("to"))
+
+    found = F.transform(_running(F.transform(F.filter(pairs, lambda x: x["hit"].isNotNull()), size), step), span)
     quick = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]")
-    return F.when(quick, found).otherwise(none)
+    return F.when(quick, found).otherwise(_none())
 
 
 def _digits(value: Column) -> Column:
@@ -107,28 +136,53 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def _base(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kinds = [*KINDS, "candidate"]
-    found = docs.withColumns({f"__{k}": _occurrences(text, k, i) for i, k in enumerate(kinds)})
-    found = found.withColumns({f"__{k}": F.filter(f"__{k}", _check(k)) for k in kinds})
-    # a candidate that overlaps a base span is that span, and counts once
-    found = found.withColumn("__base", F.concat(*[f"__{k}" for k in KINDS]))
-    clash = lambda x: F.exists("__base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    found = found.withColumn("__candidate", F.filter("__candidate", lambda x: ~clash(x))).drop("__base")
-    return found.withColumn("__row", F.monotonically_increasing_id())
+def _base(text: Column) -> Column:
+    """Base spans and candidates of a text in order of start, then kind.
+
+    A candidate that overlaps a base span is that span, and counts once: with
+    all spans in order, it is met by the farthest end of the base spans up to
+    it or by the start of the next one.
+    """
+    spans = F.array_sort(F.concat(*[F.filter(_occurrences(text, k, i), _check(k)) for i, k in enumerate((*KINDS, "candidate"))]))
+    never = F.lit((1 << 63) - 1)
+
+    def reach(s: Column) -> Column:
+        return F.struct(s.alias("s"), F.when(s["kind"] < len(KINDS), s["end"]).otherwise(F.lit(0)).alias("reach"), F.when(s["kind"] < len(KINDS), s["start"]).otherwise(never).alias("ahead"))
+
+    def step(x: Column, before: Column, after: Column) -> Column:
+        return F.struct(x["s"].alias("s"), F.greatest(x["reach"], before["reach"]).alias("reach"), F.least(x["ahead"], after["ahead"]).alias("ahead"))
+
+    free = lambda x: (x["s"]["kind"] < len(KINDS)) | ((x["reach"] <= x["s"]["start"]) & (x["ahead"] >= x["s"]["end"]))
+    return F.transform(F.filter(_running(F.transform(spans, reach), step), free), lambda x: x["s"])
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _totals(docs: DataFrame, text_col: str, support: DataFrame) -> DataFrame:
+    """All occurrences of the supported words, over all documents.
+
+    Words are cut before they are shuffled by a broadcast set of hash buckets,
+    ``BUCKETS`` numbers at most whatever the corpus; what falls into the
+    bucket of a supported word by chance goes in the join after it.
+    """
+    mark = lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1))
+    marks = support.select(mark("word").alias("mark")).distinct()
+    words = docs.select(F.explode(F.regexp_extract_all(_text(text_col), F.lit(WORD), F.lit(0))).alias("w")).select(F.lower("w").alias("w"))
+    words = words.join(F.broadcast(marks), mark("w") == F.col("mark"), "left_semi").groupBy("w").agg(F.count("*").alias("total"))
+    return words.join(support, F.col("w") == F.col("word")).select("word", "total")
 
 
 def _patterns(found: DataFrame, docs: DataFrame, text_col: str, rounds: int, min_confidence: float, min_seeds: int) -> DataFrame:
-    """Words before identifiers, with confidence; one row for each accepted word."""
-    spans = found.select(F.explode(F.concat(*[f"__{k}" for k in KINDS], "__candidate")).alias("s"))
+    """Words before identifiers, with confidence; one row for each word of enough seeds."""
+    spans = found.select(F.explode("__spans").alias("s"))
     edges = spans.where("s.word <> ''").groupBy(F.col("s.word").alias("word"), F.col("s.value").alias("value")).agg(
         F.count("*").alias("n"), F.max((F.col("s.kind") < len(KINDS)).cast("double")).alias("seed")
     )
-    support = edges.groupBy("word").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("total"))
-    words = materialise(words.join(support, F.col("w") == F.col("word")).select("word", "seeds", "total"))
+    edges = materialise(edges)
+    support = materialise(edges.groupBy("word").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds))
+    words = materialise(_totals(docs, text_col, support))
     edges = materialise(edges.withColumnRenamed("word", "ew").join(words, F.col("ew") == F.col("word")).select("word", "value", "n", "seed", "total"))
     score = F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("confidence")
     patterns = materialise(edges.withColumn("score", F.col("seed")).groupBy("word").agg(score))
@@ -139,6 +193,17 @@ def _patterns(found: DataFrame, docs: DataFrame, text_col: str, rounds: int, min
     return patterns.where(F.col("confidence") >= min_confidence).select(F.col("word").alias("accepted"))
 
 
+def _find(docs: DataFrame, columns: list[str], text_col: str, rounds: int, min_confidence: float, min_seeds: int) -> DataFrame:
+    """``columns``, ``__spans`` (base and candidates) and ``__new`` (accepted candidates) of every row."""
+    found = materialise(docs.select(F.monotonically_increasing_id().alias("__row"), *columns, _base(_text(text_col)).alias("__spans")))
+    accepted = _patterns(found, docs, text_col, rounds, min_confidence, min_seeds)
+    candidates = found.select("__row", F.explode(F.filter("__spans", lambda s: s["kind"] == len(KINDS))).alias("s"))
+    extra = candidates.join(accepted, F.col("s.word") == F.col("accepted"), "left_semi")
+    # written first, so that the planner knows its size when it picks the join
+    extra = materialise(extra.groupBy("__row").agg(F.array_sort(F.collect_list("s")).alias("__new")).withColumnRenamed("__row", "__at"))
+    return found.join(extra, F.col("__row") == F.col("__at"), "left").select(*columns, "__spans", F.coalesce("__new", _none()).alias("__new"))
+
+
 def find_pii(
     docs: DataFrame,
     *,
@@ -147,37 +212,23 @@ def find_pii(
     rounds: int = 3,
     min_confidence: float = 0.5,
     min_seeds: int = 5,
-    keep: bool = False,
 ) -> DataFrame:
     """``id_col, base, extra``: arrays of ``struct<start,end,kind,value>`` in order of start, then kind.
 
-    With ``keep`` all columns of ``docs`` come along.  Counts of words and
-    the graph cover all documents; rows are shuffled only as words, values
-    and spans, never as texts.
+    Counts of words and the graph cover all documents; rows are shuffled only
+    as supported words, values and spans, never as texts.
     """
-    columns = docs.columns if keep else [id_col]
-    kinds = [*KINDS, "candidate"]
-    source = docs.select(*dict.fromkeys([*columns, text_col]))
-    found = materialise(_base(source, text_col).select("__row", *columns, *[f"__{k}" for k in kinds]))
-    accepted = _patterns(found, docs, text_col, rounds, min_confidence, min_seeds)
-    candidates = found.select("__row", F.explode("__candidate").alias("s"))
-    extra = candidates.join(accepted, F.col("s.word") == F.col("accepted"), "left_semi")
-    # written first, so that the planner knows its size when it picks the join
-    extra = materialise(extra.groupBy("__row").agg(F.collect_list("s").alias("__new")).withColumnRenamed("__row", "__at"))
-    both = found.join(extra, F.col("__row") == F.col("__at"), "left")
-    base = F.array_sort(F.transform(F.concat(*[f"__{k}" for k in KINDS]), _ordered))
-    both = both.withColumn("__base", base).withColumn("__new", F.coalesce("__new", F.expr(f"cast(array() as array<{_SPAN}>)")))
-    new = F.array_sort(F.transform("__new", _ordered))
-    return both.select(*columns, F.transform("__base", _named).alias("base"), F.transform(new, _named).alias("extra"))
+    found = _find(docs, [id_col], text_col, rounds, min_confidence, min_seeds)
+    base = F.filter("__spans", lambda s: s["kind"] < len(KINDS))
+    return found.select(id_col, F.transform(base, _named).alias("base"), F.transform("__new", _named).alias("extra"))
 
 
-def _named(s: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in (*KINDS, CONTEXT)])
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind"), s["value"].alias("value"))
+def _kind(s: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in (*KINDS, CONTEXT)]), s["kind"] + 1)
 
 
-def _ordered(s: Column) -> Column:
-    return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
+def _named(s: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), _kind(s).alias("kind"), s["value"].alias("value"))
 
 
 def _joined(spans: Column) -> Column:
@@ -191,24 +242,33 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def redact(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, min_confidence: float = 0.5, min_seeds: int = 5
+) -> DataFrame:
     """``docs`` with every span replaced by ``<KIND>``; overlapping spans become one, named after the first."""
     docs, (id_col, text_col), names = plain(docs, id_col, text_col)
-    found = find_pii(docs, id_col=id_col, text_col=text_col, keep=True, **options)
-    spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col(text_col), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"),
-        )
-
-    cut = F.aggregate("__spans", empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.length(text_col))))
-    done = found.withColumn("__spans", spans).withColumn(text_col, F.when(F.size("__spans") > 0, cut).otherwise(F.col(text_col)))
+    found = _find(docs, docs.columns, text_col, rounds, min_confidence, min_seeds)
+    spans = F.array_sort(F.concat(F.filter("__spans", lambda s: s["kind"] < len(KINDS)), "__new"))
+    reach = lambda s: F.struct(s["at"].alias("at"), s["to"].alias("to"), _kind(s).alias("kind"))
+    farthest = lambda x, before, _: F.struct(x["at"].alias("at"), F.greatest(x["to"], before["to"]).alias("to"), x["kind"].alias("kind"))
+    some = lambda b, at, to: F.substring(b, (at + 1).cast("int"), (to - at).cast("int")).cast("string")
+
+    def cut(octets: Column, spans: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(spans, i - 1)["to"], F.lit(0))
+            return F.when(x["at"] >= before, F.concat(some(octets, before, x["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+
+        end = F.element_at(spans, -1)["to"]
+        return F.concat(F.array_join(F.transform(spans, piece), ""), some(octets, end, F.octet_length(octets)))
+
+    whole = F.col(text_col).cast("string").cast("binary")
+    clean = _let(whole, lambda octets: _let(_running(F.transform("__all", reach), farthest), lambda s: cut(octets, s)))
+    # written as a column of its own, so that the sort isn't repeated wherever the spans are used
+    done = found.withColumn("__all", spans)
+    done = done.withColumn("__clean", F.when(F.size("__all") > 0, clean))
+    done = done.withColumn(text_col, F.coalesce("__clean", F.col(text_col)))
     if n_chars := names.get("n_chars"):
-        done = done.withColumn(n_chars, F.when(F.size("__spans") > 0, F.length(text_col).cast("long")).otherwise(F.col(n_chars)))
+        done = done.withColumn(n_chars, F.coalesce(F.length("__clean").cast("long"), F.col(n_chars)))
     return restored(done, names)
 
 
