@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_path(spark: SparkSession) -> str:
     """A fresh path in the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (plain local sessions) is a temporary folder
-    used and recorded in the session.
+    Where that is unset, a session with executors of its own is an error:
+    they share no temporary folder.  Only a plain local session gets one,
+    which is recorded in the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lumenframe-{uuid.uuid4().hex}"
@@ -39,3 +44,22 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Like ``stored``, in ``n`` buckets of ``column``: joins on it don't shuffle these rows again.
+
+    Where each task holds few values of the column it writes as few files.
+    The catalog forgets the table when Python ends.
+    """
+    spark = df.sparkSession
+    path, name = shared_path(spark), f"lumenframe_{uuid.uuid4().hex}"
+    df.write.bucketBy(max(1, min(n, 100_000)), column).option("path", path).format("parquet").saveAsTable(name)
+    delete_at_exit(spark, path)
+    atexit.register(_forget, spark, name)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended, and with it a catalog in memory
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
