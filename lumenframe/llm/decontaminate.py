@@ -290,3 +290,29 @@ def brute(docs: list[tuple], items: list[tuple], window: int = 10) -> dict:
                         got.add(str(item_id))
         out[doc_id] = (len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit))
     return out
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, {_SQL_WORDS} AS w FROM documents
+), b AS (
+  SELECT item_id, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), p AS (
+  SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0), unnest(range(1, len(w) - m + 2)) AS t(i)
+), x AS (
+  SELECT rn, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+  FROM d, (SELECT DISTINCT m FROM p), unnest(range(1, len(w) - m + 2)) AS t(i) WHERE len(w) >= m
+), h AS (
+  SELECT rn, i, x.m AS m, item_id FROM x JOIN p ON x.m = p.m AND x.g = p.g
+), hits AS (
+  SELECT rn, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT rn, i, m FROM h), unnest(range(i, i + m)) AS u(q) GROUP BY rn
+), items AS (
+  SELECT rn, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT rn, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY rn
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rn) LEFT JOIN items USING (rn)
+"""

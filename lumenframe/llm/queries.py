@@ -68,4 +68,4 @@ QUERIES = {
 }
 
 #: Where SQL can say it; the others are tested against plain models in tests/llm.
-ORACLES = {"op7_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_exact_topk": cover_tree.ORACLE}
+ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE, "op9_exact_topk": cover_tree.ORACLE}
