@@ -16,8 +16,10 @@ not all pairs, and the forests' components are those of all links.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like
 any other; fewer than three words form one shingle; repeats count; repeated
-rows and equal ids are kept row by row; where no id of a component is known
-its ``component_id`` is null; extra columns are ignored.
+rows and equal ids are kept row by row by ``near_duplicates`` and told apart by
+their place by ``keep_one``; where no id of a component is known its
+``component_id`` is null; an empty table gives none; extra columns are ignored
+by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from lumenframe.storage import bucketed
 
 from . import _util
 from .components import connected_components
@@ -191,15 +196,24 @@ def _runs(batches):
         yield held_key, tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048) -> DataFrame:
-    """``id_col, fp, component_id`` for every row; the component id is the least ``id_col`` reachable."""
-    fps = _util.materialise(fingerprints(docs, id_col, text_col))
-    distinct = _util.materialise(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+def _chosen(fps: DataFrame, best, tile: int) -> DataFrame:
+    """``fp, chosen`` for every distinct fingerprint: the least ``best`` of its component.
+
+    Rows are first reduced to one for each fingerprint, so copies in any
+    number meet no join.
+    """
+    distinct = _util.materialise(fps.groupBy("fp").agg(F.min(best).alias("least")))
     parts = connected_components(links(distinct.select("fp"), tile))
     joined = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = _util.materialise(joined)
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    named = joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    least = joined.groupBy("root").agg(F.min("least").alias("chosen")).withColumnRenamed("root", "r")
+    return joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "chosen")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048) -> DataFrame:
+    """``id_col, fp, component_id`` for every row; the component id is the least ``id_col`` reachable."""
+    fps = _util.materialise(fingerprints(docs, id_col, text_col))
+    named = _chosen(fps, F.col(id_col), tile).withColumnRenamed("chosen", "component_id")
     return fps.join(named, F.col("fp") == F.col("f"), "left").select(id_col, "fp", "component_id")
 
 
@@ -207,21 +221,40 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the least id; columns kept.
+#: Rows of a part: the positions that one bitmap holds.
+PART = 1 << 15
+
 
-    Rows without an id stay only if no row of their component has one, and
-    then one of them does.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048) -> DataFrame:
+    """One row of each component, that with the least id; columns kept.
+
+    Rows are told apart by their place, not by their id: of several rows with
+    the least id of a component, one that reads first stays, and equal ids in
+    different components stay each.  Rows without an id come last.
+
+    The rows are written once with their fingerprints, in parts of at most
+    ``PART`` rows, bucketed by part.  All decisions are made on fingerprints
+    and places; they come back as one bitmap for each part, which meets the
+    rows where they lie: texts are never shuffled.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("__id"), "left_semi")
-    alone = docs.where(F.col(id_col).isNull())
-    if alone.isEmpty():
-        return kept.dropDuplicates([id_col])
-    # rows without ids: components that have none at all, told apart by fingerprint of their text
-    nameless = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    texts = alone.withColumn("__key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates(["__key"])
-    own = fingerprints(texts, "__key", text_col).withColumnRenamed("__key", "__k")
-    chosen = own.join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("__k").alias("__k"))
-    return kept.dropDuplicates([id_col]).unionByName(texts.join(chosen, F.col("__key") == F.col("__k"), "left_semi").drop("__key"))
+    work, (own_id, own_text), names = _util.plain(docs, id_col, text_col)
+    at = work.columns.index(own_text)
+    place = F.monotonically_increasing_id()
+    placed = work.withColumns({"__part": F.shiftright(place, 15), "__at": F.pmod(place, F.lit(PART))})
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "fp"])
+
+    spark = docs.sparkSession
+    buckets = max(placed.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = bucketed(placed.mapInArrow(run, StructType([*placed.schema.fields, StructField("fp", LongType())])), "__part", buckets)
+    best = F.struct(F.col(own_id).isNull().alias("last"), F.col(own_id).alias("id"), F.col("__part").alias("part"), F.col("__at").alias("at"))
+    chosen = _chosen(held, best, tile).select(F.col("chosen.part").alias("p"), F.col("chosen.at").alias("a")).distinct()
+    bits = chosen.groupBy("p").agg(F.bitmap_construct_agg("a").alias("bits")).hint("shuffle_hash")
+    octet = F.conv(F.hex(F.substring(F.col("bits"), (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = held.join(bits, F.col("__part") == F.col("p")).where(F.getbit(octet, (F.col("__at") % 8).cast("int")) == 1)
+    return _util.restored(kept, names)
