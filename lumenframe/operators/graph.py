@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
+from lumenframe.operators import tiles
 from lumenframe.storage import stored
 
 
@@ -24,17 +26,22 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def cosine_clusters(frames: DataFrame, eps: float = 0.05, noise: str = "one") -> DataFrame:
+def cosine_clusters(frames: DataFrame, eps: float = 0.05, noise: str = "one", *, tile: int = tiles.TILE) -> DataFrame:
     """``folder, frame_id, cluster``: density clusters of at least two within cosine distance ``eps``.
 
     With two as the least size every clustered point is a core point, so the
-    clusters are components.  ``noise``: points without a neighbour form
+    clusters are components.  Folders are compared
+    tile by tile; a tile sends on a spanning forest of its links, never its
+    pairs.  ``noise``: points without a neighbour form
     ``one`` cluster (-1) per folder, ``each`` its own, or are dropped.
     """
-    unit = frames.select("folder", "frame_id", V.l2_normalise("v").alias("v"))
-    a, b = unit.toDF("folder", "src", "va"), unit.toDF("folder_b", "dst", "vb")
-    pairs = a.join(b, (F.col("folder") == F.col("folder_b")) & (F.col("src") < F.col("dst")))
-    edges = pairs.where(1 - V.dot("va", "vb") <= eps).select("src", "dst")
+    kind = dict(frames.dtypes)["frame_id"]
+
+    def compare(a, x, b, y, same):
+        linked = 1 - x @ y.T <= eps if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+        return tiles.forest(a, b, np.triu(linked, 1) if same else linked)
+
+    edges = tiles.tile_pairs(frames, compare, f"src {kind}, dst {kind}", tile).select("src", "dst")
     found = components(frames.select(F.col("frame_id").alias("id")), edges)
     sized = found.withColumn("n", F.count("*").over(Window.partitionBy("root")))
     named = frames.select("folder", "frame_id").join(sized, F.col("frame_id") == F.col("id"))

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
+from lumenframe.operators import health, tiles
+from lumenframe.storage import stored
 
 MODES = ("hybrid", "vector", "semantic")
-STRATEGIES = ("exact_ip", "exact_l2", "lsh", "kmeans_cells")
+#: Graph indexes have no counterpart in Spark: ``hnsw`` is answered by the exact search, which finds all that it would.
+STRATEGIES = ("exact_ip", "exact_l2", "hnsw", "lsh", "kmeans_cells")
 
 
 @dataclass(frozen=True)
@@ -75,24 +78,52 @@ def topk_by_example(frames: DataFrame, frame_id: int, k: int, **options) -> Data
     return topk(frames, vector, k, **options)
 
 
-def topk_batch(frames: DataFrame, queries: DataFrame, k: int, *, query_block: int = 4096) -> DataFrame:
+def topk_batch(frames: DataFrame, queries: DataFrame, k: int, *, query_block: int = 4096, frame_block: int = 65_536) -> DataFrame:
     """The k best frames of every query (``query_id, v``): ``query_id, folder, frame_id, score, rank``.
 
-    Queries are a stated set: they are counted, dealt into blocks of about
-    ``query_block``, and each block is one pass over the frames with one
-    matrix product per Arrow batch; a batch sends on at most k rows a query,
-    so the shuffle is (queries x batches x k) rows, not (queries x frames).
+    Queries are a stated set and are counted.  Up to ``query_block`` of them
+    meet the frames in one pass without a shuffle, one matrix product per
+    Arrow batch.  A larger set is dealt into blocks, as are the frames, and
+    each pair of blocks is one task: one pass for any number of queries, and
+    no query comes to the driver.  Either way a task sends on at most k rows
+    for each query.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    found = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.select("query_id", "v").toArrow()
-        one = _score_block(frames, rows, k)
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "frame_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    queries = queries.where("v is not null")
+    if (n := queries.count()) <= query_block:
+        found = _score_block(frames, queries.select("query_id", "v").toArrow(), k)
+    else:
+        found = _score_cells(frames, queries, k, -(-n // query_block), frame_block)
+    return _ranked(found, k)
+
+
+def _score_cells(frames: DataFrame, queries: DataFrame, k: int, q_blocks: int, frame_block: int) -> DataFrame:
+    frames = frames.select("folder", "frame_id", "v").where("v is not null")
+    f_blocks = max(1, -(-frames.count() // frame_block))
+    kinds = dict(frames.dtypes)
+    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "v", deal(q_blocks).alias("__q")).withColumn("__f", every(f_blocks))
+    f = frames.select(*[F.col(c).alias(c) for c in frames.columns], deal(f_blocks).alias("__f")).withColumn("__q", every(q_blocks))
+
+    def cell(q, f):
+        import pandas as pd
+
+        if not len(q) or not len(f):
+            return pd.DataFrame({"query_id": [], "folder": [], "frame_id": [], "score": []})
+        m, other, frame = tiles.unit_rows(q["v"]), tiles.unit_rows(f["v"]).T, f["frame_id"].to_numpy()
+        rows, cols, scores = [], [], []
+        for at in range(0, len(m), 256):
+            for i, line in enumerate(m[at : at + 256] @ other, at):
+                best = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k]) if len(line) > k else np.arange(len(line))
+                best = best[np.lexsort((frame[best], -line[best]))][:k]
+                rows.append(np.full(len(best), i))
+                cols.append(best)
+                scores.append(line[best])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "folder": f["folder"].to_numpy()[cols], "frame_id": frame[cols], "score": np.concatenate(scores)})
+
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, folder {kinds['folder']}, frame_id {kinds['frame_id']}, score double"
+    return q.groupBy("__q", "__f").cogroup(f.groupBy("__q", "__f")).applyInPandas(cell, schema)
 
 
 def _score_block(frames: DataFrame, queries: pa.Table, k: int) -> DataFrame:
@@ -147,22 +178,42 @@ def container_scores(results: DataFrame) -> DataFrame:
     return results.withColumn("score", 1 - F.col("score")).withColumn("rank", F.col("rank") - 1)
 
 
-def similarity_graph(frames: DataFrame, neighbours: int = 10, threshold: float = 0.7) -> DataFrame:
-    """``src, dst, score, rank``: most similar frames of the same folder above the threshold, never a frame itself.
+def similarity_graph(frames: DataFrame, neighbours: int = 10, threshold: float = 0.7, *, sources: Column | None = None, tile: int = tiles.TILE) -> DataFrame:
+    """``folder, src, dst, score, rank``: most similar frames of the same folder above the threshold, never a frame itself.
 
-    A self-join on the folder: pairs of a folder are what is asked for, and
-    they are cut to ``neighbours`` by a grouped limit before the next shuffle.
+    Folders are compared tile by tile with matrix products; a tile sends on at
+    most ``neighbours`` rows for each frame, never its pairs.  ``sources``
+    restricts whose neighbours are wanted.
     """
-    unit = frames.select("folder", "frame_id", V.l2_normalise("v").alias("v"))
-    a, b = unit.toDF("folder", "src", "va"), unit.toDF("folder_b", "dst", "vb")
-    pairs = a.join(b, (F.col("folder") == F.col("folder_b")) & (F.col("src") != F.col("dst")))
+    if sources is not None:
+        return _neighbours_of(frames, neighbours, threshold, sources)
+    kind = dict(frames.dtypes)["frame_id"]
+
+    def compare(a, x, b, y, same):
+        s = x @ y.T if len(a) and len(b) else np.zeros((len(a), len(b)))
+        one = tiles.best_of_rows(a, b, s, neighbours, threshold, same)
+        if same:
+            return one
+        two = tiles.best_of_rows(b, a, s.T, neighbours, threshold, False)
+        return [np.concatenate(c) for c in zip(one, two, strict=True)]
+
+    pairs = tiles.tile_pairs(frames, compare, f"src {kind}, dst {kind}, score double", tile)
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    ranked = pairs.select("folder", "src", "dst", V.dot("va", "vb").alias("score")).withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= neighbours) & (F.col("score") > threshold))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
 
 
-def similar_frames(graph: DataFrame, frame_id: int, limit: int = 10) -> DataFrame:
-    return graph.where(F.col("src") == frame_id).orderBy("rank").limit(limit)
+def _neighbours_of(frames: DataFrame, neighbours: int, threshold: float, sources: Column) -> DataFrame:
+    """The same rows for some sources: an equi-join on their folders alone."""
+    unit = frames.where("v is not null").select("folder", "frame_id", V.l2_normalise("v").alias("v"))
+    a, b = unit.where(sources).toDF("folder", "src", "va"), unit.toDF("folder_b", "dst", "vb")
+    pairs = a.join(b, (F.col("folder") == F.col("folder_b")) & (F.col("src") != F.col("dst"))).select("folder", "src", "dst", V.dot("va", "vb").alias("score"))
+    order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    return pairs.where(F.col("score") > threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
+
+
+def similar_frames(frames: DataFrame, frame_id: int, limit: int = 10, threshold: float = 0.7) -> DataFrame:
+    """The neighbours of one frame in its folder; no other frame's are computed."""
+    return similarity_graph(frames, limit, threshold, sources=F.col("frame_id") == frame_id).orderBy("rank").limit(limit)
 
 
 def lsh_topk(frames: DataFrame, query: list[float], k: int, *, bits: int = 64, candidates: int = 200, recall: float = 0.95, seed: int = 7) -> DataFrame:
@@ -331,6 +382,54 @@ def cell_topk_batch(coded: DataFrame, centres: list[list[float]], queries: DataF
     return _ranked(found, k)
 
 
+@dataclass
+class VectorIndex:
+    """Frames under one search strategy, built once for many searches.
+
+    ``exact_ip`` and ``hnsw`` rank by inner product of unit vectors,
+    ``exact_l2`` by distance; ``lsh`` and ``kmeans_cells`` are approximate
+    with a recall of at least ``recall`` by their own bounds.
+    """
+
+    frames: DataFrame
+    strategy: str = "exact_ip"
+    recall: float = 0.95
+    cells: int | None = None
+
+    def __post_init__(self):
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"strategy must be one of {STRATEGIES}")
+        self.centres = self.probes = None
+
+    def build(self) -> VectorIndex:
+        """Checks ids and dimensions; fits and stores the cells where the strategy has any."""
+        seen = self.frames.agg(F.count("frame_id").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+        if seen["n"] and seen["low"] != seen["high"] and seen["missing"] < seen["n"]:
+            raise ValueError(f"vectors of {seen['low']} and of {seen['high']} dimensions")
+        health.assert_unique(self.frames, "frame_id")
+        if self.strategy == "kmeans_cells" and self.centres is None:
+            self.centres, coded = kmeans_cells(self.frames, self.cells)
+            self.frames = stored(coded)
+            self.probes = fitted_probes(self.frames, self.centres, 10, recall=self.recall)
+        return self
+
+    def search(self, query: list[float], k: int) -> DataFrame:
+        if self.strategy == "lsh":
+            return lsh_topk(self.frames, query, k, recall=self.recall)
+        if self.strategy == "kmeans_cells":
+            self.build()
+            return cell_topk(self.frames, self.centres, query, k, self.probes)
+        return topk(self.frames, query, k, metric="l2" if self.strategy == "exact_l2" else "ip")
+
+    def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
+        if self.strategy == "lsh":
+            return lsh_topk_batch(self.frames, queries, k, recall=self.recall)
+        if self.strategy == "kmeans_cells":
+            self.build()
+            return cell_topk_batch(self.frames, self.centres, queries, k, self.probes)
+        return topk_batch(self.frames, queries, k)  # unit vectors: the nearest have the largest product
+
+
 def detail(results: DataFrame, level: str = "standard") -> DataFrame:
     """Rows of results as ``key, payload`` (JSON), with the context as ``near<i>.<j>`` from level standard on."""
     name = lambda c: F.concat(c.cast("string"), F.lit(".jpg"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
 from lumenframe.operators.fold import fold_sorted
+from lumenframe.operators.tiles import unit_rows
 
 
 def _order():
@@ -111,18 +113,59 @@ def transition_frames(scenes: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.where(low <= high).select("folder", F.explode(F.sequence(low, high)).alias("pos")).distinct()
 
 
-def sequence_match(target: DataFrame, database: DataFrame, length: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Aligned windows of ``length`` frames whose mean cosine reaches the threshold: ``target_start, start, score``.
+def sequence_match(target: DataFrame, database: DataFrame, length: int = 5, threshold: float = 0.8, *, tile: int = 1024, target_block: int = 32_768) -> DataFrame:
+    """Aligned windows of ``length`` frames whose mean cosine reaches the threshold: ``folder, target_start, start, score``.
 
-    One join gives the frame cosines; windows run along its diagonals.
+    ``target`` is one sequence ``(pos, v)``, the stated query: it is counted
+    and meets the database in blocks of at most ``target_block`` positions.
+    Sequences of the database ``(folder, pos, v)`` are dealt into tiles of
+    ``tile`` positions that overlap by a window, so each window lies in one
+    tile; cosines are matrix products and windows their diagonals.
     """
-    a = target.select(F.col("pos").alias("i"), F.col("v").alias("va"))
-    b = database.select(F.col("pos").alias("j"), F.col("v").alias("vb"))
-    pairs = a.join(b)
-    sims = pairs.select("i", "j", (F.col("j") - F.col("i")).alias("diagonal"), V.cosine("va", "vb").alias("sim"))
-    w = Window.partitionBy("diagonal").orderBy("i").rowsBetween(0, length - 1)
-    runs = sims.withColumn("score", F.avg("sim").over(w)).withColumn("n", F.count("*").over(w))
-    return runs.where((F.col("n") == length) & (F.col("score") >= threshold)).select(F.col("i").alias("target_start"), F.col("j").alias("start"), "score")
+    n = target.where("v is not null").agg(F.max("pos")).first()[0]
+    kind = dict(database.dtypes)["folder"]
+    first, last = F.greatest(F.lit(0), F.floor((F.col("pos") - (length - 1)) / tile)), F.floor(F.col("pos") / tile)
+    tiled = database.where("v is not null").select("folder", "pos", "v", F.explode(F.sequence(first, last)).alias("tile"))
+    found = None
+    for at in range(0, (n if n is not None else -1) + 1, target_block):
+        rows = target.where(F.col("v").isNotNull() & F.col("pos").between(at, at + target_block + length - 2)).select("pos", "v").collect()
+        one = _match_block(tiled, [(r["pos"], r["v"]) for r in rows], at, target_block, length, threshold, tile, kind)
+        found = one if found is None else found.unionByName(one)
+    return database.sparkSession.createDataFrame([], f"folder {kind}, target_start long, start long, score double") if found is None else found
+
+
+def _match_block(tiled: DataFrame, target: list[tuple], at: int, block: int, length: int, threshold: float, tile: int, kind: str) -> DataFrame:
+    shared = tiled.sparkSession.sparkContext.broadcast(target)
+
+    def laid(rows, begin: int, n: int):
+        """Unit vectors by position, and which positions are there."""
+        m, here = np.zeros((n, len(rows[0][1]))), np.zeros(n, bool)
+        m[[p - begin for p, _ in rows]] = unit_rows([v for _, v in rows])
+        here[[p - begin for p, _ in rows]] = True
+        return m, here
+
+    def match(key, rows):
+        import pandas as pd
+
+        begin, out = int(key[1]) * tile, []
+        d, d_here = laid(list(zip(rows["pos"].tolist(), rows["v"], strict=True)), begin, tile + length - 1)
+        for lo in range(at, at + block, 2048):
+            n = min(2048, at + block - lo)
+            part = [(p, v) for p, v in shared.value if lo <= p < lo + n + length - 1]
+            if not part:
+                continue
+            t, t_here = laid(part, lo, n + length - 1)
+            sims = np.clip(t @ d.T, -1.0, 1.0)
+            whole = t_here[:, None] & d_here[None, :]
+            score = sum(sims[k : k + n, k : k + tile] for k in range(length)) / length
+            ok = np.logical_and.reduce([whole[k : k + n, k : k + tile] for k in range(length)])
+            i, j = np.nonzero(ok & (score >= threshold))
+            out.append(pd.DataFrame({"target_start": i + lo, "start": j + begin, "score": score[i, j]}))
+        found = pd.concat(out) if out else pd.DataFrame({"target_start": [], "start": [], "score": []})
+        found.insert(0, "folder", key[0])
+        return found
+
+    return tiled.groupBy("folder", "tile").applyInPandas(match, f"folder {kind}, target_start long, start long, score double")
 
 
 def interval_patterns(frames: DataFrame) -> DataFrame:

@@ -49,13 +49,11 @@ def topk_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {FRAMES}, t AS (SELECT q.frame_id AS query_id, c.folder, c.frame_id, list_cosine_similarity(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.frame_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.frame_id) AS rank "
-    "FROM f q, f c WHERE q.frame_id % 50 = 0) SELECT query_id, folder, frame_id, round(score, 6) AS score, rank FROM t WHERE rank <= 10"
+    "FROM f q, f c WHERE q.frame_id % 20 = 0) SELECT query_id, folder, frame_id, round(score, 6) AS score, rank FROM t WHERE rank <= 10"
 )
 def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = schemas.frames(spark, sf_dir)
-    q = f.where("frame_id % 50 = 0").select(F.col("frame_id").alias("query_id"), "v")
-    r = search.topk_batch(f, q, 10)
-    return r.select("query_id", "folder", "frame_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _out_batch(search.topk_batch(f, _every_20th(f), 10))
 
 
 def _with_context(results: DataFrame, frames: DataFrame, window: int = 3) -> DataFrame:
@@ -135,7 +133,7 @@ def similarity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GRAPH} SELECT folder, src, dst, round(score, 6) AS score, rank FROM g WHERE rank <= 10 AND score > 0.25 AND src = 7")
 def similar_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = search.similar_frames(search.similarity_graph(schemas.frames(spark, sf_dir), 10, 0.25), 7)
+    g = search.similar_frames(schemas.frames(spark, sf_dir), 7, 10, 0.25)
     return g.select("folder", "src", "dst", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -285,11 +283,23 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {POSITIONS}, x AS (SELECT a.pos AS i, b.pos AS j, b.pos - a.pos AS d, list_cosine_similarity(a.v, b.v) AS sim FROM p a, p b WHERE a.folder = 0 AND b.folder = 1), "
-    "w AS (SELECT i, j, avg(sim) OVER r AS score, count(*) OVER r AS n FROM x WINDOW r AS (PARTITION BY d ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) "
-    "SELECT i AS target_start, j AS start, round(score, 6) AS score FROM w WHERE n = 3 AND score >= 0.10"
+    f"WITH {POSITIONS}, x AS (SELECT b.folder, a.pos AS i, b.pos AS j, b.pos - a.pos AS d, list_cosine_similarity(a.v, b.v) AS sim FROM p a, p b WHERE a.folder = 0 AND b.folder <> 0), "
+    "w AS (SELECT folder, i, j, avg(sim) OVER r AS score, count(*) OVER r AS n FROM x WINDOW r AS (PARTITION BY folder, d ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) "
+    "SELECT folder, i AS target_start, j AS start, round(score, 6) AS score FROM w WHERE n = 3 AND score >= 0.10"
 )
 def sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence of folder 0 against those of all other folders."""
     p = temporal.ordered(schemas.frames(spark, sf_dir))
-    m = temporal.sequence_match(p.where("folder = 0"), p.where("folder = 1"), 3, 0.10)
-    return m.select("target_start", "start", F.round("score", 6).alias("score"))
+    m = temporal.sequence_match(p.where("folder = 0"), p.where("folder <> 0"), 3, 0.10)
+    return m.select("folder", "target_start", "start", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH {FRAMES}, i AS ({_topk(7, 10)}), d AS (SELECT folder, frame_id, row_number() OVER (ORDER BY list_distance(v, (SELECT v FROM f WHERE frame_id = 7)), frame_id) AS rank FROM f) "
+    "SELECT s AS strategy, frame_id, rank FROM i, (VALUES ('exact_ip'), ('hnsw')) t(s) UNION ALL SELECT 'exact_l2', frame_id, rank FROM d WHERE rank <= 10"
+)
+def index_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = schemas.frames(spark, sf_dir)
+    vector = search.vector_of(f, 7)
+    lists = {s: search.VectorIndex(f, s).build().search(vector, 10) for s in ("exact_ip", "exact_l2", "hnsw")}
+    return fusion.multi_server(lists).select(F.col("source_server").alias("strategy"), "frame_id", F.col("rank").cast("long").alias("rank"))
