@@ -63,3 +63,50 @@ def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
 def _forget(spark: SparkSession, name: str) -> None:
     if spark.sparkContext._jsc is not None:  # else the session has ended, and with it a catalog in memory
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path: any store that Spark reads."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = file_system(spark, path)
+    return bool(files.exists(where))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    files, where = file_system(spark, path)
+    return bool(files.delete(where, True))
+
+
+def write_file(spark: SparkSession, path: str, data: str | bytes) -> None:
+    """A small file, whole or not at all: written beside, checked to be non-empty, then renamed into place."""
+    data = data.encode() if isinstance(data, str) else data
+    if not data:
+        raise ValueError(f"nothing to write to {path}")
+    files, where = file_system(spark, path)
+    _, beside = file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if files.getFileStatus(beside).getLen() != len(data):
+        files.delete(beside, False)
+        raise OSError(f"{path} was not written whole")
+    files.delete(where, False)
+    if not files.rename(beside, where):
+        raise OSError(f"{path} could not be put in place")
+
+
+def backup(spark: SparkSession, path: str, stamp: str) -> str:
+    """A copy of a file or folder beside it, ``<path>.<stamp>.bak``."""
+    files, where = file_system(spark, path)
+    copy = f"{path}.{stamp}.bak"
+    context = spark.sparkContext
+    if not context._jvm.org.apache.hadoop.fs.FileUtil.copy(files, where, files, file_system(spark, copy)[1], False, True, context._jsc.hadoopConfiguration()):
+        raise OSError(f"{path} could not be copied")
+    return copy
