@@ -46,6 +46,14 @@ class Config:
             node = node.setdefault(part, {})
         node[last] = value
 
+    def repaired(self) -> Config:
+        """A copy in which every value with a problem has its default again."""
+        out = Config(self.values)
+        for problem in self.problems():
+            key = problem.split(":")[0]
+            out.set(key, copy.deepcopy(Config().get(key)))
+        return out
+
     def problems(self) -> list[str]:
         """What is wrong with the values; empty if nothing."""
         found = []
@@ -56,7 +64,16 @@ class Config:
             "performance.rate_limit": lambda v: isinstance(v, int) and v > 0,
             "cache.memory_mb": lambda v: isinstance(v, (int, float)) and v > 0,
             "network.node_timeout": lambda v: isinstance(v, (int, float)) and v > 0,
+            "search.mode": lambda v: v in ("hybrid", "vector", "semantic"),
+            "performance.slow_seconds": lambda v: isinstance(v, (int, float)) and v > 0,
+            "performance.rate_seconds": lambda v: isinstance(v, (int, float)) and v > 0,
+            **{f"cache.{k}": lambda v: isinstance(v, (int, float)) and v > 0 for k in ("query_ttl", "agent_ttl", "translation_ttl")},
+            "network.announce_seconds": lambda v: isinstance(v, (int, float)) and v > 0,
+            "network.sweep_seconds": lambda v: isinstance(v, (int, float)) and v > 0,
         }
+        for section in DEFAULTS:
+            if not isinstance(self.get(section), dict):
+                found.append(f"{section}: not a section")
         for key, ok in checks.items():
             if not ok(self.get(key)):
                 found.append(f"{key}: {self.get(key)!r}")

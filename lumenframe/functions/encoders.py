@@ -20,17 +20,26 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Deterministic offline encoder: signed hashes of up to 77 lower-cased tokens, of unit length."""
+    """Deterministic offline encoder: signed hashes of up to 77 lower-cased tokens, or of all runs of a file's bytes, of unit length."""
 
     def __init__(self, dimension: int = 64, max_tokens: int = 77):
         self.dimension, self.max_tokens = dimension, max_tokens
 
     def encode(self, items):
-        return [None if x is None else self._one(x if isinstance(x, str) else x.hex()) for x in items]
-
-    def _one(self, text: str) -> np.ndarray:
+        return [None if x is None else self._one(x.lower().split()[: self.max_tokens] if isinstance(x, str) else self._words(x)) for x in items]
+
+    @staticmethod
+    def _words(data: bytes) -> list[str]:
+        """Of bytes: text if they are text, else its runs of four bytes."""
+        data = bytes(data)
+        try:
+            return data.decode().lower().split()
+        except UnicodeDecodeError:
+            return [data[i : i + 4].hex() for i in range(0, len(data), 4)]
+
+    def _one(self, tokens: list[str]) -> np.ndarray:
         v = np.zeros(self.dimension)
-        for token in text.lower().split()[: self.max_tokens]:
+        for token in tokens:
             h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "little")
             v[h % self.dimension] += 1.0 if h >> 63 else -1.0
         length = np.sqrt(v @ v)

@@ -107,19 +107,54 @@ def image_hash(*columns):
     return _scored(perceptual_hash, T.LongType(), None)(*columns)
 
 
+def grid_vector(grey: np.ndarray, side: int = 8) -> list[float]:
+    """Offline image embedding: mean brightness on an even grid, without its mean, of unit length."""
+    v = _shrink(grey, side).ravel()
+    v = v - v.mean()
+    length = float(np.sqrt(v @ v))
+    return (v / length if length else v).tolist()
+
+
+def image_vector(*columns):
+    """Embedding of ``data, height, width, channels``; null for an image that can't be read, so nothing shifts."""
+    return _scored(grid_vector, T.ArrayType(T.DoubleType()), None)(*columns)
+
+
+def encode_jpeg(content, quality: int = 90):
+    """Whole images as JPEG of that quality; needs Pillow; null for one that can't be read."""
+
+    def one(image):
+        return image
+
+    return _reencoded(content, one, quality)
+
+
 def thumbnail(content, side: int = 224, quality: int = 95):
-    """Centre-cropped JPEG of encoded images; needs Pillow."""
+    """Centre-cropped JPEG of encoded images; needs Pillow; null for one that can't be read."""
+
+    def fit(image):
+        from PIL import Image, ImageOps
+
+        return ImageOps.fit(image, (side, side), Image.Resampling.LANCZOS)
 
+    return _reencoded(content, fit, quality)
+
+
+def _reencoded(content, change, quality: int):
     @F.pandas_udf(T.BinaryType())
     def run(data: pd.Series) -> pd.Series:
         try:
-            from PIL import Image, ImageOps
+            from PIL import Image
         except ImportError as e:
-            raise RuntimeError("thumbnails need Pillow") from e
+            raise RuntimeError("JPEG output needs Pillow") from e
 
         def one(d):
+            try:
+                image = Image.open(io.BytesIO(d)).convert("RGB")
+            except (OSError, TypeError, ValueError):
+                return None
             out = io.BytesIO()
-            ImageOps.fit(Image.open(io.BytesIO(d)).convert("RGB"), (side, side), Image.Resampling.LANCZOS).save(out, "JPEG", quality=quality)
+            change(image).save(out, "JPEG", quality=quality)
             return out.getvalue()
 
         return data.map(one)

@@ -48,11 +48,38 @@ def structured_query(text: Column, phrases: list[tuple[str, str]]) -> Column:
     """
     language = detect_language(text)
     blank = text.isNull() | (F.trim(text) == "")
-    prompt = F.when(blank, "").when(language == "vi", translate_dictionary(text, phrases)).otherwise(text)
+    prompt = F.when(blank, F.coalesce(text, F.lit(""))).when(language == "vi", translate_dictionary(text, phrases)).otherwise(text)
     confidence = F.when(blank, 0.0).when(language == "vi", 0.3).otherwise(0.1)
     return F.struct(prompt.alias("clip_prompt"), confidence.alias("confidence"), language.alias("language"))
 
 
+#: Parts of an understood query that only a language model fills in.
+QUERY_PARTS = ("objects", "actions", "scene", "time", "style", "mood")
+
+
+def full_query(text: Column, phrases: list[tuple[str, str]], vocabulary: dict[str, list[str]] | None = None) -> Column:
+    """All fields of a structured query, offline: prompt, confidence, language, and its parts.
+
+    A part holds the words of the prompt that the vocabulary lists for it, in
+    order and joined by commas; without any it is null.
+    """
+    known = structured_query(text, phrases)
+    words = terms(known["clip_prompt"])
+
+    def part(name: str) -> Column:
+        listed = (vocabulary or {}).get(name, [])
+        found = F.array_join(F.filter(words, lambda w: w.isin(*listed)), ", ") if listed else F.lit("")
+        return F.when(found != "", found).alias(name)
+
+    parts = [part(name) for name in QUERY_PARTS]
+    return F.struct(*parts, known["clip_prompt"].alias("clip_prompt"), known["confidence"].alias("confidence"), known["language"].alias("language"))
+
+
+def query_key(text: Column) -> Column:
+    """Cache key of an understood query: its language and the digest of the text as it stands."""
+    return F.concat_ws("_", detect_language(text), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def effective_prompt(text: Column, query: Column, strict: bool = False, least: float = 0.3) -> Column:
     """The rewritten prompt if its confidence reaches ``least`` (``strict``: exceeds it), else the text."""
     ok = query["confidence"] > least if strict else query["confidence"] >= least
@@ -93,6 +120,17 @@ def token_features(text: Column) -> Column:
     )
 
 
+def token_lists(text: Column) -> Column:
+    """The lists behind ``token_features``: tokens, numbers, single letters, signs."""
+    text = F.coalesce(text, F.lit(""))
+    tokens = F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
+    every = lambda rule: F.regexp_extract_all(text, F.lit(rule), F.lit(0))
+    return F.struct(
+        tokens.alias("tokens"), F.transform(tokens, F.lower).alias("lemmas"), every("[0-9]+").alias("numbers"),
+        F.filter(tokens, lambda x: x.rlike("^[A-Za-z]$")).alias("letters"), every("[!-/:-@\\[-`{-~]").alias("punctuation"),
+    )
+
+
 def label_block(text: Column, name: Column, others: Column, default: Column) -> Column:
     """Text after ``[name]:``, ``Frame name:`` or ``name:`` up to the next label of one of ``others``.
 
@@ -160,3 +198,63 @@ def frame_reference(text: Column) -> Column:
     """``folder:frame`` split once; the frame is null if absent."""
     parts = F.split(F.trim(text), ":", 2)
     return F.struct(F.get(parts, F.lit(0)).alias("folder"), F.trim(F.get(parts, F.lit(1))).alias("frame"))
+
+
+#: Words for "no frames".
+NO_FRAMES = ("", "[]", "null", "none")
+
+
+def frame_list(text: Column) -> Column:
+    """Identifiers of a list in any of its forms: JSON (quotes of either kind), comma-separated, or one alone.
+
+    Null, blank, ``[]`` and words for nothing are the empty list.
+    """
+    trimmed = F.trim(F.coalesce(text, F.lit("")))
+    json = F.from_json(F.replace(trimmed, F.lit("'"), F.lit('"')), "array<string>")
+    looks = trimmed.rlike(r"^\[.*\]$") & json.isNotNull()
+    plain = F.filter(F.transform(F.split(trimmed, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.lower(trimmed).isin(*NO_FRAMES), F.array().cast("array<string>")).when(looks, json).otherwise(plain)
+
+
+def frame_references(text: Column, most: int = 5) -> Column:
+    """The first ``most`` of a list as ``folder, frame, problem``; one without a colon says what is wrong."""
+    listed = F.filter(frame_list(text), lambda x: F.trim(x) != "")
+
+    def one(x: Column) -> Column:
+        ref, ok = frame_reference(x), F.contains(x, F.lit(":"))
+        problem = F.when(~ok, F.concat(F.lit("not a folder:frame reference: "), x))
+        return F.struct(F.when(ok, ref["folder"]).alias("folder"), F.when(ok, ref["frame"]).alias("frame"), problem.alias("problem"))
+
+    return F.transform(F.slice(listed, 1, most), one)
+
+
+def frame_key(folder: Column, image: Column) -> Column:
+    """``folder_image``, for display; joins use the two columns."""
+    return F.concat(folder, F.lit("_"), image)
+
+
+def parse_frame_key(key: Column) -> Column:
+    """``folder`` and ``image``, parted at the first underscore; without one there is no image."""
+    parts = F.split(key, "_", 2)
+    return F.struct(F.get(parts, F.lit(0)).alias("folder"), F.get(parts, F.lit(1)).alias("image"))
+
+
+def display_id(folder: Column, frame: Column) -> Column:
+    return F.concat_ws("-", folder.cast("string"), frame.cast("string"))
+
+
+def plural(n: Column, one: str, many: str | None = None) -> Column:
+    """``1 frame``, ``2 frames``."""
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many or f"{one}s"))
+
+
+def safe_text(text: Column, limit: int = 100) -> Column:
+    """One line for a log: control signs become blanks; cut to ``limit`` with an ellipsis."""
+    line = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x1F\x7F]+", " ")
+    return F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit), F.lit("..."))).otherwise(line)
+
+
+def log_message(message: Column, **values: Column) -> Column:
+    """``message | a=1 b=2``; without values the message alone."""
+    pairs = [F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("null"))) for k, v in values.items()]
+    return F.concat_ws(" | ", message, F.concat_ws(" ", *pairs)) if pairs else message

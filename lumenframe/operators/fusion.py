@@ -8,14 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import search
+from lumenframe.storage import stored
 
 
 def rank_results(results: DataFrame, limit: int | None = None) -> DataFrame:
-    """Ranks 1..n by score, then id; at most ``limit`` rows."""
-    best = results.orderBy(F.desc("score"), "frame_id")
+    """Ranks 1..n by score, then id; at most ``limit`` rows.
+
+    Without a limit the rows are sorted in ranges, and a rank is the place in
+    its range after the rows of the ranges before: no task sees all rows.
+    """
+    order = (F.desc("score"), F.asc("frame_id"))
     if limit is not None:
-        best = best.limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "frame_id")))
+        return results.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    placed = stored(results.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each range
+        starts.append((r["part"], before))
+        before += r["count"]
+    ranges = results.sparkSession.createDataFrame(starts, "__part long, __before long")
+    ranked = placed.join(F.broadcast(ranges), part == F.col("__part"))
+    return ranked.select(*results.columns, (F.col("__before") + at + 1).cast("int").alias("rank"))
 
 
 def weighted_fusion(first: DataFrame, second: DataFrame, w1: float = 0.7, w2: float = 0.3) -> DataFrame:
@@ -72,14 +85,17 @@ def multi_server(results: dict[str, DataFrame]) -> DataFrame:
 
 def explain(results: DataFrame, query: str, top: int = 10) -> DataFrame:
     """Adds an explanation to the first ``top`` results that have none."""
+    # fixed value: the sentence
     text = F.format_string(f"This frame matches your query '{query.replace('%', '%%')}' based on visual similarity (score: %.3f).", "score")
     known = F.col("explanation") if "explanation" in results.columns else F.lit(None).cast("string")
     return results.withColumn("explanation", F.when((F.col("rank") <= top) & known.isNull(), text).otherwise(known))
 
 
-def validate(results: DataFrame) -> DataFrame:
-    """Drops rows without identity and clamps scores into [0, 1]."""
+def validate(results: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Drops rows without identity and clamps scores into [0, 1]; with an inventory (``path``), rows whose file is gone as well."""
     ok = F.col("folder").isNotNull() & F.col("frame_id").isNotNull()
+    if files is not None:
+        results = results.join(files.select(F.col("path").alias("__file")).distinct(), F.col("file_path") == F.col("__file"), "left_semi")
     return results.where(ok).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
 
 

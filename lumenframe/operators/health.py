@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: hours after which files of a kind are cleaned up
+MAINTENANCE_HOURS = {"cache": 7 * 24, "temp": 24, "log": 30 * 24}
+
 
 def valid_keyframe() -> Column:
     """Three non-empty strings and an id."""
@@ -65,3 +68,48 @@ def compatible_structure(expected: DataFrame, present: DataFrame, least: float =
     """Share of the expected folders that are present, and whether it reaches ``least``."""
     found = expected.select("folder").distinct().join(present.select("folder", F.lit(1).alias("f")).distinct(), "folder", "left")
     return found.agg(F.round(F.count("f") / F.count("*"), 6).alias("present")).withColumn("compatible", F.col("present") >= least)
+
+
+def sweep(nodes: DataFrame, now: Column, timeout: str = "300 seconds", local_id=None) -> DataFrame:
+    """Sessions or nodes with ``silent_seconds`` and whether they are ``expired``; the local one never is."""
+    silent = (F.unix_micros(now) - F.unix_micros("last_seen")) / 1e6
+    late = F.col("last_seen") < now - F.expr(f"interval {timeout}")
+    if local_id is not None:
+        late = late & ~F.col("node_id").eqNullSafe(F.lit(local_id))
+    return nodes.withColumn("silent_seconds", F.round(silent, 3)).withColumn("expired", late)
+
+
+def maintenance(files: DataFrame, now: Column, ages: dict[str, int] | None = None) -> DataFrame:
+    """What a clean-up would delete, by kind: ``kind, files, expired, bytes`` (a dry run).
+
+    ``files``: ``kind, bytes, mtime``; ``ages``: hours after which a kind expires.
+    """
+    ages = ages or MAINTENANCE_HOURS
+    limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(h)) for k, h in ages.items()])
+    hours = (F.unix_micros(now) - F.unix_micros("mtime")) / 3.6e9
+    gone = F.coalesce(hours > limit, F.lit(False))
+    return files.groupBy("kind").agg(F.count("*").alias("files"), F.count_if(gone).alias("expired"), F.coalesce(F.sum(F.when(gone, F.col("bytes"))), F.lit(0)).cast("long").alias("bytes"))
+
+
+def component_health(components: DataFrame) -> DataFrame:
+    """Check rows of ``component, handlers, errors``: it has a handler, and started without an error."""
+    parts = F.array(
+        F.struct(F.lit("handlers").alias("check"), (F.col("handlers") > 0).alias("ok"), F.lit("missing handlers").alias("issue")),
+        F.struct(F.lit("errors").alias("check"), (F.col("errors") == 0).alias("ok"), F.concat(F.col("errors").cast("string"), F.lit(" errors at start")).alias("issue")),
+    )
+    return components.select("component", F.explode(parts).alias("c")).select("component", "c.check", "c.ok", "c.issue")
+
+
+def retriever_health(frames: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Check rows of an index and its metadata: rows, one dimension, finite vectors, ids once, a row for each vector."""
+    size = F.size("v")
+    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    one = gates(frames, {
+        "rows": (F.count("*") > 0, "missing rows"),
+        "dimension": (F.min(size) == F.max(size), "invalid dimensions"),
+        "finite": (F.bool_and(F.coalesce(finite, F.lit(False))), "invalid vectors"),
+        "ids": (F.count("*") == F.count_distinct("frame_id"), "invalid ids"),
+    }, "retriever")
+    lone = frames.select("frame_id").join(metadata.select(F.col("frame_id").alias("m")), F.col("frame_id") == F.col("m"), "left_anti")
+    two = gates(lone, {"partners": (F.count("*") == 0, "missing metadata")}, "metadata")
+    return one.unionByName(two)

@@ -49,23 +49,56 @@ def positions(files: DataFrame) -> DataFrame:
     return files.withColumn("sequence_position", F.row_number().over(w.orderBy("frame_id", "stem")) - 1).withColumn("total_frames", F.count("*").over(w).cast("int"))
 
 
-def resolve_paths(wanted: DataFrame, inventory: DataFrame, roots: list[str]) -> DataFrame:
-    """First existing path of the cascade: as it is, then under each root; null if none exists."""
-    candidates = [F.col("path"), *[F.concat(F.lit(r.rstrip("/") + "/"), T.relative_path(F.col("path"))) for r in roots]]
-    listed = wanted.select("path", F.posexplode(F.array(*candidates)).alias("priority", "candidate"))
+def candidates(path: Column, roots: list[str], *, cwd: str | None = None, registered: dict[str, str] | None = None, parents: int = 3) -> Column:
+    """Where a file may be, first choice first.
+
+    As it is; under the working folder; beside its folder (the same name in
+    the folder above); under each of its ``parents`` nearest parent folders;
+    under each root; with a registered prefix replaced.
+    """
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts, tail = F.split(slashed, "/"), T.relative_path(path)
+    name = F.element_at(parts, -1)
+    under = lambda up: F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), "/")
+    found = [path]
+    if cwd:
+        found += [F.concat(F.lit(cwd.rstrip("/") + "/"), x) for x in (tail, name)]
+    found.append(F.concat(under(2), F.lit("/"), name))
+    found += [F.concat(under(k), F.lit("/"), tail) for k in range(2, 2 + parents)]
+    found += [F.concat(F.lit(r.rstrip("/") + "/"), tail) for r in roots]
+    found += [F.when(F.startswith(slashed, F.lit(a)), F.concat(F.lit(b), F.substring(slashed, len(a) + 1, F.length(slashed)))) for a, b in (registered or {}).items()]
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def resolve_paths(wanted: DataFrame, inventory: DataFrame, roots: list[str], **where) -> DataFrame:
+    """``wanted`` with ``resolved``: the first of the ``candidates`` that the inventory has; null if none."""
+    paths = wanted.select("path").distinct()
+    listed = paths.select("path", F.posexplode(candidates(F.col("path"), roots, **where)).alias("priority", "candidate"))
     found = listed.join(inventory.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
     best = found.groupBy("path").agg(F.min_by("candidate", "priority").alias("resolved"))
     return wanted.join(best, "path", "left")
 
 
 def resolution_report(resolved: DataFrame) -> DataFrame:
+    """Total, found, rate; one row.  ``failures`` lists the others."""
     ok = F.col("resolved").isNotNull()
     return resolved.agg(F.count("*").alias("total"), F.count_if(ok).alias("found"), F.round(F.avg(ok.cast("double")), 6).alias("rate"))
 
 
-def batches(rows: DataFrame, order: Column, size: int = 32) -> DataFrame:
-    """Numbered batches by order; positions come from a sort, within one key if given by ``order``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+def failures(resolved: DataFrame) -> DataFrame:
+    """Paths that were not found, each once."""
+    return resolved.where("resolved is null").select("path").distinct()
+
+
+def with_image(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of a frame map whose image ``(folder, stem)`` exists."""
+    return rows.join(files.select("folder", "stem"), ["folder", "stem"], "left_semi")
+
+
+def batches(rows: DataFrame, size: int = 32, key: str = "folder", order: str = "frame_id") -> DataFrame:
+    """Numbered batches of at most ``size`` rows within each key, by order."""
+    w = Window.partitionBy(key).orderBy(order)
+    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
 def lookup(frames: DataFrame, folder, frame_id) -> DataFrame:

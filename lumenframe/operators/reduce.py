@@ -212,6 +212,60 @@ def multilevel_pipeline(frames: DataFrame, *, scene: float = 0.7, hash_distance:
     return recent_dedup(back, similarity, last)
 
 
+def tagged_pipeline(frames: DataFrame, config: ReductionConfig = ReductionConfig()) -> DataFrame:
+    """Every frame with the stage that removed it: ``folder, frame_id, scene_id, sim, removed_by``.
+
+    ``removed_by`` is ``quality``, ``scene`` (its scene is too short), ``dedup``
+    or null for kept ones; ``scene_id`` and ``sim`` (to the frame before) are
+    null for frames that the quality gate removed.
+    """
+    source = frames
+    if config.quality:
+        judged = quality_adaptive(frames, config.percentile) if config.adaptive else quality_fixed(frames, config.fixed_blur, config.fixed_edge)
+        source = judged.where("reason = 'acceptable'")
+    labelled = temporal.scene_labels(temporal.sequential_similarity(source.select("folder", "frame_id", "v")), config.transition)
+    size = F.count("*").over(temporal.Window.partitionBy("folder", "scene_id"))
+    labelled = labelled.select(F.col("frame_id").alias("__id"), "scene_id", "sim", (size < config.min_scene).alias("__short"))
+    kept = quality_pipeline(frames, config).select(F.col("frame_id").alias("__kept"))
+    every = frames.select("folder", "frame_id").join(labelled, F.col("frame_id") == F.col("__id"), "left").join(kept, F.col("frame_id") == F.col("__kept"), "left")
+    removed = F.when(F.col("__id").isNull(), "quality").when(F.col("__short"), "scene").when(F.col("__kept").isNull(), "dedup")
+    return every.select("folder", "frame_id", "scene_id", "sim", removed.alias("removed_by"))
+
+
+def stage_report(tagged: DataFrame, transition: float) -> DataFrame:
+    """Per folder: original, kept, removed by each stage, percent kept, scenes kept, transitions, mean similarity."""
+    by = lambda stage: F.count_if(F.col("removed_by") == stage)
+    kept = F.count_if(F.col("removed_by").isNull())
+    return tagged.groupBy("folder").agg(
+        F.count("*").alias("original"), kept.alias("kept"), by("quality").alias("removed_quality"), by("scene").alias("removed_scene"), by("dedup").alias("removed_dedup"),
+        F.round(100 * kept / F.count("*"), 4).alias("kept_percent"),
+        F.count_distinct(F.when(F.coalesce(F.col("removed_by"), F.lit("kept")).isin("kept", "dedup"), F.col("scene_id"))).alias("scenes"),
+        F.count_if(F.col("sim") < transition).alias("transitions"), F.round(F.avg("sim"), 6).alias("average_similarity"),
+    )
+
+
+def stage_summary(report: DataFrame) -> DataFrame:
+    """Over all folders, one row: sums, the mean of the folders' percentages, folders with a frame left."""
+    return report.agg(
+        F.count("*").alias("folders"), F.count_if(F.col("kept") > 0).alias("successful"), F.sum("original").alias("original"), F.sum("kept").alias("kept"),
+        F.round(F.avg("kept_percent"), 4).alias("mean_kept_percent"),
+    )
+
+
+def batch_summary(report: DataFrame) -> DataFrame:
+    """Totals, share removed, and whole frames kept per folder on average; one row."""
+    t = report.agg(F.count("*").alias("videos"), F.sum("original").alias("frames"), F.sum("kept").alias("keyframes"))
+    ratio = F.when(F.col("frames") > 0, F.round(1 - F.col("keyframes") / F.col("frames"), 6)).otherwise(F.lit(0.0))
+    return t.withColumn("reduction", ratio).withColumn("per_video", F.when(F.col("videos") > 0, F.floor(F.col("keyframes") / F.col("videos"))).otherwise(F.lit(0)).cast("long"))
+
+
+def dedup_report(scenes: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per folder and scene: frames before and after the removal, and how many went."""
+    tagged = scenes.join(kept.select(F.col("frame_id").alias("__kept")), F.col("frame_id") == F.col("__kept"), "left")
+    r = tagged.groupBy("folder", "scene_id").agg(F.count("*").alias("original"), F.count("__kept").alias("filtered"))
+    return r.withColumn("removed", F.col("original") - F.col("filtered"))
+
+
 def reduction_report(frames: DataFrame, kept: DataFrame) -> DataFrame:
     """Per folder and in total (``folder`` null): original, kept, removed, percent."""
     tagged = frames.join(kept.select("frame_id", F.lit(1).alias("__kept")), "frame_id", "left")

@@ -16,6 +16,8 @@ from lumenframe.operators import health, tiles
 from lumenframe.storage import stored
 
 MODES = ("hybrid", "vector", "semantic")
+# fixed values: other names of modes that requests may use
+MODE_NAMES = {"clip_only": "vector", "llm_enhanced": "semantic"}
 #: Graph indexes have no counterpart in Spark: ``hnsw`` is answered by the exact search, which finds all that it would.
 STRATEGIES = ("exact_ip", "exact_l2", "hnsw", "lsh", "kmeans_cells")
 
@@ -32,6 +34,7 @@ class SearchOptions:
     include_explanations: bool = True
 
     def __post_init__(self):
+        object.__setattr__(self, "mode", MODE_NAMES.get(self.mode, self.mode))
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         if not 0 < self.limit <= 1000:

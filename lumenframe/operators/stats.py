@@ -34,18 +34,27 @@ def slow_rollup(events: DataFrame, slow: float, now: Column) -> DataFrame:
     )
 
 
-def client_stats(events: DataFrame, window: int = 500, mode: bool = True) -> DataFrame:
+def _window_stats(events: DataFrame, key: str, window: int) -> tuple[DataFrame, DataFrame]:
+    kept = last_n(events, key, window)
+    return kept, kept.groupBy(key).agg(F.count("*").alias("count"), F.round(F.sum("duration"), 4).alias("total"), F.round(F.avg("duration"), 4).alias("avg"), F.countDistinct("operation").alias("operations"))
+
+
+def client_stats(events: DataFrame, window: int = 500) -> DataFrame:
     """Per client over its last events: totals, distinct operations and the commonest (ties: first by name)."""
-    kept = last_n(events, "client", window)
-    totals = kept.groupBy("client").agg(F.count("*").alias("count"), F.round(F.sum("duration"), 4).alias("total"), F.round(F.avg("duration"), 4).alias("avg"), F.countDistinct("operation").alias("operations"))
-    if not mode:
-        return totals
+    kept, totals = _window_stats(events, "client", window)
     counts = kept.groupBy("client", "operation").agg(F.count("*").alias("n"))
     w = Window.partitionBy("client").orderBy(F.desc("n"), "operation")
     common = counts.withColumn("k", F.row_number().over(w)).where("k = 1").select("client", F.col("operation").alias("most_common"))
     return totals.join(common, "client")
 
 
+def team_stats(events: DataFrame, window: int = 200) -> DataFrame:
+    """Per ``team`` over its last events: totals, distinct operations and distinct members."""
+    kept, totals = _window_stats(events, "team", window)
+    members = kept.groupBy("team").agg(F.countDistinct("client").alias("members"))
+    return totals.join(members, "team")
+
+
 def error_counts(events: DataFrame, error: str = "error_type", operation: str = "operation") -> DataFrame:
     return events.groupBy(F.concat_ws(":", error, operation).alias("error")).agg(F.count("*").alias("count"))
 
@@ -60,6 +69,30 @@ def global_rollup(events: DataFrame, slow: float, now: Column) -> DataFrame:
     return totals.withColumn("healthy", (F.col("slow") <= 10) & (F.col("recent_slow") <= 5))
 
 
+def monitor_alarms(slow: Column, errors: Column, recent_slow: Column, timers: Column) -> Column:
+    """Names of the monitor's alarms: over 10 slow operations, 50 errors, 5 slow ones lately, 100 open timers."""
+    limits = (("slow_operations", slow, 10), ("errors", errors, 50), ("recent_slow", recent_slow, 5), ("open_timers", timers, 100))  # fixed values
+    return F.array_compact(F.array(*[F.when(c > n, F.lit(name)) for name, c, n in limits]))
+
+
+def monitor_health(events: DataFrame, now: Column, slow: float = 5.0) -> DataFrame:
+    """One row of a log with ``error`` and ``open`` (a timer without a stop): its counts and alarms."""
+    c = events.agg(
+        F.count_if(F.col("duration") > slow).alias("slow"), F.count_if("error").alias("errors"),
+        F.count_if((F.col("duration") > slow) & (F.col("ts") > now - F.expr("interval 1 hour"))).alias("recent_slow"), F.count_if("open").alias("timers"),
+    )
+    return c.withColumn("alarms", F.array_join(monitor_alarms(*map(F.col, ("slow", "errors", "recent_slow", "timers"))), ","))
+
+
+def index_stats(frames: DataFrame) -> DataFrame:
+    """One row: frames, folders, dimension, bytes of the vectors, frames without one."""
+    size = F.coalesce(F.size("v"), F.lit(0))
+    return frames.agg(
+        F.count("*").alias("frames"), F.countDistinct("folder").alias("folders"), F.max(size).cast("long").alias("dimension"),
+        F.sum(size * 4).cast("long").alias("vector_bytes"), F.count_if(F.col("v").isNull()).alias("without_vector"),
+    )
+
+
 def folder_stats(files: DataFrame) -> DataFrame:
     """Files per folder with the share of all (one row per folder)."""
     per = files.groupBy("folder").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
@@ -78,8 +111,12 @@ def structure_profile(files: DataFrame, sample_folders: int = 3, sample_files: i
 
 
 def cache_stats(log: DataFrame) -> DataFrame:
-    """Hit rate of a cache log (``hit`` boolean) and the alarm of a low one."""
-    s = log.agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"))
+    """Hit rate of a cache log (``hit`` boolean) and the alarm of a low one.
+
+    With ``used`` and ``budget`` bytes in the log, the greatest share in use.
+    """
+    used = [F.round(100 * F.max(F.col("used") / F.col("budget")), 2).alias("memory_percent")] if "used" in log.columns else []
+    s = log.agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"), *used)
     rate = F.round(F.col("hits") / F.greatest("requests", F.lit(1)), 3)
     return s.withColumn("hit_rate", rate).withColumn("low_hit_rate", (F.col("requests") > 100) & (F.col("hits") / F.col("requests") < 0.1))
 

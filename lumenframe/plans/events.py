@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import schemas
+from lumenframe.functions import text as T
 from lumenframe.operators import health, stats
 from lumenframe.streaming import stateful, windows
 
@@ -48,9 +49,21 @@ def agent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.client_stats(schemas.performance(spark, sf_dir))
 
 
-@query(_CLIENT + " SELECT * FROM t")
+@query(
+    "WITH w AS (SELECT *, user_id % 10 AS team, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
+    "SELECT team, count(*) AS count, round(sum(value), 4) AS total, round(avg(value), 4) AS avg, count(DISTINCT event_type) AS operations, count(DISTINCT user_id) AS members FROM w WHERE rn <= 200 GROUP BY 1"
+)
 def team_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.client_stats(schemas.performance(spark, sf_dir), mode=False)
+    return stats.team_stats(schemas.performance(spark, sf_dir).withColumn("team", F.col("client") % 10))
+
+
+@query(
+    f"WITH c AS (SELECT count(*) FILTER (WHERE value > 100) AS slow, count(*) FILTER (WHERE value > 400) AS errors, count(*) FILTER (WHERE value > 100 AND ts > {_NOW} - INTERVAL 1 HOUR) AS recent_slow, count(*) FILTER (WHERE event_id % 97 = 0) AS timers FROM events) "
+    "SELECT *, concat_ws(',', CASE WHEN slow > 10 THEN 'slow_operations' END, CASE WHEN errors > 50 THEN 'errors' END, CASE WHEN recent_slow > 5 THEN 'recent_slow' END, CASE WHEN timers > 100 THEN 'open_timers' END) AS alarms FROM c"
+)
+def monitor_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = schemas.performance(spark, sf_dir)
+    return stats.monitor_health(e.withColumn("error", F.col("duration") > 400).withColumn("open", F.col("event_id") % 97 == 0), _now(e), 100.0)
 
 
 @query("SELECT event_type || ':' || user_id AS error, count(*) AS count FROM events GROUP BY 1")
@@ -80,7 +93,17 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.rate_limit(_timed(spark, sf_dir), 2, 43_200.0)
 
 
-@query()
+_CACHE = (
+    "WITH RECURSIVE e AS (SELECT event_id, event_type AS shard, user_id AS k, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events), "
+    "r AS (SELECT shard, n, event_id, FALSE AS hit, [{'k': k, 't': t}] AS log FROM e WHERE n = 1 UNION ALL "
+    "SELECT shard, n, event_id, hit, l[greatest(len(l) - 49, 1) : len(l)] AS log FROM ("
+    "SELECT e.shard, e.n, e.event_id, len(list_filter(r.log, lambda x: x.k = e.k AND e.t - x.t < 86400)) > 0 AS hit, "
+    "list_append(list_filter(r.log, lambda x: x.k <> e.k), {'k': e.k, 't': coalesce(list_filter(r.log, lambda x: x.k = e.k AND e.t - x.t < 86400)[1].t, e.t)}) AS l "
+    "FROM r JOIN e ON e.shard = r.shard AND e.n = r.n + 1)) "
+)
+
+
+@query(_CACHE + "SELECT shard, event_id, hit FROM r")
 def cache_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _timed(spark, sf_dir).select(F.col("operation").alias("shard"), F.col("client").alias("key"), "event_id", "t")
     return stateful.cache_simulation(e, 86_400.0, 50)
@@ -129,9 +152,47 @@ def timer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pair_timers(starts, stops).select("timer_id", F.round(F.col("duration") * 1e6).cast("long").alias("duration_us"))
 
 
-@query("SELECT count(*) AS requests, count(*) FILTER (WHERE value < 100) AS hits, round(count(*) FILTER (WHERE value < 100) / count(*), 3) AS hit_rate, count(*) > 100 AND count(*) FILTER (WHERE value < 100) / count(*) < 0.1 AS low_hit_rate FROM events")
+@query(_CACHE + "SELECT count(*) AS requests, count(*) FILTER (WHERE hit) AS hits, round(count(*) FILTER (WHERE hit) / count(*), 3) AS hit_rate, count(*) > 100 AND count(*) FILTER (WHERE hit) / count(*) < 0.1 AS low_hit_rate FROM r")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.cache_stats(schemas.performance(spark, sf_dir).withColumn("hit", F.col("duration") < 100))
+    """Of the simulated cache."""
+    return stats.cache_stats(cache_simulation(spark, sf_dir))
+
+
+@query(
+    f"WITH a AS (SELECT user_id AS node_id, max(ts) AS last_seen FROM events GROUP BY 1) SELECT node_id, round((epoch_us({_NOW}) - epoch_us(last_seen)) / 1e6, 3) AS silent_seconds, last_seen < {_NOW} - INTERVAL 1 DAY AND node_id <> 7 AS expired FROM a"
+)
+def session_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = schemas.performance(spark, sf_dir)
+    nodes = e.groupBy(F.col("client").alias("node_id")).agg(F.max("ts").alias("last_seen"))
+    return health.sweep(nodes, _now(e), "1 day", 7).select("node_id", "silent_seconds", "expired")
+
+
+@query(
+    "WITH f AS (SELECT CASE user_id % 4 WHEN 0 THEN 'cache' WHEN 1 THEN 'temp' WHEN 2 THEN 'log' ELSE 'other' END AS kind, event_id AS bytes, ts AS mtime FROM events), "
+    f"g AS (SELECT *, coalesce((epoch_us({_NOW}) - epoch_us(mtime)) / 3.6e9 > CASE kind WHEN 'cache' THEN 168 WHEN 'temp' THEN 24 WHEN 'log' THEN 480 END, FALSE) AS gone FROM f) "
+    "SELECT kind, count(*) AS files, count(*) FILTER (WHERE gone) AS expired, CAST(coalesce(sum(bytes) FILTER (WHERE gone), 0) AS BIGINT) AS bytes FROM g GROUP BY 1"
+)
+def maintenance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = schemas.performance(spark, sf_dir)
+    k = F.col("client") % 4
+    kind = F.when(k == 0, "cache").when(k == 1, "temp").when(k == 2, "log").otherwise("other")
+    return health.maintenance(e.select(kind.alias("kind"), F.col("event_id").alias("bytes"), F.col("ts").alias("mtime")), _now(e), {"cache": 168, "temp": 24, "log": 480})
+
+
+@query(
+    "WITH c AS (SELECT 'client' || user_id AS component, count(DISTINCT event_type) FILTER (WHERE value < 300) AS handlers, count(*) FILTER (WHERE value > 300) AS errors FROM events GROUP BY 1) "
+    "SELECT component, 'handlers' AS \"check\", handlers > 0 AS ok, 'missing handlers' AS issue FROM c UNION ALL SELECT component, 'errors', errors = 0, errors || ' errors at start' FROM c"
+)
+def component_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = schemas.performance(spark, sf_dir)
+    c = e.groupBy(F.concat(F.lit("client"), "client").alias("component")).agg(F.countDistinct(F.when(F.col("duration") < 300, F.col("operation"))).alias("handlers"), F.count_if(F.col("duration") > 300).alias("errors"))
+    return health.component_health(c)
+
+
+@query("SELECT event_id, md5(event_type || ' | client=' || user_id || ' id=' || event_id) AS line FROM events")
+def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = schemas.performance(spark, sf_dir)
+    return e.select("event_id", F.md5(T.log_message(F.col("operation"), client=F.col("client"), id=F.col("event_id"))).alias("line"))
 
 
 @query("SELECT count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS actual, round(greatest(1.0, count(*) * 57248 / sum(n_chars)), 4)::DOUBLE AS ratio FROM documents")

@@ -272,6 +272,76 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.reduction_report(schemas.frames(spark, sf_dir), _pipeline(spark, sf_dir).select("frame_id"))
 
 
+# --- the whole pipeline, with the quality gate: documents give the scores of the frames with their ids
+
+_JUDGED = (
+    "f AS (SELECT label AS folder, vec_id AS frame_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, n_chars::DOUBLE AS blur_score, len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' '))::DOUBLE AS edge_density FROM embeddings JOIN documents ON doc_id = vec_id), "
+    "t AS (SELECT folder, quantile_cont(blur_score, 0.1) AS pb, quantile_cont(edge_density, 0.1) AS pe FROM f GROUP BY 1), g AS (SELECT f.* FROM f JOIN t USING (folder) WHERE blur_score >= pb AND edge_density >= pe), "
+    "p AS (SELECT folder, frame_id, v, row_number() OVER (PARTITION BY folder ORDER BY frame_id) - 1 AS pos FROM g), "
+    "s AS (SELECT *, CASE WHEN pos > 0 THEN list_cosine_similarity(v, lag(v) OVER (PARTITION BY folder ORDER BY frame_id)) END AS sim FROM p), "
+)
+_STAGED = _JUDGED + _PIPE.removeprefix(SIMILARITIES + ", ")
+_TAGGED = (
+    _STAGED + ", k AS (SELECT f.folder, f.frame_id, z.scene_id, z.sim, CASE WHEN z.frame_id IS NULL THEN 'quality' WHEN z.size < 2 THEN 'scene' WHEN o.frame_id IS NULL THEN 'dedup' END AS removed_by "
+    "FROM f LEFT JOIN z ON z.frame_id = f.frame_id LEFT JOIN o ON o.frame_id = f.frame_id)"
+)
+_REPORT = (
+    _TAGGED + ", h AS (SELECT folder, count(*) AS original, count(*) FILTER (WHERE removed_by IS NULL) AS kept, count(*) FILTER (WHERE removed_by = 'quality') AS removed_quality, count(*) FILTER (WHERE removed_by = 'scene') AS removed_scene, "
+    "count(*) FILTER (WHERE removed_by = 'dedup') AS removed_dedup, round(100 * count(*) FILTER (WHERE removed_by IS NULL) / count(*), 4) AS kept_percent, count(DISTINCT scene_id) FILTER (WHERE removed_by IS NULL OR removed_by = 'dedup') AS scenes, "
+    "count(*) FILTER (WHERE sim < -0.1) AS transitions, round(avg(sim), 6) AS average_similarity FROM k GROUP BY 1)"
+)
+_CONFIG = reduce.ReductionConfig(transition=-0.1, similarity=0.05)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _quality(spark, sf_dir).select(F.col("frame_id").alias("scored"), "blur_score", "edge_density")
+    return schemas.frames(spark, sf_dir).join(q, F.col("frame_id") == F.col("scored")).drop("scored")
+
+
+@query(f"WITH RECURSIVE {_TAGGED} SELECT folder, frame_id, scene_id, round(sim, 6) AS sim, removed_by FROM k")
+def staged_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.tagged_pipeline(_scored(spark, sf_dir), _CONFIG).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH RECURSIVE {_REPORT} SELECT * FROM h")
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.stage_report(reduce.tagged_pipeline(_scored(spark, sf_dir), _CONFIG), -0.1)
+
+
+@query(f"WITH RECURSIVE {_REPORT} SELECT count(*) AS folders, count(*) FILTER (WHERE kept > 0) AS successful, CAST(sum(original) AS BIGINT) AS original, CAST(sum(kept) AS BIGINT) AS kept, round(avg(kept_percent), 4) AS mean_kept_percent FROM h")
+def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.stage_summary(stage_report(spark, sf_dir))
+
+
+@query(
+    f"WITH RECURSIVE {_REPORT}, y2 AS (SELECT count(*) AS videos, CAST(sum(original) AS BIGINT) AS frames, CAST(sum(kept) AS BIGINT) AS keyframes FROM h) SELECT *, round(1 - keyframes / frames, 6) AS reduction, keyframes // videos AS per_video FROM y2"
+)
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.batch_summary(stage_report(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_STAGED} SELECT y.folder, y.scene_id, count(*) AS original, count(o.frame_id) AS filtered, count(*) - count(o.frame_id) AS removed FROM y LEFT JOIN o ON o.frame_id = y.frame_id GROUP BY 1, 2")
+def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = reduce.tagged_pipeline(_scored(spark, sf_dir), _CONFIG)
+    return reduce.dedup_report(tagged.where("removed_by is null or removed_by = 'dedup'"), tagged.where("removed_by is null"))
+
+
+_WINDOWED = (
+    _JUDGED + "l AS (SELECT *, CAST(sum(CASE WHEN sim < -0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY folder ORDER BY frame_id) AS BIGINT) AS scene_id FROM s), "
+    "z AS (SELECT *, row_number() OVER (PARTITION BY folder, scene_id ORDER BY pos) - 1 AS q, count(*) OVER (PARTITION BY folder, scene_id) AS size FROM l), y AS (SELECT * FROM z WHERE size >= 2), "
+    "m AS (SELECT a.folder, a.scene_id, a.q AS i, b.q AS j, list_cosine_similarity(a.v, b.v) AS c FROM y a JOIN y b ON a.folder = b.folder AND a.scene_id = b.scene_id AND a.q < b.q), "
+    "w AS (SELECT y.folder, y.scene_id, y.q, y.frame_id, coalesce((SELECT list(m.i) FROM m WHERE m.folder = y.folder AND m.scene_id = y.scene_id AND m.j = y.q AND m.c >= 0.1 AND m.i >= m.j - 5), []) AS alike FROM y), "
+    "r AS (SELECT folder, scene_id, q, frame_id, TRUE AS keep, [q] AS kept FROM w WHERE q = 0 UNION ALL SELECT w.folder, w.scene_id, w.q, w.frame_id, NOT list_has_any(r.kept, w.alike), CASE WHEN list_has_any(r.kept, w.alike) THEN r.kept ELSE list_append(r.kept, w.q) END "
+    "FROM r JOIN w ON w.folder = r.folder AND w.scene_id = r.scene_id AND w.q = r.q + 1)"
+)
+
+
+@query(f"WITH RECURSIVE {_WINDOWED} SELECT folder, scene_id, frame_id, row_number() OVER (PARTITION BY folder ORDER BY frame_id) - 1 AS n FROM r WHERE keep")
+def windowed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = reduce.ReductionConfig(transition=-0.1, similarity=0.1, windowed=True)
+    return reduce.quality_pipeline(_scored(spark, sf_dir), config)
+
+
 @query()
 def multilevel_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.multilevel_pipeline(schemas.frames(spark, sf_dir), scene=0.0, hash_distance=20, eps=0.8, similarity=0.2)

@@ -10,6 +10,7 @@ from lumenframe.functions import vectors as V
 from lumenframe.operators import fusion, search, temporal
 from lumenframe.sources import sinks
 
+from . import service
 from .registry import FRAMES, POSITIONS, registrar
 
 QUERIES: dict = {}
@@ -303,3 +304,13 @@ def index_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = search.vector_of(f, 7)
     lists = {s: search.VectorIndex(f, s).build().search(vector, 10) for s in ("exact_ip", "exact_l2", "hnsw")}
     return fusion.multi_server(lists).select(F.col("source_server").alias("strategy"), "frame_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {FRAMES}, t AS ({_topk(7, 20)}) SELECT folder, frame_id, round(score, 6) AS score, rank FROM t WHERE score >= 0.2")
+def remote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer of a remote handle, as JSON without ranks, read back as results."""
+    found = search.topk_by_example(schemas.frames(spark, sf_dir), 7, 20).orderBy("rank")
+    item = F.struct(F.struct(F.col("folder").cast("string").alias("folder_name"), "frame_id").alias("metadata"), F.col("score").alias("similarity_score"))
+    payload = "[" + ",".join(r[0] for r in found.select(F.to_json(item)).collect()) + "]"  # at most 20 results
+    rows = service.remote_rows(spark, payload, 50, 0.2)
+    return rows.select(F.col("folder").cast("int").alias("folder"), "frame_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenframe import schemas
 from lumenframe.functions import text as T
-from lumenframe.operators import health, ingest, stats
+from lumenframe.operators import health, ingest, search, stats
+from lumenframe.sources import scan
 
+from . import service
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -127,7 +129,7 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_INVENTORIES}, n AS (SELECT count(*) FILTER (WHERE change = 'new') AS n_new, count(*) FILTER (WHERE change = 'modified') AS n_modified, count(*) FILTER (WHERE change = 'deleted') AS n_deleted, count(*) FILTER (WHERE change = 'unchanged') AS n_unchanged FROM ch), "
-    "r AS (SELECT *, (n_new + n_modified) / (n_new + n_modified + n_unchanged)::DOUBLE AS x FROM n) SELECT n_new, n_modified, n_deleted, n_unchanged, round(x, 6) AS ratio, CASE WHEN x > 0.1 THEN 'rebuild' ELSE 'incremental' END AS decision FROM r"
+    "r AS (SELECT *, (n_new + n_modified) / (n_new + n_modified + n_unchanged)::DOUBLE AS x FROM n) SELECT n_new, n_modified, n_deleted, n_unchanged, round(x, 6) AS ratio, CASE WHEN x > 0.1 THEN 'rebuild' WHEN n_new + n_modified + n_deleted > 0 THEN 'incremental' ELSE 'none' END AS decision FROM r"
 )
 def change_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.change_ratio(ingest.detect_changes(*schemas.inventories(spark, sf_dir)))
@@ -195,11 +197,162 @@ def structure_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.compatible_structure(d, labels)
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 3 <> 0) AS found, round(avg((page_id % 3 <> 0)::INT), 6) AS rate FROM pages")
+def _wanted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paths of images that are, by ``page_id % 5``: nowhere, as they are, under a root, in the folder above, under a registered prefix."""
+    p = schemas.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/old/keyframes/v/"), "page_id", F.lit(".jpg")).alias("path"))
+    place = F.array(*map(F.lit, ("/none/", "/old/keyframes/v/", "/new/keyframes/v/", "/old/keyframes/", "/moved/v/")))
+    there = p.where("page_id % 5 <> 0").select(F.concat(F.get(place, (F.col("page_id") % 5).cast("int")), F.col("page_id"), F.lit(".jpg")).alias("path"))
+    return p, there
+
+
+_PLACES = "['/none/', '/old/keyframes/v/', '/new/keyframes/v/', '/old/keyframes/', '/moved/v/']"
+
+
+@query(f"SELECT page_id, '/old/keyframes/v/' || page_id || '.jpg' AS path, CASE WHEN page_id % 5 <> 0 THEN {_PLACES}[page_id % 5 + 1] || page_id || '.jpg' END AS resolved FROM pages")
 def path_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = schemas.table(spark, sf_dir, "pages").select(F.concat(F.lit("/old/keyframes/v/"), "page_id", F.lit(".jpg")).alias("path"))
-    there = schemas.table(spark, sf_dir, "pages").where("page_id % 3 <> 0").select(F.concat(F.lit("/new/keyframes/v/"), "page_id", F.lit(".jpg")).alias("path"))
-    return ingest.resolution_report(ingest.resolve_paths(wanted, there, ["/gone", "/new"]))
+    wanted, there = _wanted(spark, sf_dir)
+    return ingest.resolve_paths(wanted, there, ["/gone", "/new"], cwd="/work", registered={"/old/keyframes/": "/moved/"})
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 5 <> 0) AS found, round(avg((page_id % 5 <> 0)::INT), 6) AS rate FROM pages")
+def path_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.resolution_report(path_resolution(spark, sf_dir))
+
+
+@query("SELECT '/old/keyframes/v/' || page_id || '.jpg' AS path FROM pages WHERE page_id % 5 = 0")
+def path_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.failures(path_resolution(spark, sf_dir))
+
+
+@query("SELECT source AS folder, doc_id AS stem FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def rows_with_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.col("doc_id").alias("stem"))
+    there = d.join(schemas.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l")), F.col("stem") == F.col("l"), "left_semi")
+    return ingest.with_image(d, there)
+
+
+@query("SELECT d.doc_id AS n, CASE WHEN l.quality IS NOT NULL THEN l.quality + 1000 ELSE d.doc_id END AS frame_id FROM documents d LEFT JOIN labels l USING (doc_id)")
+def frame_ids_from_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = schemas.table(spark, sf_dir, "documents").select(F.lit("v").alias("folder"), F.col("doc_id").cast("string").alias("stem"))
+    known = schemas.table(spark, sf_dir, "labels").select(F.lit("v").alias("folder"), F.col("doc_id").cast("string").alias("stem"), (F.col("quality") + 1000).alias("frame_id"))
+    return ingest.attach_frame_ids(files, known).select(F.col("stem").cast("long").alias("n"), "frame_id")
+
+
+@query("SELECT source AS folder, doc_id AS frame_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 32 AS batch FROM documents")
+def batched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.col("doc_id").alias("frame_id"))
+    return ingest.batches(d, 32)
+
+
+@query("SELECT doc_id, source || '_' || doc_id || '_' || lang AS key, source AS folder, doc_id || '_' || lang AS image FROM documents")
+def frame_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents").withColumn("key", T.frame_key(F.col("source"), T.frame_key(F.col("doc_id").cast("string"), F.col("lang"))))
+    return d.select("doc_id", "key", T.parse_frame_key(F.col("key")).alias("p")).select("doc_id", "key", "p.*")
+
+
+@query(
+    "WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN [('v' || page_id, page_id::VARCHAR, NULL), ('w', '2', NULL)] WHEN 1 THEN [('a', '1', NULL), (NULL, NULL, 'not a folder:frame reference: b')] WHEN 2 THEN [('v', 'x:' || page_id, NULL)] ELSE [] END AS l FROM pages), "
+    "u AS (SELECT page_id, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS place FROM x) SELECT page_id, CAST(place AS INTEGER) AS place, r[1] AS folder, r[2] AS frame, r[3] AS problem FROM u"
+)
+def frame_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in all forms of a list: quoted JSON, commas, one alone, a word for nothing."""
+    p = schemas.table(spark, sf_dir, "pages")
+    k, i = F.col("page_id") % 4, F.col("page_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("['v"), i, F.lit(":"), i, F.lit("', \"w: 2\"]"))).when(k == 1, " a:1 , b ").when(k == 2, F.concat(F.lit("v:x:"), i)).otherwise("None")
+    return p.select("page_id", F.posexplode(T.frame_references(text)).alias("place", "r")).select("page_id", "place", "r.*")
+
+
+@query(
+    "WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, md5(array_to_string(w, '|')) AS tokens, md5(array_to_string(regexp_extract_all(text, '[0-9]+'), '|')) AS numbers, "
+    "md5(array_to_string(list_filter(w, lambda x: regexp_full_match(x, '[A-Za-z]')), '|')) AS letters, md5(array_to_string(regexp_extract_all(text, '[!-/:-@\\[-`{-~]'), '|')) AS punctuation FROM t"
+)
+def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = schemas.table(spark, sf_dir, "documents").select("doc_id", T.token_lists(F.col("text")).alias("f"))
+    return d.select("doc_id", *[F.md5(F.array_join(f"f.{c}", "|")).alias(c) for c in ("tokens", "numbers", "letters", "punctuation")])
+
+
+_VIETNAMESE = "text"
+for _a, _b in T.VIETNAMESE:
+    _VIETNAMESE = f"replace({_VIETNAMESE}, '{_a}', '{_b}')"
+
+_WORDS = {"objects": ["the", "en", "de"], "mood": ["und", "la", "of"]}
+
+
+def _part(name: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in _WORDS[name])
+    return f"nullif(array_to_string(list_filter(w, lambda x: x IN ({listed})), ', '), '') AS {name}"
+
+
+@query(
+    f"WITH s AS (SELECT conv_id, turn, {_LANGUAGE} AS language, text FROM conversations), q AS (SELECT *, {_VIETNAMESE} AS vi FROM s), c AS (SELECT *, CASE WHEN language = 'vi' THEN vi ELSE text END AS clip_prompt FROM q), "
+    "l AS (SELECT *, string_split_regex(lower(clip_prompt), '\\s+') AS raw FROM c), d AS (SELECT *, list_filter(raw, lambda x, i: x <> '' AND list_position(raw, x) = i) AS w FROM l) "
+    f"SELECT conv_id, turn, language, md5(clip_prompt) AS prompt, {_part('objects')}, {_part('mood')} FROM d"
+)
+def full_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = schemas.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.full_query(F.col("text"), T.VIETNAMESE, _WORDS).alias("q"))
+    return c.select("conv_id", "turn", "q.language", F.md5("q.clip_prompt").alias("prompt"), "q.objects", "q.mood")
+
+
+@query("SELECT conv_id, turn, lower(trim(text)) IN ('hi', 'hello', 'xin chào', 'chào', 'chào bạn', 'xin chao', 'hey') AS greeting, CASE WHEN turn = 1 THEN '1 turn' ELSE turn || ' turns' END AS shown FROM conversations")
+def greetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = schemas.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", T.is_greeting(F.col("text")).alias("greeting"), T.plural(F.col("turn"), "turn").alias("shown"))
+
+
+@query(
+    "SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND trim(text) = '' THEN 'missing field ''query''' WHEN turn % 4 = 0 AND length(text) > 5000 THEN '''query'' is longer than 5000' WHEN turn % 4 = 1 THEN 'missing field ''question''' "
+    "WHEN turn % 4 = 2 THEN 'limit must be in 1..1000' WHEN turn % 4 = 3 THEN 'unknown request ''other''' END AS problem FROM conversations"
+)
+def request_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = schemas.table(spark, sf_dir, "conversations")
+    k = F.col("turn") % 4
+    kind = F.when(k == 1, "chat").when(k == 3, "other").otherwise("search")
+    body = F.when(k == 1, F.to_json(F.struct(F.col("text").alias("message")))).when(k == 2, F.to_json(F.struct(F.lit("x").alias("query"), F.lit(0).alias("limit")))).otherwise(F.to_json(F.struct(F.col("text").alias("query"))))
+    return service.invalid_requests(c.select("conv_id", "turn", kind.alias("kind"), body.alias("body"))).select("conv_id", "turn", "problem")
+
+
+def _keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as keyframe rows; every ninth has no path."""
+    d = schemas.table(spark, sf_dir, "documents")
+    path = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.lit("k/"), "doc_id"))
+    return d.select(
+        F.col("source").alias("folder_name"), F.col("doc_id").cast("string").alias("image_name"), path.alias("file_path"), F.col("doc_id").alias("frame_id"),
+        F.lit(0).alias("sequence_position"), F.col("n_chars").cast("int").alias("total_frames"), F.lit(1.0).alias("confidence_score"), F.array("doc_id").alias("neighboring_frames"), F.lit(None).cast("string").alias("scene_boundaries"),
+        F.array("lang", "source").alias("scene_tags"), F.array("lang").alias("detected_objects"), F.lit("d").alias("llm_description"), F.array("lang", "lang").alias("similar_frames"), F.lit(None).cast("array<string>").alias("transition_frames"),
+    )
+
+
+@query("SELECT doc_id AS frame_id, doc_id % 9 <> 0 AS valid FROM documents")
+def keyframe_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyframes(spark, sf_dir).select("frame_id", health.valid_keyframe().alias("valid"))
+
+
+@query("SELECT doc_id AS frame_id, source AS folder_name, CAST(n_chars AS INTEGER) AS total_frames, lang || ',' || source AS scene_tags, 2 AS similar_frames_count, 0 AS transition_frames_count FROM documents")
+def metadata_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = search.metadata_detail(_keyframes(spark, sf_dir), "rich")
+    return m.select("frame_id", "folder_name", "total_frames", F.array_join("scene_tags", ",").alias("scene_tags"), "similar_frames_count", "transition_frames_count")
+
+
+@query(
+    "WITH f AS (SELECT vec_id, len(embedding) AS n, len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS ok FROM embeddings), l AS (SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)) "
+    "SELECT 'retriever' AS component, 'rows' AS \"check\", count(*) > 0 AS ok, 'missing rows' AS issue FROM f UNION ALL SELECT 'retriever', 'dimension', min(n) = max(n), 'invalid dimensions' FROM f UNION ALL SELECT 'retriever', 'finite', bool_and(ok), 'invalid vectors' FROM f "
+    "UNION ALL SELECT 'retriever', 'ids', count(*) = count(DISTINCT vec_id), 'invalid ids' FROM f UNION ALL SELECT 'metadata', 'partners', count(*) = 0, 'missing metadata' FROM l"
+)
+def retriever_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.retriever_health(schemas.frames(spark, sf_dir), schemas.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "frame_id"))
+
+
+@query("SELECT count(*) AS frames, count(DISTINCT label) AS folders, 64::BIGINT AS dimension, count(*) * 256 AS vector_bytes, 0::BIGINT AS without_vector FROM embeddings")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.index_stats(schemas.frames(spark, sf_dir))
+
+
+@query("SELECT substr(md5(url), 1, 12) AS share_id, 'n1' AS node, url AS path, CASE WHEN url LIKE '%.rvdb' THEN 'index' ELSE 'folder' END AS kind FROM pages WHERE page_id % 7 <> 0 GROUP BY url")
+def shared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of all paths, from which those of every seventh page are left out, in two additions."""
+    p = schemas.table(spark, sf_dir, "pages").where("page_id % 7 <> 0").select("page_id", F.col("url").alias("path"))
+    one = scan.shares(p.where("page_id % 2 = 0").select("path"), "n1")
+    return scan.shares_of(scan.add_shares(one, scan.shares(p.select("path"), "n1")), "n1")
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(turn || ':' || role, ' ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 10 GROUP BY 1")

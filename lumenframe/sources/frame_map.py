@@ -8,6 +8,8 @@ import io
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.storage import exists
+
 # fixed values: recognised column names
 IMAGE_COLUMNS = ("n", "image", "image_name", "img", "name")
 FRAME_COLUMNS = ("frame_idx", "frame_id", "frame", "idx", "id")
@@ -38,12 +40,14 @@ def _columns(first: list[str], second: list[str]) -> tuple[bool, int, int] | Non
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """``image, frame_id`` of one map.
 
-    Empty and oversized files give no rows.  Numeric image ids are padded to
+    Missing, empty and oversized files give no rows.  Numeric image ids are padded to
     three digits, rows without one are skipped, a missing or negative frame
     becomes the row number (from 1), and of equal images the last row wins.
     Only the first two lines come to the driver, to find the columns.
     """
     empty = spark.createDataFrame([], "image string, frame_id long")
+    if not exists(spark, path):
+        return empty
     size = spark.read.format("binaryFile").load(path).select("length").first()
     if size is None or not 0 < size[0] <= MAX_BYTES:
         return empty

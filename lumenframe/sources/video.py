@@ -73,3 +73,34 @@ def _opencv(path: str):
         if not ok:
             return
         yield ms, fps, cv2.imencode(".png", frame)[1].tobytes()
+
+
+def video_frames(spark, root: str, decoder: str, extensions=EXTENSIONS_V2, batch: int = 64):
+    """The same rows from any store that Spark reads: the decoder gets a file's bytes instead of its path.
+
+    Listing and reading are Spark's; frames leave in batches of ``batch``, so
+    a video's frames are never held together.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    files = files.where(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*extensions)).select(F.regexp_extract(name, r"^(.*)\.[^.]*$", 1).alias("video"), "content")
+    columns = ["video", "frame_idx", "pts_time", "fps", "image"]
+
+    def run(parts):
+        module, _, function = decoder.partition(":")
+        decode = getattr(importlib.import_module(module), function)
+        for part in parts:
+            for video, content in zip(part["video"], part["content"], strict=True):
+                held = []
+                for i, (ms, fps, data) in enumerate(decode(content)):
+                    held.append((video, i, ms / 1000.0, float(fps), data))
+                    if len(held) == batch:
+                        yield pd.DataFrame(held, columns=columns)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=columns)
+
+    return files.repartition("video").mapInPandas(run, "video string, frame_idx long, pts_time double, fps double, image binary")

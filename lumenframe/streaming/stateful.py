@@ -12,6 +12,7 @@ from collections import OrderedDict, deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenframe.operators.fold import fold_sorted
@@ -89,23 +90,62 @@ def last_kept_stream(frames: DataFrame, similarity: float = 0.98, key: str = "fo
 
 
 class TtlCache:
-    """LRU cache with a strict time to live and a capacity: the model behind the simulation."""
+    """LRU cache with a strict time to live and a capacity: the model behind the simulation.
 
-    def __init__(self, ttl: float, capacity: int):
-        self.ttl, self.capacity, self.entries = ttl, capacity, OrderedDict()
+    ``capacity`` is in entries, or in whatever unit ``request`` gives sizes.
+    """
+
+    def __init__(self, ttl: float, capacity: float):
+        self.ttl, self.capacity, self.entries, self.sizes, self.used = ttl, capacity, OrderedDict(), {}, 0.0
 
-    def request(self, key, now: float) -> bool:
+    def request(self, key, now: float, size: float = 1) -> bool:
         """True for a hit; a miss stores the key."""
-        at = self.entries.get(key)
-        if at is not None and now - at < self.ttl:
+        if self.fresh(key, now):
             self.entries.move_to_end(key)
             return True
-        self.entries.pop(key, None)
-        self.entries[key] = now
-        while len(self.entries) > self.capacity:
-            self.entries.popitem(last=False)
+        self.put(key, now, size)
         return False
 
+    def fresh(self, key, now: float) -> bool:
+        at = self.entries.get(key)
+        return at is not None and now - at < self.ttl
+
+    def put(self, key, now: float, size: float = 1) -> list:
+        """Stores a key; returns what had to go for it, as ``(key, time, size)``."""
+        self.drop(key)
+        self.entries[key], self.sizes[key] = now, size
+        self.used += size
+        gone = []
+        while self.used > self.capacity and self.entries:
+            old = next(iter(self.entries))
+            gone.append((old, self.entries[old], self.sizes[old]))
+            self.drop(old)
+        return gone
+
+    def drop(self, key) -> None:
+        if key in self.entries:
+            del self.entries[key]
+            self.used -= self.sizes.pop(key)
+
+
+class TieredCache:
+    """Memory before disk: what memory evicts goes to disk, a disk hit comes back to memory."""
+
+    def __init__(self, ttl: float, memory: float, disk: float):
+        self.memory, self.disk = TtlCache(ttl, memory), TtlCache(ttl, disk)
+
+    def request(self, key, now: float, size: float = 1) -> str:
+        """``memory``, ``disk`` or ``miss``."""
+        if self.memory.fresh(key, now):
+            self.memory.entries.move_to_end(key)
+            return "memory"
+        found = self.disk.fresh(key, now)
+        at = self.disk.entries[key] if found else now
+        self.disk.drop(key)
+        for old, then, held in self.memory.put(key, at, size):
+            self.disk.put(old, then, held)
+        return "disk" if found else "miss"
+
 
 def cache_simulation(requests: DataFrame, ttl: float, capacity: int, shard: str = "shard") -> DataFrame:
     """``shard, event_id, hit`` for requests ``shard, key, event_id, t``: one cache per shard."""
@@ -134,3 +174,35 @@ def recent_durations(events: DataFrame, n: int = 1000) -> DataFrame:
     return events.select("operation", "duration", "t").groupBy("operation").applyInPandasWithState(
         step, "operation string, n long, mean double, most double", "log array<double>", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def registry_stream(announcements: DataFrame, timeout: str = "300 seconds", late: str = "0 seconds", self_id=None) -> DataFrame:
+    """Node or session registry on a stream ``node_id, last_seen, status``: ``node_id, last_seen, status, online``.
+
+    Every micro-batch gives the newest announcement of the nodes in it; a node
+    from which nothing came for ``timeout`` of event time is given once more,
+    offline, and forgotten.  State is one row for each node that is online.
+    """
+    seconds = pd.Timedelta(timeout).total_seconds()
+
+    def step(k, chunks, state: GroupState):
+        if state.hasTimedOut:
+            seen, status = state.get
+            state.remove()
+            yield pd.DataFrame([(k[0], pd.Timestamp(seen, unit="us"), status, False)], columns=["node_id", "last_seen", "status", "online"])
+            return
+        best = state.get if state.exists else None
+        for pdf in chunks:
+            at = pdf["last_seen"].astype("datetime64[us]").astype("int64").to_numpy()
+            i = int(at.argmax())
+            if best is None or at[i] >= best[0]:
+                best = (int(at[i]), pdf["status"].iloc[i])
+        state.update(best)
+        state.setTimeoutTimestamp(max(best[0] // 1000 + int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(k[0], pd.Timestamp(best[0], unit="us"), best[1], True)], columns=["node_id", "last_seen", "status", "online"])
+
+    rows = announcements if self_id is None else announcements.where(F.col("node_id") != F.lit(self_id))
+    kind = dict(rows.dtypes)["node_id"]
+    return rows.select("node_id", "last_seen", "status").withWatermark("last_seen", late).groupBy("node_id").applyInPandasWithState(
+        step, f"node_id {kind}, last_seen timestamp, status string, online boolean", "seen long, status string", "append", GroupStateTimeout.EventTimeTimeout
+    )

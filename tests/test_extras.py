@@ -94,7 +94,7 @@ def test_service(spark, sf):
         s.handle("search", {"query": ""})
     with pytest.raises(ValueError):
         s.search("  ")
-    assert service.validate_request("chat", {"message": "x" * 5001}) and service.validate_request("nothing", {})
+    assert service.validate_request("chat", {"question": "x" * 5001}) and service.validate_request("nothing", {})
     assert service.error_code(KeyError()) == "not_found" and service.error_code(OSError()) == "internal"
     docs = spark.createDataFrame([("car_1", 1, ["Dog"], ["cat"], "a dog runs"), ("x", 2, [], [], "none")], "folder string, frame_id long, tags array<string>, objects array<string>, description string")
     assert [x.frame_id for x in s.semantic_search(docs, "dog car").collect()] == [1]

@@ -64,3 +64,35 @@ def test_session_gap_equality(spark):
 def test_cache_model():
     c = stateful.TtlCache(10, 2)
     assert [c.request(k, t) for k, t in (("a", 0), ("a", 9), ("b", 9), ("a", 10), ("c", 11), ("b", 12), ("c", 12))] == [False, True, False, False, False, False, True]
+
+
+def test_silent_nodes_go_offline(spark, tmp_path):
+    stamp = "2024-01-01 00:{:02d}:00"
+    days = [[("a", stamp.format(0), "up"), ("b", stamp.format(0), "up"), ("me", stamp.format(0), "up")], [("a", stamp.format(4), "busy")], [("a", stamp.format(9), "up")], [("a", stamp.format(12), "up")]]
+    path = tmp_path / "said"
+    schema = "node_id string, last_seen timestamp, status string"
+    for i, rows in enumerate(days):
+        part = spark.createDataFrame(rows, "node_id string, s string, status string").select("node_id", F.to_timestamp("s").alias("last_seen"), "status").coalesce(1)
+        part.write.parquet(str(tmp_path / f"one{i}"))
+        path.mkdir(exist_ok=True)
+        source = next((tmp_path / f"one{i}").glob("*.parquet"))
+        target = path / f"{i}.parquet"
+        target.write_bytes(source.read_bytes())
+        __import__("os").utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    got = _run(stateful.registry_stream(stream, "300 seconds", self_id="me"), tmp_path, "nodes").collect()
+    seen = [(r.node_id, r.status, r.online) for r in got]
+    assert ("b", "up", False) in seen and ("a", "up", True) in seen and not any(n == "me" for n, _, _ in seen)
+    assert not any(n == "a" and not online for n, _, online in seen)
+
+
+def test_recent_durations_and_new_content(spark, tmp_path, stream):
+    e = spark.createDataFrame([("s", float(i), float(i)) for i in range(10)], "operation string, duration double, t double")
+    got = _run(stateful.recent_durations(stream(e), 4), tmp_path, "recent", "update").collect()
+    assert [(r.n, r["mean"], r.most) for r in got] == [(4, 7.5, 9.0)]
+
+
+def test_new_content_is_seen_once(spark, tmp_path, stream):
+    f = spark.createDataFrame([("a", "h1"), ("b", "h1"), ("c", "h2")], "path string, hash string").withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
+    assert _run(windows.new_content(stream(f), "1 hour"), tmp_path, "fresh").count() == 2
+    assert windows.new_content(f).count() == 2
