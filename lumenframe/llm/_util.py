@@ -50,14 +50,13 @@ def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def least_hashed(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows whose key has the least hash, or a few less on very uneven keys.
 
-    On tables of more than eight times ``n`` rows a threshold on the hash
-    leaves about four times ``n`` rows before any are sorted, so what the
-    tasks send on doesn't grow with their number.
+    A threshold on the hash leaves about four times ``n`` rows of the counted
+    table before any are sorted, so what the tasks send on doesn't grow with
+    their number; a table of fewer rows is left whole by the same rule.
     """
     from pyspark.sql import functions as F
 
     rows = df.count()
     mark = F.xxhash64(key)
-    if rows > 8 * n:
-        df = df.where(mark < -(1 << 63) + int((1 << 64) * (4 * n / rows)))
-    return df.orderBy(mark, key).limit(n)
+    top = -(1 << 63) + int((1 << 64) * min(1.0, 4 * n / max(1, rows))) - 1
+    return df.where(mark <= top).orderBy(mark, key).limit(n)
