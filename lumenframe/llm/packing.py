@@ -9,14 +9,17 @@ joined back to documents by rank: the r-th document of a length takes the
 r-th slot of that length.  Ranks come from per-partition counters and a
 prefix sum over partitions, never from one global sort.
 
-Patterns that would leave more than ``max_gap`` of a sequence empty are
-dissolved: their documents are cut at the binary digits of their length, and
-these powers of two are packed by the same algorithm, which fills every
-sequence but the last.
+So the algorithm decides every placement; what it can't decide is how to use
+the room that is left.  Patterns with more than ``max_gap`` of a sequence
+empty are filled, fullest first, with the documents of the emptiest patterns:
+only those are cut, at the binary digits of their length, and as many as the
+room needs.  ``Plan.cut_share`` says how many that are.  Pieces that remain
+are powers of two and fill sequences of their own, but for the last one.
 
 Defined cases: null text is empty and is one end-of-document id; texts are
 tokenised whole; repeated rows and equal ids are packed row by row; extra
-columns are ignored; an empty table gives no pieces.
+columns are ignored; an empty table gives no pieces; documents of the same
+length take their places in the order in which they are read.
 """
 
 from __future__ import annotations
@@ -136,36 +139,95 @@ class Plan:
         self.size = size
         self.base = 0
         rest = {n: c for n, c in counts.items() if 0 < n < size}
-        whole, cut = [], []
-        for pattern in pack_histogram(rest, size):
-            total = sum(pattern[0])
+        whole, open_ = [], []
+        for pattern, count in pack_histogram(rest, size):
+            total = sum(pattern)
             full = size - total <= max_gap * size or total & (total - 1) == 0
-            (whole if full else cut).append(pattern)
-        #: length -> rows (first rank, sequence or rank of the first, offset or -1 - bit)
+            (whole if full else open_).append((pattern, count))
+        filled, cut, left = self._fill(sorted(open_, key=lambda p: (-sum(p[0]), p)), int(max_gap * size))
+        #: share of the documents' last pieces that are cut once more
+        self.cut_share = sum(len(p) * c for p, c in cut) / max(1, sum(rest.values()))
+        #: length -> rows (first rank, sequence of the first, offset); cuts have the first ranks of the digits instead
         self.slots: dict[int, list[list[int]]] = defaultdict(list)
         self.cuts: dict[int, list[list[int]]] = defaultdict(list)
         self.halves: dict[int, list[list[int]]] = defaultdict(list)
         ranks: dict[int, int] = defaultdict(int)
+        used: dict[int, int] = defaultdict(int)
         self._place(whole, self.slots, ranks)
-        bits: dict[int, int] = defaultdict(int)
+        for pattern, digits, count in filled:
+            base = self.base
+            self._place([(pattern, count)], self.slots, ranks)
+            self.base = base
+            self._place([(digits, count)], self.halves, used, sum(pattern))
+        digit: dict[int, int] = defaultdict(int)
         for pattern, count in cut:
             for length in pattern:
                 row = [ranks[length]]
                 for b in range(size.bit_length()):
-                    row.append(bits[b])
-                    bits[b] += count if length >> b & 1 else 0
+                    row.append(digit[b])
+                    digit[b] += count if length >> b & 1 else 0
                 self.cuts[length].append(row)
                 ranks[length] += count
-        self._place(pack_histogram({1 << b: c for b, c in bits.items()}, size), self.halves, defaultdict(int))
+        self._place(pack_histogram(left, size), self.halves, used)
         self.first_full = self.base
 
-    def _place(self, patterns, slots, ranks) -> None:
+    def _fill(self, packs: list, slack: int) -> tuple[list, list, dict[int, int]]:
+        """``(pattern, digits, count)`` filled, ``(pattern, count)`` cut, and the digits that remain.
+
+        ``packs`` are in order of their totals; the last ones are cut to fill
+        the first.  A group of packs is handled at once, so the steps don't
+        grow with counts.
+        """
+        packs = [[p, sum(p), c] for p, c in packs]
+        pool: dict[int, int] = defaultdict(int)
+        filled, cut = [], []
+
+        def dissolve(pack: list, k: int) -> None:
+            cut.append((pack[0], k))
+            pack[2] -= k
+            for length in pack[0]:
+                for b in range(length.bit_length()):
+                    if length >> b & 1:
+                        pool[1 << b] += k
+
+        first, last = 0, len(packs) - 1
+        while first <= last:
+            pack = packs[first]
+            pattern, total, count = pack
+            if not count:
+                first += 1
+                continue
+            gap, digits, room = self.size - total, [], self.size - total
+            for d in sorted((d for d, n in pool.items() if n), reverse=True):
+                k = min(room // d, pool[d])
+                digits += [d] * k
+                room -= d * k
+            if room <= slack:
+                k = min([count, *(pool[d] // digits.count(d) for d in set(digits))])
+                for d in digits:
+                    pool[d] -= k
+                filled.append((pattern, tuple(digits), k))
+                pack[2] -= k
+                continue
+            missing = gap * count - sum(d * n for d, n in pool.items())
+            if missing > 0 and last > first:
+                if not packs[last][2]:
+                    last -= 1
+                else:
+                    dissolve(packs[last], min(packs[last][2], -(-missing // packs[last][1])))
+            elif missing > 0 and count > 1:  # the last group fills itself
+                dissolve(pack, min(count - 1, max(1, -(-missing // self.size))))
+            else:  # its digits don't fit the room
+                dissolve(pack, count)
+        return filled, cut, {d: n for d, n in pool.items() if n}
+
+    def _place(self, patterns, slots, ranks, offset: int = 0) -> None:
         for pattern, count in patterns:
-            offset = 0
+            at = offset
             for length in pattern:
-                slots[length].append([ranks[length], self.base, offset])
+                slots[length].append([ranks[length], self.base, at])
                 ranks[length] += count
-                offset += length
+                at += length
             self.base += count
 
     @staticmethod
