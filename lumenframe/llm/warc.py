@@ -64,6 +64,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
+#: Characters of a record that its part in the dictionary's sample has at most.
+SEGMENT = 16_384
+
+
 def skippable(dictionary: bytes) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
 
@@ -105,11 +109,15 @@ def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: in
 def write_archives(pages: DataFrame, folder: str, *, id_col="page_id", url_col="url", html_col="html", least: int = 100, sample: int = 400, archive_bytes: int = 64 << 20, level: int = 3) -> DataFrame:
     """Writes the archives under ``folder``; returns their list ``(path, records, bytes)``.
 
-    ``sample`` bounds the records (of at most 64 KB each) that the dictionary is built from.
+    The dictionary is built from ``sample`` records at most, a run of up to
+    ``SEGMENT`` characters of each that begins anywhere in the payload (by the
+    hash of the id); records are written and read back whole.
     """
     spark = pages.sparkSession
-    heads = pages.select(F.col(id_col).alias("i"), F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, 16384).alias("h"))
-    chosen = _util.least_hashed(heads, "i", sample).select("h")
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    begin = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.greatest(F.length(html) - SEGMENT, F.lit(0)) + 1) + 1
+    parts = pages.select(F.col(id_col).alias("i"), F.substring(html, begin.cast("int"), F.lit(SEGMENT)).alias("h"))
+    chosen = _util.least_hashed(parts, "i", sample).select("h")
     samples = [r["h"].encode() for r in chosen.toLocalIterator()]
     samples = [record(i, None, s, hashlib.sha256(s).hexdigest(), "response", None) for i, s in enumerate(samples)]
     shared = spark.sparkContext.broadcast(build_dictionary(samples))
