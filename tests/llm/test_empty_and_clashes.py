@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import cover_tree, decontaminate, packing, pii, quality, queries, secrets, simhash, token_counts, url_filter, warc
 
-CLASHES = ("base", "extra", "spans", "fp", "least", "root", "node", "component_id", "hits", "items", "n_words", "start", "length", "part", "rank", "score", "x", "q", "rule", "stem", "digest", "first_id", "record_type", "at", "__x")
+CLASHES = ("base", "extra", "spans", "fp", "least", "root", "node", "component_id", "hits", "items", "n_words", "start", "length", "part", "rank", "score", "x", "q", "rule", "stem", "digest", "first_id", "record_type", "at", "__x", "__part", "__at", "__row", "__spans", "__new", "__digest", "__best", "__n", "__h", "__i", "_c0", "bits")
 
 
 def _clashing(df):
@@ -24,6 +24,7 @@ OPERATORS = {
     "quality": lambda t: quality.score(t["documents"], t["labels"]),
     "select": lambda t: quality.select(t["documents"], t["labels"]),
     "decontaminate": lambda t: decontaminate.digest(decontaminate.decontaminate(t["documents"], t["benchmark"])),
+    "drop_contaminated": lambda t: decontaminate.drop_contaminated(t["documents"], t["benchmark"]),
     "simhash": lambda t: simhash.digest(simhash.near_duplicates(t["documents"])),
     "keep_one": lambda t: simhash.keep_one(t["documents"]),
     "secrets": lambda t: secrets.digest(secrets.find_secrets(t["documents"])),
