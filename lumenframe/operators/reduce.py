@@ -205,7 +205,7 @@ def multilevel_pipeline(frames: DataFrame, *, scene: float = 0.7, hash_distance:
     kept = hash_dedup(labelled, hash_distance, last, ["folder", "scene_id"])
     rows = labelled.join(kept, ["folder", "scene_id", "frame_id"], "left_semi")
     # clusters live within a scene: folder and scene are one key for the clustering
-    keyed = rows.select(F.struct("folder", "scene_id").alias("folder"), "frame_id", "v")
+    keyed = rows.select(F.concat_ws(":", F.col("folder").cast("string"), "scene_id").alias("folder"), "frame_id", "v")
     clusters = graph.cosine_clusters(keyed, eps, noise)
     chosen = graph.representatives(keyed.join(clusters, ["folder", "frame_id"]))
     back = rows.join(chosen.select("frame_id"), "frame_id", "left_semi")

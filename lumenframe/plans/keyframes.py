@@ -342,6 +342,28 @@ def windowed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.quality_pipeline(_scored(spark, sf_dir), config)
 
 
-@query()
+_LEVELS = (
+    f"{SIMILARITIES}, {_LABELS.format(t=0.0)}, z AS (SELECT *, row_number() OVER (PARTITION BY folder, scene_id ORDER BY pos) - 1 AS q, {_BITS} AS b FROM l), "
+    # by hash, within scenes
+    "hm AS (SELECT x.folder, x.scene_id, x.q AS i, y.q AS j FROM z x JOIN z y ON x.folder = y.folder AND x.scene_id = y.scene_id AND x.q < y.q WHERE list_sum(list_transform(list_zip(x.b, y.b), lambda e: CASE WHEN e[1] <> e[2] THEN 1 ELSE 0 END)) <= 20), "
+    "hw AS (SELECT z.folder, z.scene_id, z.q, z.frame_id, coalesce((SELECT list(hm.i) FROM hm WHERE hm.folder = z.folder AND hm.scene_id = z.scene_id AND hm.j = z.q), []) AS alike FROM z), "
+    "hr AS (SELECT folder, scene_id, q, frame_id, TRUE AS keep, [q] AS kept FROM hw WHERE q = 0 UNION ALL SELECT w.folder, w.scene_id, w.q, w.frame_id, NOT list_has_any(r.kept[-10:], w.alike), CASE WHEN list_has_any(r.kept[-10:], w.alike) THEN r.kept ELSE list_append(r.kept, w.q) END "
+    "FROM hr r JOIN hw w ON w.folder = r.folder AND w.scene_id = r.scene_id AND w.q = r.q + 1), hk AS (SELECT z.folder, z.scene_id, z.frame_id, z.v FROM hr JOIN z ON z.frame_id = hr.frame_id WHERE hr.keep), "
+    # clusters of a scene, and the member nearest to each mean
+    "ce AS (SELECT a.frame_id AS x, b.frame_id AS y FROM hk a JOIN hk b ON a.folder = b.folder AND a.scene_id = b.scene_id AND a.frame_id <> b.frame_id AND 1 - list_cosine_similarity(a.v, b.v) <= 0.8), "
+    "cr AS (SELECT frame_id AS id, frame_id AS root FROM hk UNION SELECT ce.y, cr.root FROM cr JOIN ce ON ce.x = cr.id), cc AS (SELECT id, min(root) AS root FROM cr GROUP BY 1), cn AS (SELECT root, count(*) AS n FROM cc GROUP BY 1), "
+    "cm AS (SELECT hk.*, CASE WHEN cn.n = 1 THEN -1 ELSE cc.root END AS cluster FROM hk JOIN cc ON cc.id = hk.frame_id JOIN cn ON cn.root = cc.root), "
+    "cd AS (SELECT folder, scene_id, cluster, i, avg(v[i]) AS m FROM cm, range(1, 65) t(i) GROUP BY 1, 2, 3, 4), cq AS (SELECT folder, scene_id, cluster, list(m ORDER BY i) AS m FROM cd GROUP BY 1, 2, 3), "
+    "cs AS (SELECT cm.frame_id, row_number() OVER (PARTITION BY cm.folder, cm.scene_id, cm.cluster ORDER BY round(list_cosine_similarity(cm.v, cq.m), 9) DESC, cm.frame_id) AS n FROM cm JOIN cq ON cq.folder = cm.folder AND cq.scene_id = cm.scene_id AND cq.cluster = cm.cluster), "
+    # by vector, across scenes
+    "bk AS (SELECT l.folder, l.frame_id, l.v, row_number() OVER (PARTITION BY l.folder ORDER BY l.pos) - 1 AS q FROM l JOIN cs ON cs.frame_id = l.frame_id WHERE cs.n = 1), "
+    "bm AS (SELECT a.folder, a.q AS i, b.q AS j FROM bk a JOIN bk b ON a.folder = b.folder AND a.q < b.q AND list_cosine_similarity(a.v, b.v) >= 0.2), "
+    "bw AS (SELECT bk.folder, bk.q, bk.frame_id, coalesce((SELECT list(bm.i) FROM bm WHERE bm.folder = bk.folder AND bm.j = bk.q), []) AS alike FROM bk), "
+    "br AS (SELECT folder, q, frame_id, TRUE AS keep, [q] AS kept FROM bw WHERE q = 0 UNION ALL SELECT w.folder, w.q, w.frame_id, NOT list_has_any(r.kept[-10:], w.alike), CASE WHEN list_has_any(r.kept[-10:], w.alike) THEN r.kept ELSE list_append(r.kept, w.q) END "
+    "FROM br r JOIN bw w ON w.folder = r.folder AND w.q = r.q + 1)"
+)
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT folder, frame_id FROM br WHERE keep")
 def multilevel_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.multilevel_pipeline(schemas.frames(spark, sf_dir), scene=0.0, hash_distance=20, eps=0.8, similarity=0.2)
