@@ -7,7 +7,10 @@ shares of the text and can be held in the middle.  The model is
 ``P(grade <= k) = logistic(t_k - w.x)`` with one weight vector ``w`` shared
 by all grades and ordered thresholds ``t_0 < t_1`` (``t_1 = t_0 + exp(d)``),
 fitted by full-batch Adam on the penalised likelihood.  ``x`` are hashed
-text features of the whole text.  Scoring gives the expected grade and the
+text features of the whole text; their weights may have either sign.  The
+ridge on buckets that go with higher grades is the stronger one, as sound
+texts are longer and hold more of any word: without it length alone would
+outweigh a few abusive words.  Scoring gives the expected grade and the
 tail probability ``P(grade >= 2)``, by which documents are selected.
 
 The model is fitted on a bounded sample: the ``sample`` labelled ids with the
@@ -17,8 +20,9 @@ that sample; scoring covers all rows in one map without a shuffle.
 Defined cases: null text is empty and has the bias alone; unlabelled or
 half-labelled rows don't train; of several labels of an id the lowest grade
 counts; with fewer than two grades in the sample, every document is kept with
-the grade that there is; extra columns are ignored by ``score`` and kept by
-``select``.
+the grade that there is; repeated rows are scored one by one and train once;
+an empty table gives no rows; extra columns are ignored by ``score`` and kept
+by ``select``.
 """
 
 from __future__ import annotations
@@ -93,12 +97,47 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, min_share: float = 0.004, least_chi2: float = 18.0, penalty: float = 1e-4, rounds: int = 300, balance: float = 0.5) -> Model:
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def objective(theta: np.ndarray, col: np.ndarray, own: np.ndarray, x: np.ndarray, grades: np.ndarray, weight: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray]:
+    """Penalised negative log likelihood and its gradient.
+
+    ``theta``: bucket weights, dense weights, ``t_0`` and ``d``.  Row
+    ``own[i]`` holds bucket ``col[i]``; ``ridge`` is for all weights.
+    """
+    n, used = len(grades), len(theta) - DENSE - 2
+    w, a = theta[:used], theta[used:-2]
+    t = np.array([theta[-2], theta[-2] + np.exp(theta[-1])])
+    z = np.bincount(own, w[col], n) + x @ a
+    f0, f1 = logistic(t[0] - z), logistic(t[1] - z)
+    d0, d1 = f0 * (1 - f0), f1 * (1 - f1)
+    p = np.maximum(np.choose(grades, [f0, f1 - f0, 1 - f1]), 1e-9)
+    dz = weight * np.choose(grades, [d0, d1 - d0, -d1]) / p
+    g0 = -weight * np.choose(grades, [d0, -d0, 0 * d0]) / p
+    g1 = -weight * np.choose(grades, [0 * d1, d1, -d1]) / p
+    grad = np.concatenate([np.bincount(col, dz[own], used), x.T @ dz, [(g0 + g1).sum(), g1.sum() * np.exp(theta[-1])]])
+    grad[:-2] += ridge * theta[:-2]
+    return float(-(weight * np.log(p)).sum() + 0.5 * (ridge * theta[:-2] ** 2).sum()), grad
+
+
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray, int]],
+    *,
+    min_share: float = 0.004,
+    least_chi2: float = 18.0,
+    penalty: float = 1e-4,
+    raising_penalty: float = 1e-2,
+    rounds: int = 300,
+    balance: float = 0.5,
+) -> Model:
     """Fits the cumulative-link model on ``(word buckets, dense features, grade)`` rows.
 
     Buckets take part that ``min_share`` of the rows hold (four at least) and
-    that depend on the grade by their chi-square (two degrees of freedom),
-    towards lower grades: what raises the grade is mostly the length.
+    that depend on the grade by their chi-square (two degrees of freedom).
+    ``penalty`` is the ridge of all weights but those of buckets whose rows
+    have a higher mean grade, which is ``raising_penalty``.
     """
     grades = np.array([g for _, _, g in rows], np.int64)
     present = np.unique(grades)
@@ -118,8 +157,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, min_share: float = 0.
     for g in present:
         expected = support * (grades == g).mean()
         chi2 += np.divide((by_grade[g] - expected) ** 2, expected, out=np.zeros(DIMENSIONS), where=expected > 0)
-    low = np.arange(GRADES) @ by_grade < support * grades.mean()
-    used = np.flatnonzero((support >= max(4, min_share * n)) & (chi2 >= least_chi2) & low)
+    used = np.flatnonzero((support >= max(4, min_share * n)) & (chi2 >= least_chi2))
+    raising = np.arange(GRADES) @ by_grade[:, used] >= support[used] * grades.mean()
+    ridge = np.concatenate([np.where(raising, raising_penalty, penalty), np.full(DENSE, penalty)])
     column = np.full(DIMENSIONS, -1)
     column[used] = np.arange(len(used))
     held = [c[c >= 0] for c in (column[b] for b, _, _ in rows)]
@@ -130,22 +170,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], *, min_share: float = 0.
     theta = np.zeros(len(used) + DENSE + 2)
     theta[-2], theta[-1] = -1.0, np.log(2.0)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, rounds + 1):
-        w, a = theta[: len(used)], theta[len(used) : -2]
-        t = np.array([theta[-2], theta[-2] + np.exp(theta[-1])])
-        z = np.bincount(own, w[col], n) + x @ a
-        f0, f1 = logistic(t[0] - z), logistic(t[1] - z)
-        d0, d1 = f0 * (1 - f0), f1 * (1 - f1)
-        p = np.maximum(np.choose(grades, [f0, f1 - f0, 1 - f1]), 1e-9)
-        # of the negative log likelihood
-        dz = weight * np.choose(grades, [d0, d1 - d0, -d1]) / p
-        g0 = -weight * np.choose(grades, [d0, -d0, 0 * d0]) / p
-        g1 = -weight * np.choose(grades, [0 * d1, d1, -d1]) / p
-        grad = np.concatenate([np.bincount(col, dz[own], len(used)) + penalty * w, x.T @ dz + penalty * a, [(g0 + g1).sum(), g1.sum() * np.exp(theta[-1])]])
+        _, grad = objective(theta, col, own, x, grades, weight, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        np.minimum(theta[: len(used)], 0, out=theta[: len(used)])  # screened for lowering the grade
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[used] = theta[: len(used)]
     return Model(weights, theta[len(used) : -2], np.array([theta[-2], theta[-2] + np.exp(theta[-1])]))
@@ -184,7 +212,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 6_000, threshold: float = 0.4, carry: bool = False
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 6_000, threshold: float = 0.5, carry: bool = False
 ) -> DataFrame:
     """``id_col, expected_grade, p_top, keep`` of every row; ``keep`` is ``p_top >= threshold``."""
     model = fit(training_rows(docs, labels, id_col, text_col, sample))
