@@ -97,16 +97,25 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != ""))
 
 
-def semantic_score(query_terms: Column, tags: Column, objects: Column, description: Column, folder: Column, weights=SEMANTIC_WEIGHTS) -> Column:
-    """Weighted counts of shared terms; unbounded above."""
+def semantic_parts(tags: Column, objects: Column, description: Column, folder: Column) -> Column:
+    """The distinct lower-cased terms of a row that a query is scored against."""
     low = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(x)))
-    parts = (low(tags), low(objects), terms(description), F.array_distinct(F.split(F.lower(F.coalesce(folder, F.lit(""))), "_")))
+    folders = F.array_distinct(F.split(F.lower(F.coalesce(folder, F.lit(""))), "_"))
+    return F.struct(low(tags).alias("tags"), low(objects).alias("objects"), terms(description).alias("description"), folders.alias("folder"))
+
+
+def parts_score(query_terms: Column, parts: Column, weights=SEMANTIC_WEIGHTS) -> Column:
+    """Weighted counts of shared terms; unbounded above."""
     total = F.lit(0.0)
-    for weight, part in zip(weights, parts, strict=True):
-        total = total + F.lit(weight) * F.size(F.array_intersect(query_terms, part))
+    for weight, name in zip(weights, ("tags", "objects", "description", "folder"), strict=True):
+        total = total + F.lit(weight) * F.size(F.array_intersect(query_terms, parts[name]))
     return total
 
 
+def semantic_score(query_terms: Column, tags: Column, objects: Column, description: Column, folder: Column, weights=SEMANTIC_WEIGHTS) -> Column:
+    return parts_score(query_terms, semantic_parts(tags, objects, description, folder), weights)
+
+
 def token_features(text: Column) -> Column:
     """Counts: blank-separated tokens, numbers, single letters, punctuation."""
     text = F.coalesce(text, F.lit(""))

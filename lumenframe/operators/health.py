@@ -113,3 +113,15 @@ def retriever_health(frames: DataFrame, metadata: DataFrame) -> DataFrame:
     lone = frames.select("frame_id").join(metadata.select(F.col("frame_id").alias("m")), F.col("frame_id") == F.col("m"), "left_anti")
     two = gates(lone, {"partners": (F.count("*") == 0, "missing metadata")}, "metadata")
     return one.unionByName(two)
+
+
+def build_gates(files: DataFrame, *, free_bytes: int, index_bytes: int | None = None, least_images: int = 10) -> DataFrame:
+    """Check rows before and after a build: folders, images, free disk, and the size of the index where there is one."""
+    checks = {
+        "folders": (F.count_distinct("folder") >= 1, "missing folders"),
+        "images": (F.count("*") >= least_images, "missing images"),
+        "disk": (F.lit(free_bytes >= 1 << 30), "under 1 GB of disk free"),
+    }
+    if index_bytes is not None:
+        checks["index"] = (F.lit(index_bytes >= 1000), "invalid index file")
+    return gates(files, checks, "build")

@@ -18,10 +18,16 @@ def _reason(blur: Column, edge: Column, p_blur: Column, p_edge: Column) -> Colum
     return F.when(blur < p_blur, "blur").when(edge < p_edge, "low_edge").otherwise("acceptable")
 
 
-def quality_adaptive(rows: DataFrame, percentile: float = 10.0, group: str = "folder") -> DataFrame:
-    """Adds ``reason``: under the group's percentile of blur, then of edge density (strictly)."""
-    p = percentile / 100
-    limits = rows.groupBy(group).agg(F.percentile("blur_score", F.lit(p)).alias("p_blur"), F.percentile("edge_density", F.lit(p)).alias("p_edge"))
+def quality_adaptive(rows: DataFrame, percentile: float = 10.0, group: str = "folder", accuracy: int | None = None) -> DataFrame:
+    """Adds ``reason``: under the group's percentile of blur, then of edge density (strictly).
+
+    The exact percentile holds a group's distinct scores in one task.  With
+    ``accuracy`` it comes from a sketch of bounded size instead, whose rank
+    error is at most ``1 / accuracy`` of the group.
+    """
+    p = F.lit(percentile / 100)
+    limit = (lambda c: F.percentile(c, p)) if accuracy is None else (lambda c: F.percentile_approx(c, p, accuracy))
+    limits = rows.groupBy(group).agg(limit("blur_score").alias("p_blur"), limit("edge_density").alias("p_edge"))
     return rows.join(limits, group).withColumn("reason", _reason(F.col("blur_score"), F.col("edge_density"), F.col("p_blur"), F.col("p_edge")))
 
 

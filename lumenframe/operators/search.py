@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions import text as T
 from lumenframe.functions import vectors as V
 from lumenframe.operators import health, tiles
 from lumenframe.storage import stored
@@ -171,6 +172,25 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1.0, length)
 
 
+def semantic_batch(rows: DataFrame, queries: DataFrame, query_key: str, key: str, threshold: float, k: int, *, query_block: int = 1024) -> DataFrame:
+    """The k best rows (``key, parts``) of every query (``query_key, t``: its terms) by tag score: ``query_key, key, score, rank``.
+
+    Queries are a stated set: they are counted and each block of at most
+    ``query_block`` meets all rows in one pass; a row's terms are split once.
+    """
+    n = queries.count()
+    blocks, found = max(1, -(-n // query_block)), None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
+        listed = part.agg(F.collect_list(F.struct(F.col(query_key).alias("id"), "t")).alias("__queries"))
+        scored = rows.crossJoin(F.broadcast(listed))  # one row: a block of the queries
+        hits = F.transform("__queries", lambda q: F.struct(q["id"].alias("id"), T.parts_score(q["t"], F.col("parts")).alias("score")))
+        one = scored.select(key, F.explode(F.filter(hits, lambda h: h["score"] >= threshold)).alias("h")).select(F.col("h.id").alias(query_key), key, "h.score")
+        found = one if found is None else found.unionByName(one)
+    order = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 6)), key)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def above(results: DataFrame, threshold: float) -> DataFrame:
     """Drops results under the threshold, after the ranking; 0 keeps all."""
     return results.where(F.col("score") >= threshold) if threshold > 0 else results

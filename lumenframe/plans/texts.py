@@ -19,18 +19,16 @@ query = registrar(QUERIES, ORACLES)
 
 
 @query(
-    "WITH q AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM benchmark WHERE item_id = 0), "
-    "d AS (SELECT doc_id, 0.4 * len(list_intersect(t, [lower(lang), lower(source)])) + 0.3 * len(list_intersect(t, list_distinct(string_split_regex(lower(text), '\\s+')))) AS score FROM documents, q), "
-    "r AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM d WHERE score >= 0.5) SELECT doc_id, round(score::DOUBLE, 6) AS score, rank FROM r WHERE rank <= 50"
+    "WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM benchmark WHERE item_id % 20 = 0), "
+    "d AS (SELECT item_id, doc_id, 0.4 * len(list_intersect(t, [lower(lang), lower(source)])) + 0.3 * len(list_intersect(t, list_distinct(string_split_regex(lower(text), '\\s+')))) AS score FROM documents, q), "
+    "r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM d WHERE score >= 0.5) SELECT item_id, doc_id, round(score::DOUBLE, 6) AS score, rank FROM r WHERE rank <= 50"
 )
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = schemas.table(spark, sf_dir, "documents")
-    q = schemas.table(spark, sf_dir, "benchmark").where("item_id = 0").select(T.terms(F.col("text")).alias("t"))  # one row
-    none = F.array().cast("array<string>")
-    scored = d.crossJoin(F.broadcast(q)).select("doc_id", T.semantic_score(F.col("t"), F.array("lang", "source"), none, F.col("text"), F.lit("")).alias("score"))
-    order = (F.desc(F.round("score", 6)), F.asc("doc_id"))
-    best = scored.where("score >= 0.5").orderBy(*order).limit(50)
-    return best.select("doc_id", F.round("score", 6).alias("score"), F.row_number().over(ingest.Window.orderBy(*order)).cast("long").alias("rank"))
+    """The fifty best documents for every benchmark item whose id is divisible by 20: a stated query set against all rows."""
+    q = schemas.table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select("item_id", T.terms(F.col("text")).alias("t"))
+    parts = T.semantic_parts(F.array("lang", "source"), F.array().cast("array<string>"), F.col("text"), F.lit(""))
+    found = search.semantic_batch(schemas.table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts")), q, "item_id", "doc_id", 0.5, 50)
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _LANGUAGE = "CASE WHEN text IS NULL OR trim(text) = '' THEN 'en' WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[\\x{3040}-\\x{30ff}]') THEN 'ja' WHEN regexp_matches(text, '[\\x{ac00}-\\x{d7af}]') THEN 'ko' WHEN regexp_matches(text, '[\\x{0e00}-\\x{0e7f}]') THEN 'th' WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'vi' ELSE 'en' END"
@@ -72,16 +70,15 @@ def tokens_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.table(spark, sf_dir, "documents").select("doc_id", T.token_features(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
-@query(
-    "WITH c AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b FROM conversations GROUP BY 1), "
-    "x AS (SELECT conv_id, a, b FROM c WHERE a IS NOT NULL AND b IS NOT NULL) "
-    "SELECT conv_id, 'f1' AS name, md5(CASE WHEN trim(a) = '' THEN 'Analysis of f1' ELSE trim(a) END) AS block FROM x UNION ALL SELECT conv_id, 'f2', md5(CASE WHEN trim(b) = '' THEN 'Analysis of f2' ELSE trim(b) END) FROM x UNION ALL SELECT conv_id, 'f3', md5('Analysis of f3') FROM x"
-)
+@query("SELECT conv_id, 't' || turn AS name, md5(CASE WHEN trim(text) = '' THEN 'Analysis of t' || turn ELSE trim(text) END) AS block FROM conversations UNION ALL SELECT DISTINCT conv_id, 'none', md5('Analysis of none') FROM conversations")
 def label_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = schemas.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
-    answer = F.concat(F.lit("[f1]: "), "a", F.lit(" Frame F2: "), "b")
-    names = F.array(F.lit("f1"), F.lit("f2"), F.lit("f3"))
-    x = c.where("a is not null and b is not null").select("conv_id", answer.alias("text"), names.alias("names"), F.explode(names).alias("name"))
+    """Every turn of a conversation read back from one labelled answer, and a label that it lacks."""
+    said = F.concat(F.when(F.col("turn") % 2 == 0, F.lit("[t")).otherwise(F.lit("Frame T")), F.col("turn"), F.when(F.col("turn") % 2 == 0, F.lit("]: ")).otherwise(F.lit(": ")), "text")
+    turns = schemas.table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", said.alias("said")).alias("s"))
+    c = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    names = F.concat(F.transform("s", lambda x: F.concat(F.lit("t"), x["turn"])), F.array(F.lit("none")))
+    c = c.select("conv_id", F.array_join(F.transform("s", lambda x: x["said"]), " ").alias("text"), names.alias("names"))
+    x = c.select("conv_id", "text", "names", F.explode("names").alias("name"))
     return x.select("conv_id", "name", F.md5(T.label_block(F.col("text"), F.col("name"), F.col("names"), F.concat(F.lit("Analysis of "), "name"))).alias("block"))
 
 
@@ -342,6 +339,14 @@ def retriever_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.retriever_health(schemas.frames(spark, sf_dir), schemas.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "frame_id"))
 
 
+@query(
+    "WITH f AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT 'build' AS component, 'folders' AS \"check\", count(*) >= 1 AS ok, 'missing folders' AS issue FROM f UNION ALL SELECT 'build', 'images', sum(n) >= 10, 'missing images' FROM f "
+    "UNION ALL SELECT 'build', 'disk', FALSE, 'under 1 GB of disk free' UNION ALL SELECT 'build', 'index', TRUE, 'invalid index file'"
+)
+def build_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.build_gates(_files(spark, sf_dir), free_bytes=10**8, index_bytes=5_000)
+
+
 @query("SELECT count(*) AS frames, count(DISTINCT label) AS folders, 64::BIGINT AS dimension, count(*) * 256 AS vector_bytes, 0::BIGINT AS without_vector FROM embeddings")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.index_stats(schemas.frames(spark, sf_dir))

@@ -161,6 +161,18 @@ def picture(rows: DataFrame, folder, frame_id, column: str = "content") -> bytes
     return None if found is None or found[0] is None else bytes(found[0])
 
 
+def recover_images(wanted: DataFrame, rows: DataFrame | None, inventory: DataFrame, roots: list[str], column: str = "content", **where) -> DataFrame:
+    """``wanted`` (``folder, frame_id, path``) with the stored bytes, else the first path under which the file still is.
+
+    Adds ``content`` and ``resolved``; where there is neither, both are null.
+    """
+    found = ingest.resolve_paths(wanted, inventory, roots, **where)
+    if rows is None:
+        return found.withColumn("content", F.lit(None).cast("binary"))
+    held = rows.select(F.col("folder").alias("__f"), F.col("frame_id").alias("__i"), F.col(column).alias("content"))
+    return found.join(held, (F.col("folder") == F.col("__f")) & (F.col("frame_id") == F.col("__i")), "left").drop("__f", "__i")
+
+
 def results(found: DataFrame) -> DataFrame:
     """The columns that a search result of a container shows; those that are absent are null."""
     return found.select(*[F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in RESULT_KEYS])

@@ -87,3 +87,12 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_path(Fake())
+
+
+def test_images_are_recovered_from_bytes_or_paths(spark, tmp_path):
+    _, rows = container.build_system(_files(spark, 3), f"file://{tmp_path}/c")
+    wanted = spark.createDataFrame([("v1", 1, "/gone/keyframes/v1/001.jpg"), ("v9", 9, "/gone/keyframes/v9/9.jpg"), ("v9", 10, "/none/10.jpg")], "folder string, frame_id long, path string")
+    there = spark.createDataFrame([("/new/keyframes/v9/9.jpg",)], "path string")
+    got = {r.frame_id: (r.content and bytes(r.content), r.resolved) for r in container.recover_images(wanted, rows, there, ["/new"]).collect()}
+    assert got == {1: (b"red car 1", None), 9: (None, "/new/keyframes/v9/9.jpg"), 10: (None, None)}
+    assert container.recover_images(wanted, None, there, ["/new"]).where("content is null").count() == 3

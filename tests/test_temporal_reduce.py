@@ -117,3 +117,14 @@ def test_quality_thresholds_are_strict(spark):
 def test_presets():
     c = reduce.ReductionConfig()
     assert c.gentle().percentile == 5.0 and not c.ultra_gentle().quality and c.similarity_only().transition == 0.0
+
+
+def test_bounded_percentiles_are_near_the_exact_ones(spark):
+    rows = spark.createDataFrame([("v", i, float(i), float(1000 - i)) for i in range(1000)], "folder string, frame_id long, blur_score double, edge_density double")
+    exact, near = (set(map(tuple, reduce.quality_adaptive(rows, 10.0, accuracy=a).select("frame_id", "reason").collect())) for a in (None, 1000))
+    assert len(exact ^ near) <= 2 * 3
+
+
+def test_presets():
+    c = reduce.ReductionConfig()
+    assert c.gentle().percentile == 5.0 and not c.ultra_gentle().quality and c.similarity_only().transition == 0.0 and not c.similarity_only().quality
