@@ -12,8 +12,13 @@ The vocabulary is a public rank file; a piece of rank r has the Zipf score
 single byte is a piece, hence every pre-token can be segmented.  Of equal
 scores the segmentation with the longer last piece wins.
 
+Pre-tokens of more than ``LONG`` bytes are scored by the same rule in a ring
+as long as the longest piece, so neither a text nor a corpus grows the trie
+beyond its bound.
+
 Defined cases: null or empty text counts 0; texts are processed whole, in
-linear time; repeated rows are counted row by row; extra columns are ignored.
+linear time; repeated rows are counted row by row; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,12 +45,33 @@ def load_scores(path: str) -> dict[bytes, float]:
     return {p: -math.log(r + 1) - norm for p, r in ranks.items()}
 
 
+#: Pre-tokens of more bytes are scored without nodes of their own.
+LONG = 1024
+
+
+class Pieces:
+    """The vocabulary as a trie of reversed pieces: from an end, one walk meets all pieces that end there."""
+
+    def __init__(self, scores: dict[bytes, float]):
+        #: node * 256 + byte -> node
+        self.child: dict[int, int] = {}
+        self.score: list[float | None] = [None]
+        self.longest = max(map(len, scores))
+        for piece, score in scores.items():
+            node = 0
+            for b in reversed(piece):
+                key = node << 8 | b
+                if (node := self.child.get(key, 0)) == 0:
+                    node = self.child[key] = len(self.score)
+                    self.score.append(None)
+            self.score[node] = score
+
+
 class CountTrie:
     """Trie of pre-tokens with forward scores; emptied when it holds ``max_nodes``."""
 
     def __init__(self, scores: dict[bytes, float], max_nodes: int = 600_000):
-        self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores))
+        self.pieces, self.max_nodes = Pieces(scores), max_nodes
         self.clear()
 
     def clear(self) -> None:
@@ -56,22 +82,21 @@ class CountTrie:
 
     def insert(self, word: bytes) -> int:
         """Token count of ``word``; scores only the nodes that are new."""
+        if len(word) > LONG:
+            return self._long(word)
         if len(self.best) > self.max_nodes:
             self.clear()
-        child, best, tokens, longest = self.child, self.best, self.tokens, self.longest
-        score = self.scores.get
+        child, best, tokens = self.child, self.best, self.tokens
+        walk, score = self.pieces.child.get, self.pieces.score
         path, node = [0], 0
         for i, b in enumerate(word):
             nxt = child.get(node << 8 | b)
             if nxt is None:
-                end = i + 1
-                top, count = -math.inf, 0
-                for start in range(end - longest if end > longest else 0, end):
-                    s = score(word[start:end])
-                    if s is not None:
-                        s += best[path[start]]
-                        if s > top:
-                            top, count = s, tokens[path[start]] + 1
+                top, count, start, at = -math.inf, 0, i + 1, 0
+                while start and (at := walk(at << 8 | word[start - 1])):
+                    start -= 1
+                    if (s := score[at]) is not None and (s := s + best[path[start]]) >= top:  # the longer piece of equal ones
+                        top, count = s, tokens[path[start]] + 1
                 nxt = child[node << 8 | b] = len(best)
                 best.append(top)
                 tokens.append(count)
@@ -81,6 +106,19 @@ class CountTrie:
             self.terminal[node] = tokens[node]
         return self.terminal[node]
 
+    def _long(self, word: bytes) -> int:
+        """The same scores in a ring as long as the longest piece; nothing is kept."""
+        walk, score, ring = self.pieces.child.get, self.pieces.score, self.pieces.longest + 1
+        best, tokens = [0.0] * ring, [0] * ring
+        for end in range(1, len(word) + 1):
+            top, count, start, at = -math.inf, 0, end, 0
+            while start and (at := walk(at << 8 | word[start - 1])):
+                start -= 1
+                if (s := score[at]) is not None and (s := s + best[start % ring]) >= top:
+                    top, count = s, tokens[start % ring] + 1
+            best[end % ring], tokens[end % ring] = top, count
+        return tokens[len(word) % ring]
+
 
 class Counter(dict):
     """Chunk after a space -> pre-tokens * 2^32 + tokens; a bounded cache over the trie."""
