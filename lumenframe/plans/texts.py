@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe import schemas
+from lumenframe import schemas, storage
 from lumenframe.functions import text as T
 from lumenframe.operators import health, ingest, search, stats
-from lumenframe.sources import scan
+from lumenframe.sources import container, scan
 
 from . import service
 from .registry import registrar
@@ -144,6 +144,18 @@ def incremental_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.apply_changes(stored, ingest.detect_changes(current, stored), current).select("path", "hash")
 
 
+@query("SELECT DISTINCT md5(text) AS hash, md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0) AS first_build FROM documents")
+def container_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container of the even documents that then grows by the others: each content once, in chunks of either build."""
+    d = schemas.table(spark, sf_dir, "documents")
+    files = d.select(F.concat(F.lit("k/"), "source", F.lit("/"), "doc_id").alias("path"), F.md5("text").alias("hash"), F.col("source").alias("folder"), F.col("doc_id").cast("string").alias("stem"), F.col("text").alias("content"))
+    path = storage.shared_path(spark)
+    storage.delete_at_exit(spark, path)
+    container.build_system(files.where("cast(stem as long) % 2 = 0"), path, chunk_rows=300)
+    _, rows = container.build_system(files, path, chunk_rows=300)
+    return rows.select("hash", F.startswith(F.col("chunk"), F.lit("c00000")).alias("first_build"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = schemas.table(spark, sf_dir, "documents")
     return d.select(F.col("source").alias("folder"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.col("lang").alias("extension"), F.col("n_chars").alias("bytes"))
@@ -352,7 +364,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.index_stats(schemas.frames(spark, sf_dir))
 
 
-@query("SELECT substr(md5(url), 1, 12) AS share_id, 'n1' AS node, url AS path, CASE WHEN url LIKE '%.rvdb' THEN 'index' ELSE 'folder' END AS kind FROM pages WHERE page_id % 7 <> 0 GROUP BY url")
+@query("SELECT substr(md5(url), 1, 12) AS share_id, 'n1' AS node, url AS path, CASE WHEN url LIKE '%.lumen' THEN 'index' ELSE 'folder' END AS kind FROM pages WHERE page_id % 7 <> 0 GROUP BY url")
 def shared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry of all paths, from which those of every seventh page are left out, in two additions."""
     p = schemas.table(spark, sf_dir, "pages").where("page_id % 7 <> 0").select("page_id", F.col("url").alias("path"))

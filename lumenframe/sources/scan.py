@@ -86,7 +86,7 @@ def clean_up(spark: SparkSession, root: str, now: Column, hours: int, *, dry_run
 
 def shares(paths: DataFrame, node: str) -> DataFrame:
     """Registry rows of shared folders and containers: ``share_id, node, path, kind``."""
-    kind = F.when(F.col("path").rlike(r"\.(rvdb|lumen)/?$"), "index").otherwise("folder")
+    kind = F.when(F.col("path").rlike(r"\.lumen/?$"), "index").otherwise("folder")
     return paths.select(F.substring(F.md5("path"), 1, 12).alias("share_id"), F.lit(node).alias("node"), "path", kind.alias("kind")).distinct()
 
 

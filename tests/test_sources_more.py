@@ -1,5 +1,6 @@
 """Writers, listings, shares, tolerant readers, video from any store, configuration."""
 
+import importlib.util
 import json
 import sys
 
@@ -124,9 +125,9 @@ def test_clean_up(spark, tmp_path):
 
 
 def test_shares(spark):
-    p = spark.createDataFrame([("/a",), ("/b.rvdb",), ("/a",)], "path string")
+    p = spark.createDataFrame([("/a",), ("/b.lumen",), ("/a",)], "path string")
     r = scan.shares(p, "n1")
-    assert {(x.path, x.kind) for x in r.collect()} == {("/a", "folder"), ("/b.rvdb", "index")} and all(len(x.share_id) == 12 for x in r.collect())
+    assert {(x.path, x.kind) for x in r.collect()} == {("/a", "folder"), ("/b.lumen", "index")} and all(len(x.share_id) == 12 for x in r.collect())
     both = scan.add_shares(r, scan.shares(p.unionByName(spark.createDataFrame([("/c",)], "path string")), "n2"))
     assert scan.shares_of(both, "n2").first().path == "/c" and scan.shares_of(both, "n1", "index").count() == 1
     assert scan.remove_shares(both, [r.where("path = '/a'").first().share_id]).count() == 2 and scan.remove_shares(both, []).count() == 3
@@ -201,3 +202,13 @@ def test_second_model_keeps_lengths(spark):
     v = d.select(encoders.encode_column(F.col("t"), Long, normalise=False).alias("v")).first().v
     assert np.dot(v, v) == pytest.approx(4)
     assert schemas.KEYFRAME.fieldNames()[0] == "folder_name"
+
+
+def test_pictures_say_what_they_need(spark):
+    d = spark.createDataFrame([(b"x",)], "content binary")
+    made = d.select(images.thumbnail("content").alias("t"), images.encode_jpeg("content").alias("j"))
+    if importlib.util.find_spec("PIL") is None:
+        with pytest.raises(Exception, match="Pillow"):
+            made.collect()
+    else:
+        assert made.first().t is None and made.first().j is None
