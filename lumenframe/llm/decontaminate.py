@@ -10,9 +10,9 @@ skip ``m``.  A zero shift selects the run of windows that end in that block
 and begin with the words in question (suffix and prefix hash), and a direct
 comparison with the words of the document confirms an occurrence.
 
-The search tables hold a few dozen bytes for each benchmark word; a block of
-items is bounded by an upper bound of their size that is measured before, and
-every worker builds the tables of a block once.
+A block of items is bounded by what its tables take, building included, from
+counts of words that are measured before; every worker builds the tables of a
+block once.
 
 Defined cases: null or wordless text has no words and no hits; an item with
 fewer words than the window is a single window; an item with null text or no
@@ -174,8 +174,28 @@ def _built(block: str, rows, window: int) -> Searcher:
     return _BUILT[block]
 
 
-#: Bytes of the search tables for each word of a benchmark item, at most: number, window, shift cells, dictionary entry.
-WORD_BYTES = 320
+#: Bytes that building the tables takes at most: for each word of the items, for each distinct word, and in any case.
+WORD_BYTES, DISTINCT_BYTES, FIXED_BYTES = 200, 240, 20 << 20
+
+
+def table_size(words: int, distinct: int, blocks: int = 1) -> int:
+    """Upper bound of a worker's memory for one of so many equal blocks of items."""
+    own = -(-words // blocks)
+    return FIXED_BYTES + WORD_BYTES * own + DISTINCT_BYTES * min(distinct, own)
+
+
+def blocks_needed(words: int, distinct: int, table_bytes: int) -> int:
+    """The least number of blocks whose tables are within the bound."""
+    low, high = 1, 1
+    while table_size(words, distinct, high) > max(table_bytes, FIXED_BYTES + WORD_BYTES + DISTINCT_BYTES) and high < max(1, words):
+        low, high = high, high * 2
+    while low < high:
+        mid = (low + high) // 2
+        if table_size(words, distinct, mid) > table_bytes:
+            low = mid + 1
+        else:
+            high = mid
+    return max(1, min(high, words))
 
 
 def decontaminate(
@@ -194,17 +214,17 @@ def decontaminate(
 
     Returns ``id_col, n_words, hits array<struct<start,end>> (word positions,
     merged), items array<string>`` and, with ``carry``, the other columns of
-    ``docs``.  The benchmark is the stated pattern set.  Its words are counted
-    first, and it is searched in blocks of items whose tables take at most
-    about ``table_bytes`` in a worker by an upper bound for each word: one map
-    over the documents for each block and no shuffle of documents.
+    ``docs``.  The benchmark is the stated pattern set.  Its words and distinct
+    words are counted first, and it is searched in blocks of items whose
+    tables take at most about ``table_bytes`` in a worker, building included:
+    one map over the documents for each block and no shuffle of documents.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
     bench = bench.where("item_id is not null and item_text is not null")
-    n_words = F.size(F.split("item_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    total = bench.agg(F.sum(n_words.cast("long") * WORD_BYTES + F.octet_length("item_text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // table_bytes))
+    each = bench.select(F.explode(F.split("item_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("w"))
+    size = each.agg(F.count("*").alias("words"), F.count_distinct("w").alias("distinct")).first()
+    n_blocks = blocks_needed(size["words"], size["distinct"], table_bytes)
     out_cols = docs.columns if carry else [id_col]
     work = docs.select(*out_cols, *([] if text_col in out_cols else [text_col]))
     work = work.withColumns({"__n": F.lit(0).cast("long"), "__h": F.lit(None).cast("array<struct<start:long,end:long>>"), "__i": F.lit(None).cast("array<string>")})

@@ -174,7 +174,7 @@ def _model(found):
     return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(found).collect()}
 
 
-@pytest.mark.parametrize("block", [1 << 28, 200_000])
+@pytest.mark.parametrize("block", [1 << 28, (20 << 20) + 200_000])
 def test_wu_manber_equals_brute_force(spark, docs, bench, block):
     d = docs.limit(60).select("doc_id", "text")
     extra = spark.createDataFrame([(1001, None), (1002, bench.first().text.upper()), (1003, "short item"), (1004, "a b c d e f g h i j")], "doc_id long, text string")

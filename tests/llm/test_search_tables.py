@@ -3,21 +3,31 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from lumenframe.llm import decontaminate
 
 
-def test_tables_stay_within_the_bound_per_word():
+@pytest.mark.parametrize(("vocabulary", "items"), [(3_000, 100), (10**9, 100), (20_000, 1200), (10**9, 600)])
+def test_tables_stay_within_the_bound(vocabulary, items):
     rng = np.random.default_rng(2)
-    for vocabulary in (3_000, 10**9):
-        items = [(i, " ".join(f"w{x}" for x in rng.integers(vocabulary, size=500))) for i in range(100)]
-        tracemalloc.start()
-        s = decontaminate.Searcher(items, 10)
-        size = tracemalloc.get_traced_memory()[0]
-        tracemalloc.stop()
-        assert size < decontaminate.WORD_BYTES * 50_000 + sum(len(t) for _, t in items)
-        spans, found = s.find(decontaminate.words("x y " + items[7][1][:300].rsplit(" ", 1)[0] + " z"))
-        assert found == {"7"} and len(spans) == 1
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(vocabulary, size=500))) for i in range(items)]
+    distinct = len({w for _, t in rows for w in t.split()})
+    tracemalloc.start()
+    s = decontaminate.Searcher(rows, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < decontaminate.table_size(500 * items, distinct)
+    spans, found = s.find(decontaminate.words("x y " + rows[7][1][:300].rsplit(" ", 1)[0] + " z"))
+    assert found == {"7"} and len(spans) == 1
+
+
+def test_blocks_follow_the_bound():
+    big = 256 << 20
+    assert decontaminate.blocks_needed(0, 0, big) == decontaminate.blocks_needed(60_000, 9_000, big) == 1
+    for words, distinct in ((5_000_000, 100_000), (5_000_000, 5_000_000), (10**9, 10**7)):
+        n = decontaminate.blocks_needed(words, distinct, big)
+        assert decontaminate.table_size(words, distinct, n) <= big < decontaminate.table_size(words, distinct, n - 1)
 
 
 def test_a_worker_builds_a_block_once(monkeypatch):
@@ -32,5 +42,5 @@ def test_a_worker_builds_a_block_once(monkeypatch):
 def test_blocks_of_one_benchmark_agree(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = decontaminate.digest(decontaminate.decontaminate(docs, bench))
-    parts = decontaminate.digest(decontaminate.decontaminate(docs, bench, table_bytes=100_000))
+    parts = decontaminate.digest(decontaminate.decontaminate(docs, bench, table_bytes=(20 << 20) + 600_000))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
