@@ -250,7 +250,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "fp"])
 
     spark = docs.sparkSession
-    buckets = max(placed.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = bucketed(placed.mapInArrow(run, StructType([*placed.schema.fields, StructField("fp", LongType())])), "__part", buckets)
     best = F.struct(F.col(own_id).isNull().alias("last"), F.col(own_id).alias("id"), F.col("__part").alias("part"), F.col("__at").alias("at"))
     chosen = _chosen(held, best, tile).select(F.col("chosen.part").alias("p"), F.col("chosen.at").alias("a")).distinct()
