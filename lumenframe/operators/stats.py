@@ -34,9 +34,9 @@ def slow_rollup(events: DataFrame, slow: float, now: Column) -> DataFrame:
     )
 
 
-def _window_stats(events: DataFrame, key: str, window: int) -> tuple[DataFrame, DataFrame]:
+def _window_stats(events: DataFrame, key: str, window: int, places: int = 4) -> tuple[DataFrame, DataFrame]:
     kept = last_n(events, key, window)
-    return kept, kept.groupBy(key).agg(F.count("*").alias("count"), F.round(F.sum("duration"), 4).alias("total"), F.round(F.avg("duration"), 4).alias("avg"), F.countDistinct("operation").alias("operations"))
+    return kept, kept.groupBy(key).agg(F.count("*").alias("count"), F.round(F.sum("duration"), 4).alias("total"), F.round(F.avg("duration"), places).alias("avg"), F.countDistinct("operation").alias("operations"))
 
 
 def client_stats(events: DataFrame, window: int = 500) -> DataFrame:
@@ -50,7 +50,7 @@ def client_stats(events: DataFrame, window: int = 500) -> DataFrame:
 
 def team_stats(events: DataFrame, window: int = 200) -> DataFrame:
     """Per ``team`` over its last events: totals, distinct operations and distinct members."""
-    kept, totals = _window_stats(events, "team", window)
+    kept, totals = _window_stats(events, "team", window, 6)
     members = kept.groupBy("team").agg(F.countDistinct("client").alias("members"))
     return totals.join(members, "team")
 

@@ -51,7 +51,7 @@ def agent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH w AS (SELECT *, user_id % 10 AS team, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
-    "SELECT team, count(*) AS count, round(sum(value), 4) AS total, round(avg(value), 4) AS avg, count(DISTINCT event_type) AS operations, count(DISTINCT user_id) AS members FROM w WHERE rn <= 200 GROUP BY 1"
+    "SELECT team, count(*) AS count, round(sum(value), 4) AS total, round(avg(value), 6) AS avg, count(DISTINCT event_type) AS operations, count(DISTINCT user_id) AS members FROM w WHERE rn <= 200 GROUP BY 1"
 )
 def team_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.team_stats(schemas.performance(spark, sf_dir).withColumn("team", F.col("client") % 10))
