@@ -2,17 +2,23 @@
 
 from itertools import permutations
 
-import pytest
-
 from lumenframe.llm import simhash
 
 A, B = "the quick brown fox jumps over the lazy dog again and again", "quite another text about rivers and mountains of the far north"
 
 
-@pytest.mark.parametrize("rows", list(permutations([(3, A), (7, A), (7, B)])))
-def test_equal_ids_of_different_texts(spark, rows):
-    d = spark.createDataFrame(list(rows), "doc_id long, text string").repartition(2)
-    assert sorted(tuple(r) for r in simhash.keep_one(d).collect()) == [(3, A), (7, B)]
+def test_equal_ids_of_different_texts_in_every_order(spark):
+    """(3, A), (7, A), (7, B) in six orders at once: each with ids and texts of its own."""
+    rows, want = [], []
+    for k, order in enumerate(permutations(range(3))):
+        a, b = (f"{t} in the {'first second third fourth fifth sixth'.split()[k]} of the orders " + f"word{k} " * 9 + t[:: -1 if k % 2 else 1] for t in (A, B))
+        own = [(100 * k + 3, a), (100 * k + 7, a), (100 * k + 7, b)]
+        rows += [own[i] for i in order]
+        want += [(100 * k + 3, a), (100 * k + 7, b)]
+    fps = [simhash.fingerprint(t) for _, t in want]
+    assert all((x ^ y).bit_count() > 3 for i, x in enumerate(fps) for y in fps[:i])
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in simhash.keep_one(d).collect()) == sorted(want)
 
 
 def test_rows_equal_a_plain_choice(spark, sf):
