@@ -7,10 +7,11 @@ source's target over its words gives every document the same expected number
 of copies: the whole part is allocated as certain copies, the rest is a
 sample.
 
-The sample is laid out by size class (quarters of an octave), from the longest
+The sample is laid out by size class (sixteenths of an octave), from the longest
 documents to the shortest: each class gets a whole number of documents, the
 words that this rounding leaves over or short go to the next class.  Rounding
-is random, so no class is favoured.  The inclusion probability of a document
+is random, so no class is favoured, as long as the shorter documents can make
+up for it.  The inclusion probability of a document
 is the share of its class that is drawn, and differs between classes.
 
 ``pareto_sample`` draws the fixed-size samples: a document ranks by its random
@@ -120,28 +121,32 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: int) -
 
 
 def size_class(size: Column) -> Column:
-    """Quarters of an octave: the number's highest bit and the two bits after it."""
+    """Sixteenths of an octave: the number's highest bit and the four bits after it."""
     top = (F.length(F.bin(size)) - 1).cast("int")
-    quarter = F.when(top >= 2, F.call_function("shiftright", size, top - 2).bitwiseAND(F.lit(3))).when(top == 1, size.bitwiseAND(F.lit(1)) * 2).otherwise(0)
-    return (4 * top + quarter).cast("int")
+    return (16 * top + F.call_function("shiftright", size * 16, top).bitwiseAND(F.lit(15))).cast("int")
 
 
 def layout(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """``source, class, whole, inclusion, source_size, target``: how many copies are certain, and the share of a class that is drawn."""
     classes = rows.where("size > 0").groupBy("source", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("words"))
-    # a source has as many classes as sizes have quarter octaves: below 256
+    # a source has as many classes as sizes have sixteenths of an octave: a few hundred
     lists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "docs", "words")), asc=False).alias("classes")).withColumnRenamed("source", "__source")
     plan = wanted.where("source_size > 0").join(lists, F.col("source").eqNullSafe(F.col("__source")))
     plan = plan.withColumn("whole", F.floor(F.col("target") / F.col("source_size")))
     plan = plan.withColumn("rest", (F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size"))
+    rest = F.col("rest")
 
     def step(acc: Column, c: Column) -> Column:
-        due = F.col("rest") * c["words"] + acc["carry"]
-        drawn = F.least(F.greatest(F.floor(due * c["docs"] / c["words"] + uniform(F.lit(seed), F.col("source"), c["class"])), F.lit(0)), c["docs"])
+        due, after, mean = rest * c["words"] + acc["carry"], acc["left"] - c["words"], c["words"] / c["docs"]
+        # so many that the shorter documents can make up for the rounding; if none can, the nearest number
+        low, high = F.ceil((due - (1 - rest) * after) / mean), F.floor((due + rest * after) / mean)
+        by_chance = F.floor(due / mean + uniform(F.lit(seed), F.col("source"), c["class"]))
+        drawn = F.when(low > high, F.floor(due / mean + 0.5)).otherwise(F.least(F.greatest(by_chance, low), high))
+        drawn = F.least(F.greatest(drawn, F.lit(0)), c["docs"])
         done = F.struct(c["class"].alias("class"), (drawn.cast("double") / c["docs"]).alias("inclusion"))
-        return F.struct((due - drawn * c["words"] / c["docs"]).alias("carry"), F.concat(acc["out"], F.array(done)).alias("out"))
+        return F.struct((due - drawn * mean).alias("carry"), after.alias("left"), F.concat(acc["out"], F.array(done)).alias("out"))
 
-    start = F.struct(F.lit(0.0).alias("carry"), F.expr("cast(array() as array<struct<class:int,inclusion:double>>)").alias("out"))
+    start = F.struct(F.lit(0.0).alias("carry"), F.col("source_size").alias("left"), F.expr("cast(array() as array<struct<class:int,inclusion:double>>)").alias("out"))
     each = plan.withColumn("out", F.aggregate("classes", start, step, lambda a: a["out"]))
     return materialise(each.select("source", "source_size", "target", "whole", F.explode("out").alias("c")).select("source", "source_size", "target", "whole", "c.class", "c.inclusion"))
 
@@ -193,22 +198,23 @@ WITH RECURSIVE d AS (
 ), t AS (
   SELECT source, source_size, least(rest * w / per, (2 * source_size)::DOUBLE) AS target FROM s, level
 ), c AS (
-  SELECT *, CASE WHEN e >= 2 THEN 4 * e + ((size >> (e - 2)) & 3) WHEN e = 1 THEN 4 + (size & 1) * 2 ELSE 0 END AS class
-  FROM (SELECT *, (length(bin(size)) - 1)::BIGINT AS e FROM d WHERE size > 0)
+  SELECT *, 16 * e + (((size * 16) >> e) & 15) AS class FROM (SELECT *, (length(bin(size)) - 1)::BIGINT AS e FROM d WHERE size > 0)
 ), k AS (
-  SELECT source, class, count(*) AS docs, sum(size)::BIGINT AS words, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS i FROM c GROUP BY source, class
+  SELECT source, class, count(*)::DOUBLE AS docs, sum(size)::BIGINT AS words, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS i FROM c GROUP BY source, class
 ), p AS (
-  SELECT k.*, source_size, target, floor(target / source_size) AS whole, (target - floor(target / source_size) * source_size) / source_size AS rest,
+  SELECT k.*, source_size, target, floor(target / source_size) AS whole, (target - floor(target / source_size) * source_size) / source_size AS rest, words / docs AS mean,
+         coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY class DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS after,
          (('0x' || substr(md5('42:' || coalesce(k.source, 'null') || ':' || class), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source WHERE source_size > 0
 ), f AS (
-  SELECT source, i, 0::DOUBLE AS carry, 0::BIGINT AS drawn FROM p WHERE FALSE
-  UNION ALL SELECT source, 0::BIGINT, 0::DOUBLE, 0::BIGINT FROM p WHERE i = 1
+  SELECT DISTINCT source, 0::BIGINT AS i, 0::DOUBLE AS carry, 0::BIGINT AS drawn FROM p
   UNION ALL
-  SELECT source, i, due - drawn * words / docs, drawn FROM (
-    SELECT p.source, p.i, p.docs::DOUBLE AS docs, p.words::DOUBLE AS words, rest * p.words + carry AS due,
-           least(greatest(floor((rest * p.words + carry) * p.docs::DOUBLE / p.words + u), 0), p.docs)::BIGINT AS drawn
-    FROM f JOIN p ON p.i = f.i + 1 AND p.source IS NOT DISTINCT FROM f.source
+  SELECT source, i, due - drawn * mean, drawn FROM (
+    SELECT *, least(greatest(CASE WHEN low > high THEN floor(due / mean + 0.5) ELSE least(greatest(floor(due / mean + u), low), high) END, 0), docs)::BIGINT AS drawn FROM (
+      SELECT *, ceil((due - (1 - rest) * after) / mean) AS low, floor((due + rest * after) / mean) AS high FROM (
+        SELECT p.*, p.rest * p.words + f.carry AS due FROM f JOIN p ON p.i = f.i + 1 AND p.source IS NOT DISTINCT FROM f.source
+      )
+    )
   )
 ), r AS (
   SELECT c.doc_id, c.size, p.source_size, p.target, p.whole, f.drawn,

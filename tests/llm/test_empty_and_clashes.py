@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import cover_tree, decontaminate, packing, pii, quality, queries, secrets, simhash, token_counts, url_filter, warc
+from lumenframe.llm import collocations, cover_tree, decontaminate, hard_negatives, mixing, packing, pii, quality, queries, secrets, simhash, token_counts, url_filter, warc
 
 CLASHES = ("base", "extra", "spans", "fp", "least", "root", "node", "component_id", "hits", "items", "n_words", "start", "length", "part", "rank", "score", "x", "q", "rule", "stem", "digest", "first_id", "record_type", "at", "__x", "__part", "__at", "__row", "__spans", "__new", "__digest", "__best", "__n", "__h", "__i", "_c0", "bits")
 
@@ -31,6 +31,9 @@ OPERATORS = {
     "warc": lambda t: warc.round_trip(t["pages"]),
     "url_filter": lambda t: url_filter.judge_urls(t["pages"]),
     "cover_tree": lambda t: cover_tree.exact_topk(t["embeddings"], F.col("vec_id") % 10 == 0),
+    "mixing": lambda t: mixing.mix(t["documents"]),
+    "collocations": lambda t: collocations.collocations(t["documents"], least=2),
+    "hard_negatives": lambda t: hard_negatives.mine(t["embeddings"], F.col("vec_id") % 5 == 0),
     "packing": lambda t: packing.pack(t["documents"], queries.vocabulary("byte_bpe_50k.json")),
 }
 
