@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.storage import delete_at_exit, shared_path
+from lumenframe.storage import bucketed, delete_at_exit, shared_path
 from lumenframe.storage import stored as materialise
 
-__all__ = ["arrow_map", "delete_at_exit", "least_hashed", "load", "materialise", "plain", "restored", "shared_path"]
+__all__ = ["arrow_map", "delete_at_exit", "held", "least_hashed", "load", "materialise", "places", "plain", "restored", "returned", "shared_path"]
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
@@ -60,3 +60,34 @@ def least_hashed(df: DataFrame, key: str, n: int) -> DataFrame:
     mark = F.xxhash64(key)
     top = -(1 << 63) + int((1 << 64) * min(1.0, 4 * n / max(1, rows))) - 1
     return df.where(mark <= top).orderBy(mark, key).limit(n)
+
+
+#: Rows of a part in ``held``: what comes back for a part is one map with so many entries at most.
+PART = 1 << 12
+
+
+def places(df: DataFrame) -> DataFrame:
+    """``df`` with the place of every row: its part ``__part`` and where it is there, ``__at``."""
+    from pyspark.sql import functions as F
+
+    place = F.monotonically_increasing_id()
+    return df.withColumns({"__part": F.shiftright(place, PART.bit_length() - 1), "__at": F.pmod(place, F.lit(PART))})
+
+
+def held(placed: DataFrame) -> DataFrame:
+    """Rows with places, written once, bucketed by part, so that decisions come back to where they lie."""
+    spark = placed.sparkSession
+    return bucketed(placed, "__part", max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def returned(rows: DataFrame, decisions: DataFrame, value: str) -> DataFrame:
+    """``rows`` of ``held`` with the column ``value`` of ``decisions(__part, __at, value)``, null where there is none.
+
+    A place has one decision at most.  Those of a part become one map, and the
+    maps are joined on the part alone: only decisions are shuffled, never rows.
+    """
+    from pyspark.sql import functions as F
+
+    maps = decisions.groupBy(F.col("__part").alias("__of")).agg(F.map_from_entries(F.collect_list(F.struct("__at", value))).alias("__map")).hint("shuffle_hash")
+    joined = rows.join(maps, F.col("__part") == F.col("__of"), "left")
+    return joined.select(*rows.columns, F.try_element_at("__map", F.col("__at")).alias(value))

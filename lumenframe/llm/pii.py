@@ -5,11 +5,14 @@ overlapping for each kind over whole texts; matches that fail their check are
 dropped without a retry.  A lexical pattern is the word before an entity.
 The bipartite graph of patterns and instances (identifier-like values with
 digits) is scored for ``rounds`` rounds: a pattern's confidence is the summed
-score of its instances over *all* occurrences of its word in the corpus, and
-an instance's score is that of its best pattern (seeds stay 1); identifier-like
-values that overlap an entity are that entity and count once.  Identifiers
-behind patterns with enough confidence and distinct seeds become spans of the
-kind ``context``; base spans are never changed.
+score of its instances over *all* occurrences of its word in the corpus, its
+support the summed score of its distinct instances, and it is accepted with
+``min_confidence`` and ``min_seeds`` of them.  An instance's score is 1 for a
+seed, else the confidence of its best accepted pattern, else 0: what a round discovers
+supports the patterns of the next, so an identifier may be ``rounds`` steps from a
+seed.  Identifier-like values that overlap an entity are that entity and count
+once.  Identifiers behind the patterns that the last round accepts become spans of the kind
+``context``; base spans are never changed.
 
 A word is a run of letters, marks and digits (with underscores before a
 letter) together with a quote and ``:`` or ``=`` that directly follow; between
@@ -32,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialise, plain, restored
+from ._util import held, materialise, places, plain, restored, returned
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -161,11 +164,11 @@ def _text(text_col: str) -> Column:
 
 
 def _totals(docs: DataFrame, text_col: str, support: DataFrame) -> DataFrame:
-    """All occurrences of the supported words, over all documents.
+    """All occurrences of the words that may find support, over all documents.
 
     Words are cut before they are shuffled by a broadcast set of hash buckets,
     ``BUCKETS`` numbers at most whatever the corpus; what falls into the
-    bucket of a supported word by chance goes in the join after it.
+    bucket of such a word by chance goes in the join after it.
     """
     mark = lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1))
     marks = support.select(mark("word").alias("mark")).distinct()
@@ -175,33 +178,36 @@ def _totals(docs: DataFrame, text_col: str, support: DataFrame) -> DataFrame:
 
 
 def _patterns(found: DataFrame, docs: DataFrame, text_col: str, rounds: int, min_confidence: float, min_seeds: int) -> DataFrame:
-    """Words before identifiers, with confidence; one row for each word of enough seeds."""
+    """Words that the last round accepts."""
     spans = found.select(F.explode("__spans").alias("s"))
     edges = spans.where("s.word <> ''").groupBy(F.col("s.word").alias("word"), F.col("s.value").alias("value")).agg(
         F.count("*").alias("n"), F.max((F.col("s.kind") < len(KINDS)).cast("double")).alias("seed")
     )
     edges = materialise(edges)
-    support = materialise(edges.groupBy("word").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds))
-    words = materialise(_totals(docs, text_col, support))
+    # scores are 1 at most, so a word with fewer values can't get the support
+    known = materialise(edges.groupBy("word").agg(F.count("*").alias("values")).where(F.col("values") >= min_seeds))
+    words = materialise(_totals(docs, text_col, known))
     edges = materialise(edges.withColumnRenamed("word", "ew").join(words, F.col("ew") == F.col("word")).select("word", "value", "n", "seed", "total"))
-    score = F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("confidence")
-    patterns = materialise(edges.withColumn("score", F.col("seed")).groupBy("word").agg(score))
-    for _ in range(rounds - 1):
-        told = edges.join(patterns.withColumnRenamed("word", "pw"), F.col("word") == F.col("pw"))
-        instances = told.groupBy("value").agg(F.greatest(F.max("seed"), F.max("confidence")).alias("score")).withColumnRenamed("value", "iv")
-        patterns = materialise(edges.join(instances, F.col("value") == F.col("iv")).groupBy("word").agg(score))
-    return patterns.where(F.col("confidence") >= min_confidence).select(F.col("word").alias("accepted"))
+    # a value is a seed behind any of these words if it is one behind some
+    scored = edges.groupBy(F.col("value").alias("iv")).agg(F.max("seed").alias("score"))
+    told = F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("confidence")
+    for i in range(rounds):
+        patterns = edges.join(scored, F.col("value") == F.col("iv")).where("score > 0").groupBy("word").agg(told, F.sum("score").alias("support"))
+        patterns = materialise(patterns.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_seeds)).select(F.col("word").alias("accepted"), "confidence"))
+        if i + 1 < rounds:
+            reached = edges.join(patterns, F.col("word") == F.col("accepted"), "left")
+            scored = materialise(reached.groupBy(F.col("value").alias("iv")).agg(F.greatest(F.max("seed"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score")))
+    return patterns.select("accepted")
 
 
 def _find(docs: DataFrame, columns: list[str], text_col: str, rounds: int, min_confidence: float, min_seeds: int) -> DataFrame:
     """``columns``, ``__spans`` (base and candidates) and ``__new`` (accepted candidates) of every row."""
-    found = materialise(docs.select(F.monotonically_increasing_id().alias("__row"), *columns, _base(_text(text_col)).alias("__spans")))
-    accepted = _patterns(found, docs, text_col, rounds, min_confidence, min_seeds)
-    candidates = found.select("__row", F.explode(F.filter("__spans", lambda s: s["kind"] == len(KINDS))).alias("s"))
+    found = held(places(docs.select(*columns, _base(_text(text_col)).alias("__spans"))))
+    accepted = _patterns(found, found if text_col in columns else docs, text_col, rounds, min_confidence, min_seeds)
+    candidates = found.select("__part", "__at", F.explode(F.filter("__spans", lambda s: s["kind"] == len(KINDS))).alias("s"))
     extra = candidates.join(accepted, F.col("s.word") == F.col("accepted"), "left_semi")
-    # written first, so that the planner knows its size when it picks the join
-    extra = materialise(extra.groupBy("__row").agg(F.array_sort(F.collect_list("s")).alias("__new")).withColumnRenamed("__row", "__at"))
-    return found.join(extra, F.col("__row") == F.col("__at"), "left").select(*columns, "__spans", F.coalesce("__new", _none()).alias("__new"))
+    extra = extra.groupBy("__part", "__at").agg(F.array_sort(F.collect_list("s")).alias("__new"))
+    return returned(found, extra, "__new").select(*columns, "__spans", F.coalesce("__new", _none()).alias("__new"))
 
 
 def find_pii(
@@ -215,8 +221,8 @@ def find_pii(
 ) -> DataFrame:
     """``id_col, base, extra``: arrays of ``struct<start,end,kind,value>`` in order of start, then kind.
 
-    Counts of words and the graph cover all documents; rows are shuffled only
-    as supported words, values and spans, never as texts.
+    Counts of words and the graph cover all documents; what is shuffled are
+    words that may find support, values and spans, never texts.
     """
     found = _find(docs, [id_col], text_col, rounds, min_confidence, min_seeds)
     base = F.filter("__spans", lambda s: s["kind"] < len(KINDS))

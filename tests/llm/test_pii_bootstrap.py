@@ -8,6 +8,7 @@ import pytest
 import regex
 
 from lumenframe.llm import pii
+from tests.llm import plans
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:_+(?=\p{L})[\p{L}\p{M}\p{N}]+)*(?:[\"']?[:=])?")
 SIGN = regex.compile(r"[\p{L}\p{M}\p{N}]")
@@ -62,20 +63,20 @@ def model(texts, rounds=3, min_confidence=0.5, min_seeds=5):
                 edges[word, value] += 1
                 if kind != "candidate":
                     seed.add((word, value))
-    seeds = Counter(w for w, _ in seed)
+    values = Counter(w for w, _ in edges)
+    edges = {(w, v): n for (w, v), n in edges.items() if values[w] >= min_seeds}
+    seed = {v for w, v in seed if (w, v) in edges}
     total = Counter(w for text in texts.values() for _, _, w in tokens(text))
-    edges = {(w, v): n for (w, v), n in edges.items() if seeds[w] >= min_seeds}
-    score = {e: float(e in seed) for e in edges}
+    score, accepted = {v: float(v in seed) for _, v in edges}, {}
     for _ in range(rounds):
-        told = defaultdict(float)
+        told, support = defaultdict(float), defaultdict(float)
         for (w, v), n in edges.items():
-            told[w] += n * score[w, v]
-        confidence = {w: min(1.0, x / total[w]) for w, x in told.items()}
-        best = defaultdict(float)
+            told[w] += n * score[v]
+            support[w] += score[v]
+        accepted = {w: min(1.0, x / total[w]) for w, x in told.items() if support[w] >= min_seeds and min(1.0, x / total[w]) >= min_confidence}
+        score = {v: float(v in seed) for v in score}
         for w, v in edges:
-            best[v] = max(best[v], confidence[w], float((w, v) in seed))
-        score = {(w, v): best[v] for w, v in edges}
-    accepted = {w for w, c in confidence.items() if c >= min_confidence}
+            score[v] = max(score[v], accepted.get(w, 0.0))
     return {i: sorted((a, b) for a, b, k, _, w in found if k == "candidate" and w in accepted) for i, found in spans.items()}
 
 
@@ -103,6 +104,40 @@ def test_scores_travel_over_the_graph(spark, rounds):
     check(spark, dict(enumerate(rows)), rounds=rounds, min_confidence=0.3)
 
 
+def second_generation():
+    """Twelve addresses and twelve numbers behind ``contact:``, the same numbers and a new one behind ``badge:``, and that one and three more behind ``locker:``."""
+    numbers = [f"AB-{4000 + i}" for i in range(12)]
+    rows = [f"contact: p{i}@site.org" for i in range(12)] + [f"contact: {n}" for n in numbers]
+    rows += [f"badge: {n}" for n in [*numbers, "ZZ-9001"]]
+    rows += [f"locker: {n}" for n in ["ZZ-9001", *numbers[:3], "QQ-7001"]] + [f"page {1000 + i}" for i in range(40)]
+    return dict(enumerate(rows))
+
+
+@pytest.mark.parametrize(("rounds", "reached"), [(1, {"contact"}), (2, {"contact", "badge"}), (3, {"contact", "badge", "locker"})])
+def test_discovered_identifiers_induce_patterns(spark, rounds, reached):
+    texts = second_generation()
+    options = {"rounds": rounds, "min_confidence": 0.3, "min_seeds": 2}
+    check(spark, texts, **options)
+    d = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    behind = {texts[r.doc_id].split(":")[0] for r in pii.find_pii(d, **options).collect() if r.extra}
+    assert behind == reached
+    new = [i for i, t in texts.items() if t == "badge: ZZ-9001"][0]
+    assert bool(pii.find_pii(d, **options).where(f"doc_id = {new}").first().extra) == (rounds > 1)
+
+
+def test_texts_are_not_shuffled(spark, sf):
+    """With broadcasts off, no exchange or sort carries a text: what a part decides comes to the rows where they lie."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        red = pii.redact(d)
+        assert plans.moved(red) and not plans.moved(red) & {"_c1", "text", "__clean"}
+        assert red.count() == d.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_many_spans_in_one_text_take_linear_time(spark):
     def took(n):
         text = " ".join(f"n{i % 7} {1000000 + i}" if i % 3 else f"mail: a{i}@b.org" for i in range(n))
