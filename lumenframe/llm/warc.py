@@ -6,9 +6,9 @@ record is a frame of its own, compressed with that dictionary, so that
 records can be read one by one.  Records of equal payload are written once
 as ``response``; the others are ``revisit`` records that name it.
 
-Which row holds a payload is decided on digests alone (partial aggregation,
-then a join of one small row per page); payloads are shuffled only if the
-table of repeated digests is too large for the planner to broadcast.  A task
+Which row holds a payload is decided on digests and places alone (partial
+aggregation, then a join of one small row per page); rows are written once, bucketed by place,
+where the decisions come back to them: payloads are never shuffled.  A task
 writes archives of bounded size under a name of its own attempt and lists
 them with offsets; only listed archives are read, so lost executors and
 repeated attempts do no harm.  The archives are in the cluster's shared folder.
@@ -16,7 +16,8 @@ repeated attempts do no harm.  The archives are in the cluster's shared folder.
 Defined cases: null html is an empty payload; payloads under ``least`` bytes
 are all responses; of equal payloads the row(s) with the least id are the
 response, null ids come last, and a group without any id is all responses;
-null ids and URLs are written as absent; repeated rows are records of their
+null ids and URLs are written as absent;
+ids are whole numbers of 64 bits, which is what the reader returns; repeated rows are records of their
 own; extra columns are ignored; an empty table gives no archive.
 """
 
@@ -96,14 +97,23 @@ def _dictionary_object(data: bytes):
 
 
 def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """Every row with payload, digest, ``record_type`` and ``refers_to``."""
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(F.coalesce(F.col(html_col), F.lit(""))).cast("long").alias("bytes"))
-    same = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    """Every row with payload, digest, ``record_type`` and ``refers_to``.
+
+    Rows are written once, bucketed by place.  Which of them revisit another
+    is decided on digests and places, and comes back to where the rows lie:
+    payloads are never shuffled, and a digest of very many pages meets the join
+    as digests alone, of which Spark splits skewed ones.
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    rows = _util.held(_util.places(rows))
+    known = rows.where(F.col("bytes") >= least).select("__part", "__at", "page_id", "digest")
+    same = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     same = _util.materialise(same.select(F.col("digest").alias("d"), "first_id"))  # the planner then knows its size
-    rows = rows.join(same, F.col("digest") == F.col("d"), "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    revisits = known.join(same, F.col("digest") == F.col("d")).where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    rows = _util.returned(rows, revisits.select("__part", "__at", "first_id"), "first_id")
+    kind = F.when(F.col("first_id").isNotNull(), "revisit").otherwise("response")
+    return rows.select("page_id", "url", "html", "digest", kind.alias("record_type"), F.col("first_id").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col="page_id", url_col="url", html_col="html", least: int = 100, sample: int = 400, archive_bytes: int = 64 << 20, level: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.llm import plans
 from lumenframe.llm import components, cover_tree, decontaminate, packing, pii, quality, queries, secrets, simhash, token_counts, url_filter, warc
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -343,6 +344,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(p.limit(0)).count() == 0
 
 
+def test_payloads_are_not_shuffled(spark):
+    """A digest that a third of all pages share, broadcasts off: no exchange or sort holds payloads."""
+    p = spark.range(3000).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("same " * 60)).otherwise(F.concat(F.lit("page " * 30), F.col("id").cast("string"))).alias("html"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decided = warc.decide(p, "page_id", "url", "html", 100)
+        assert plans.moved(decided) and not plans.moved(decided) & {"html", "url"}
+        kinds = {r.record_type: r["count"] for r in decided.groupBy("record_type").count().collect()}
+        assert kinds == {"response": 2001, "revisit": 999}
+        assert decided.where("record_type = 'revisit' and refers_to = 0").count() == 999
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # --- 8 URLs
 
 
