@@ -11,8 +11,9 @@ and begin with the words in question (suffix and prefix hash), and a direct
 comparison with the words of the document confirms an occurrence.
 
 A block of items is bounded by what its tables take, building included, from
-counts of words that are measured before; every worker builds the tables of a
-block once.
+counts of words that are measured before.  Blocks are searched one after the
+other, each in a job of its own; every worker builds the tables of a block once
+and drops those of the block before.
 
 Defined cases: null or wordless text has no words and no hits; an item with
 fewer words than the window is a single window; an item with null text or no
@@ -31,6 +32,7 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import _util
 
@@ -216,10 +218,10 @@ def decontaminate(
     merged), items array<string>`` and, with ``carry``, the other columns of
     ``docs``.  The benchmark is the stated pattern set.  Its words and distinct
     words are counted first, and it is searched in blocks of items whose
-    tables take at most about ``table_bytes`` in a worker, building included:
-    one map over the documents for each block and no shuffle of documents.
+    tables take at most about ``table_bytes`` in a worker, building included.
+    One block is one map over the documents; several are a job each, so that
+    a worker never holds the tables of two.  Documents are not shuffled.
     """
-    spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
     bench = bench.where("item_id is not null and item_text is not null")
     each = bench.select(F.explode(F.split("item_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("w"))
@@ -227,44 +229,101 @@ def decontaminate(
     n_blocks = blocks_needed(size["words"], size["distinct"], table_bytes)
     out_cols = docs.columns if carry else [id_col]
     work = docs.select(*out_cols, *([] if text_col in out_cols else [text_col]))
-    work = work.withColumns({"__n": F.lit(0).cast("long"), "__h": F.lit(None).cast("array<struct<start:long,end:long>>"), "__i": F.lit(None).cast("array<string>")})
+    if n_blocks == 1:
+        found = _searched(work, _sent(bench), text_col, window, list(work.columns), keep_all=True)
+    else:
+        found = _by_blocks(work, bench, n_blocks, text_col, window)
+    return found.select(*out_cols, F.col("__n").alias("n_words"), F.col("__h").alias("hits"), F.col("__i").alias("items"))
+
+
+def _sent(block: DataFrame):
+    """The items of a block, broadcast: bounded as its tables are."""
+    return block.sparkSession.sparkContext.broadcast([(r["item_id"], r["item_text"]) for r in block.toLocalIterator()])
+
+
+_HITS = "array<struct<start:long,end:long>>"
+
+
+def _by_blocks(work: DataFrame, bench: DataFrame, n_blocks: int, text_col: str, window: int) -> DataFrame:
+    """The search of a benchmark whose tables exceed the bound, block by block.
+
+    Every block is a job of its own over the documents, which are written once:
+    a worker holds the tables of the block that it searches, the driver the
+    items of that block.  A job writes what it hits, by place; all hits of a
+    place then come back to where its row lies.
+    """
+    rows = _util.held(_counted(_util.places(work), text_col))
+    hits = None
     for k in range(n_blocks):
-        block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n_blocks)) == k)
-        rows = [(r["item_id"], r["item_text"]) for r in block.toLocalIterator()]
-        work = _search_block(work, spark.sparkContext.broadcast(rows), text_col, window)
-    return work.select(*out_cols, F.col("__n").alias("n_words"), F.col("__h").alias("hits"), F.col("__i").alias("items"))
+        items = _sent(bench.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n_blocks)) == k))
+        some = _util.materialise(_searched(rows.select("__part", "__at", text_col), items, text_col, window, ["__part", "__at"], keep_all=False).drop("__n"))
+        items.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+    hits = hits.groupBy("__part", "__at").agg(F.flatten(F.collect_list("__h")).alias("__h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__i")))).alias("__i"))
+    found = _util.returned(rows, hits.select("__part", "__at", F.struct(_merged("__h").alias("__h"), F.col("__i").alias("__i")).alias("__both")), "__both")
+    none = lambda c, kind: F.coalesce(F.col(f"__both.{c}"), F.expr(f"cast(array() as {kind})")).alias(c)
+    return found.select(*[c for c in rows.columns if c not in ("__part", "__at")], none("__h", _HITS), none("__i", "array<string>"))
+
+
+def _merged(spans: str):
+    """Overlapping and touching spans made one, as in ``_merge``."""
+    empty = F.expr(f"cast(array() as {_HITS})")
+
+    def step(out, x):
+        last = F.try_element_at(out, F.lit(-1))
+        one = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(one))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), empty, step)
 
 
-def _search_block(work: DataFrame, rows, text_col: str, window: int) -> DataFrame:
+def _counted(work: DataFrame, text_col: str) -> DataFrame:
+    """``work`` with ``__n``, the number of words."""
     import pyarrow as pa
 
-    schema = work.schema
-    names = work.columns
-    at = names.index(text_col)
-    block = uuid.uuid4().hex
+    at, schema = work.columns.index(text_col), StructType([*work.schema.fields, StructField("__n", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            n = pa.array([len(words(t.as_py())) for t in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, "__n"])
+
+    return work.mapInArrow(run, schema)
+
+
+def _searched(work: DataFrame, rows, text_col: str, window: int, keep: list[str], keep_all: bool) -> DataFrame:
+    """``keep``, ``__n``, ``__h`` and ``__i`` of the rows, or of those with a hit only; one block of items."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = StructType([*[f for f in work.schema.fields if f.name in keep], StructField("__n", LongType()), *_EXTRA])
+    out = to_arrow_schema(schema)
+    at, kept, block = work.columns.index(text_col), [i for i, c in enumerate(work.columns) if c in keep], uuid.uuid4().hex
 
     def run(batches):
         searcher = _built(block, rows, window)
         for batch in batches:
-            n, h, i = [], [], []
-            old_h, old_i = batch.column(len(names) - 2), batch.column(len(names) - 1)
+            n, h, i, some = [], [], [], []
             for k, text in enumerate(batch.column(at)):
                 w = words(text.as_py())
                 spans, items = searcher.find(w)
-                n.append(len(w))
-                if (before := old_h[k].as_py()) is not None:
-                    spans, items = _merge(spans + [(x["start"], x["end"]) for x in before]), items | set(old_i[k].as_py())
-                h.append([{"start": a, "end": b} for a, b in spans])
-                i.append(sorted(items))
-            f = batch.schema
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-3], pa.array(n, pa.int64()), pa.array(h, f.field(len(names) - 2).type), pa.array(i, f.field(len(names) - 1).type)],
-                names=f.names,
-            )
+                if keep_all or spans:
+                    some.append(k)
+                    n.append(len(w))
+                    h.append([{"start": a, "end": b} for a, b in spans])
+                    i.append(sorted(items))
+            own = batch if keep_all else batch.take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[own.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(h, out.field("__h").type), pa.array(i, out.field("__i").type)], names=out.names)
 
     return work.mapInArrow(run, schema)
 
 
+_EXTRA = [
+    StructField("__h", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
+    StructField("__i", ArrayType(StringType())),
+]
+
+
 def _merge(spans):
     out: list[list[int]] = []
     for a, b in sorted(spans):

@@ -44,3 +44,76 @@ def test_blocks_of_one_benchmark_agree(spark, sf):
     whole = decontaminate.digest(decontaminate.decontaminate(docs, bench))
     parts = decontaminate.digest(decontaminate.decontaminate(docs, bench, table_bytes=(20 << 20) + 600_000))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def _workers() -> int:
+    import psutil
+
+    found = 0
+    for x in psutil.Process().children(recursive=True):
+        try:
+            found += "pyspark.daemon" in " ".join(x.cmdline())
+        except psutil.Error:
+            pass
+    return found
+
+
+def test_twenty_blocks_are_searched_one_after_the_other(spark, sf, monkeypatch):
+    """No worker holds two blocks, no stage more workers than task slots, the driver one block's items at a time."""
+    import threading
+
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    monkeypatch.setattr(decontaminate, "blocks_needed", lambda *a: 20)
+    sent, seen, over = [], [], threading.Event()
+    plain = decontaminate._sent
+
+    class Sent:
+        alive = 0
+
+        def __init__(self, block):
+            self.inner = plain(block)
+            Sent.alive += 1
+            sent.append(Sent.alive)
+
+        def __reduce__(self):
+            return self.inner.__reduce__()
+
+        def destroy(self):
+            Sent.alive -= 1
+            self.inner.destroy()
+
+    monkeypatch.setattr(decontaminate, "_sent", Sent)
+
+    def watch():
+        while not over.wait(0.2):
+            seen.append(_workers())
+
+    before = _workers()
+    t = threading.Thread(target=watch)
+    t.start()
+    parts = decontaminate.digest(decontaminate.decontaminate(docs, bench))
+    rows = sorted(map(tuple, parts.collect()))
+    over.set()
+    t.join()
+    assert len(sent) == 20 and max(sent) == 1 and Sent.alive == 0
+    # the session has four task slots, and a daemon that starts the workers
+    assert max(seen) <= max(before, 2 * 4 + 1)
+    assert parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
+    monkeypatch.undo()
+    assert rows == sorted(map(tuple, decontaminate.digest(decontaminate.decontaminate(docs, bench)).collect()))
+
+
+def test_blocks_on_awkward_rows(spark, monkeypatch):
+    """Null and repeated ids, empty texts, touching and overlapping hits of several blocks, clashing names."""
+    items = [(f"i{k}", t) for k, t in enumerate(["a b c d e f g h i j", "c d e f g h i j k l m", "x y", "y z", "x y z", "solo", "solo", "", None])] + [(None, "a b")]
+    texts = ["q a b c d e f g h i j k l m q", "x y z x y", "solo SOLO, solo", "", None, "x y", "none of them", "z y x y z " * 400]
+    rows = [(i % 6 if i % 4 else None, t, i) for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits int").withColumnRenamed("hits", "n_words")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = decontaminate.brute([(k, t) for k, (_, t, _) in enumerate(rows)], [x for x in items if x[0] is not None and x[1] is not None])
+    monkeypatch.setattr(decontaminate, "blocks_needed", lambda *a: 5)
+    got = decontaminate.digest(decontaminate.decontaminate(docs, bench)).collect()
+    assert sorted(tuple(map(str, r)) for r in got) == sorted(tuple(map(str, (rows[k][0], *want[k]))) for k in want)
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for k, r in enumerate(docs.collect()) if not want[k][4])
+    assert decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
