@@ -11,7 +11,7 @@ counts all words of a language.
 A suffix ends before the first word with which it can't be frequent: a phrase
 has its least count only if all its parts have.  Those that may have are marked
 in a bitmap for each length, by hash of language and words, from counts of
-all documents; it has ``1 << bits`` bits, is built by Spark and sent to the
+all documents and phrases whose parts are marked; it has ``1 << bits`` bits, is built by Spark and sent to the
 workers, and its chance collisions only leave a suffix longer than need be.
 Equal suffixes of a chunk of texts are counted before the shuffle, so a hot
 phrase is a row of each chunk; the suffixes of a first word are dealt by their
@@ -208,7 +208,7 @@ def phrase_counts(docs: DataFrame, *, max_n: int = 3, least: int = 10, bits: int
     spark = docs.sparkSession
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     maps = []
-    for n in range(1, max_n):
+    for n in range(1, max_n + 1):
         maps.append(spark.sparkContext.broadcast(_frequent(own, n, maps, bits, least)))
     dealt = suffixes(own, max_n, maps, bits)
     first, second = F.get("words", F.lit(0)), F.get("words", F.lit(1))

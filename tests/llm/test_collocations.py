@@ -84,7 +84,8 @@ def test_scores_beyond_64_bits_are_exact(spark):
 def test_bitmaps_hold_every_frequent_phrase(spark, sf, bits):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     maps = [spark.sparkContext.broadcast(collocations._frequent(docs, 1, [], bits, 10))]
-    maps.append(spark.sparkContext.broadcast(collocations._frequent(docs, 2, maps, bits, 10)))
+    for n in (2, 3):
+        maps.append(spark.sparkContext.broadcast(collocations._frequent(docs, n, maps, bits, 10)))
     counts = {(r.lang, tuple(r.words)): r.n for r in collocations.suffixes(docs, 3, maps, bits).groupBy("lang", "words").agg(F.sum("n").alias("n")).collect()}
     prefixes = Counter()
     for (lang, w), n in counts.items():
