@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import text as T
 from lumenframe.functions import vectors as V
 from lumenframe.operators import health, tiles
-from lumenframe.storage import stored
+from lumenframe.storage import delete_at_exit, shared_path, stored
 
 MODES = ("hybrid", "vector", "semantic")
 # fixed values: other names of modes that requests may use
@@ -317,6 +317,17 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield rows.column("query_id").to_numpy(), _unit(_matrix(rows.column("v").combine_chunks()))
 
 
+def least_hashed(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
+    """The ``n`` of ``rows`` rows whose key has the least hash, or a few less on very uneven keys.
+
+    A threshold on the hash leaves about four times ``n`` rows before any are
+    sorted, so what the tasks send on doesn't grow with their number.
+    """
+    mark = F.xxhash64(key)
+    top = -(1 << 63) + int((1 << 64) * min(1.0, 4 * n / max(1, rows))) - 1
+    return df.where(mark <= top).orderBy(mark, key).limit(n)
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "frame_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -358,7 +369,7 @@ def kmeans_cells(frames: DataFrame, cells: int | None = None, *, sample: int = 1
 
     n = frames.count()
     cells = cells or max(2, min(1000, int(n**0.5)))
-    some = frames.orderBy(F.xxhash64("frame_id")).limit(sample)
+    some = least_hashed(frames, "frame_id", sample, n)
     model = KMeans(k=cells, seed=seed, featuresCol="__f", predictionCol="cell").fit(some.select(array_to_vector(V.l2_normalise("v")).alias("__f")))
     coded = model.transform(frames.withColumn("__f", array_to_vector(V.l2_normalise("v")))).drop("__f")
     return [c.tolist() for c in model.clusterCenters()], coded
@@ -370,7 +381,7 @@ def fitted_probes(coded: DataFrame, centres: list[list[float]], k: int, *, recal
     A bounded sample of frames is searched exactly, in one pass; a frame is
     no neighbour of its own.  The number so grows with table and cells.
     """
-    some = coded.where("v is not null").orderBy(F.xxhash64("frame_id"), "frame_id").limit(sample).select(F.col("frame_id").alias("query_id"), "v").collect()
+    some = least_hashed(coded.where("v is not null"), "frame_id", sample, coded.count()).select(F.col("frame_id").alias("query_id"), "v").collect()
     queries = coded.sparkSession.createDataFrame([(r["query_id"], r["v"]) for r in some], "query_id long, v array<double>")
     true = topk_batch(coded.select(F.col("cell").alias("folder"), "frame_id", "v"), queries, k + 1).where("query_id <> frame_id").collect()
     place = {r["query_id"]: np.argsort(np.argsort(-(np.asarray(centres) @ np.asarray(r["v"])), kind="stable")) for r in some}
@@ -379,7 +390,7 @@ def fitted_probes(coded: DataFrame, centres: list[list[float]], k: int, *, recal
 
 
 def cell_topk(coded: DataFrame, centres: list[list[float]], query: list[float], k: int, probes: int | None = None) -> DataFrame:
-    """Exact scores within the cells whose centres are nearest; stored by cell, this prunes partitions.
+    """Exact scores within the cells whose centres are nearest, by one scan; ``stored_index`` has the form that prunes files.
 
     ``probes`` defaults to ``fitted_probes``; fit it once for many searches.
     """
@@ -410,8 +421,8 @@ class VectorIndex:
     """Frames under one search strategy, built once for many searches.
 
     ``exact_ip`` and ``hnsw`` rank by inner product of unit vectors,
-    ``exact_l2`` by distance; ``lsh`` and ``kmeans_cells`` are approximate
-    with a recall of at least ``recall`` by their own bounds.
+    ``exact_l2`` by distance; ``lsh`` and ``kmeans_cells`` are stored indexes
+    (``stored_index``) whose measured recall is at least ``recall``.
     """
 
     frames: DataFrame
@@ -422,37 +433,39 @@ class VectorIndex:
     def __post_init__(self):
         if self.strategy not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}")
-        self.centres = self.probes = None
+        self.index = None
 
     def build(self) -> VectorIndex:
-        """Checks ids and dimensions; fits and stores the cells where the strategy has any."""
+        """Checks ids and dimensions; fits and stores the index where the strategy has one."""
         seen = self.frames.agg(F.count("frame_id").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
         if seen["n"] and seen["low"] != seen["high"] and seen["missing"] < seen["n"]:
             raise ValueError(f"vectors of {seen['low']} and of {seen['high']} dimensions")
         health.assert_unique(self.frames, "frame_id")
-        if self.strategy == "kmeans_cells" and self.centres is None:
-            self.centres, coded = kmeans_cells(self.frames, self.cells)
-            self.frames = stored(coded)
-            self.probes = fitted_probes(self.frames, self.centres, 10, recall=self.recall)
+        if self.strategy in _STORED and self.index is None:
+            from lumenframe.operators.stored_index import StoredIndex
+
+            spark = self.frames.sparkSession
+            path = shared_path(spark) + "-index"
+            self.index = StoredIndex.build(self.frames, path, _STORED[self.strategy], cells=self.cells, recall=self.recall)
+            delete_at_exit(spark, path)
         return self
 
     def search(self, query: list[float], k: int) -> DataFrame:
-        if self.strategy == "lsh":
-            return lsh_topk(self.frames, query, k, recall=self.recall)
-        if self.strategy == "kmeans_cells":
-            self.build()
-            return cell_topk(self.frames, self.centres, query, k, self.probes)
+        if self.strategy in _STORED:
+            one = self.frames.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, v array<double>")
+            return self.build().index.search(one, k).drop("query_id")
         return topk(self.frames, query, k, metric="l2" if self.strategy == "exact_l2" else "ip")
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
-        if self.strategy == "lsh":
-            return lsh_topk_batch(self.frames, queries, k, recall=self.recall)
-        if self.strategy == "kmeans_cells":
-            self.build()
-            return cell_topk_batch(self.frames, self.centres, queries, k, self.probes)
+        if self.strategy in _STORED:
+            return self.build().index.search(queries, k)
         return topk_batch(self.frames, queries, k)  # unit vectors: the nearest have the largest product
 
 
+#: Strategies that store an index, and its kind.
+_STORED = {"lsh": "lsh", "kmeans_cells": "ivf"}
+
+
 def detail(results: DataFrame, level: str = "standard") -> DataFrame:
     """Rows of results as ``key, payload`` (JSON), with the context as ``near<i>.<j>`` from level standard on."""
     name = lambda c: F.concat(c.cast("string"), F.lit(".jpg"))

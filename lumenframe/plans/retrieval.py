@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe import schemas
+from lumenframe import schemas, storage
 from lumenframe.functions import vectors as V
 from lumenframe.operators import fusion, search, temporal
+from lumenframe.operators.stored_index import StoredIndex
 from lumenframe.sources import sinks
 
 from . import service
@@ -171,6 +172,31 @@ def ann_kmeans_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out_batch(search.cell_topk_batch(coded, centres, _every_20th(f), 10))
 
 
+def _stored_recall(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Every 20th frame searched in a stored index: queries, true neighbours, and whether nine tenths of them are found."""
+    f = schemas.frames(spark, sf_dir)
+    path = storage.shared_path(spark) + "-index"
+    index = StoredIndex.build(f, path, kind)
+    storage.delete_at_exit(spark, path)
+    found = index.search(_every_20th(f), 10).select(F.col("query_id").alias("q"), F.col("frame_id").alias("near"))
+    exact = search.topk_batch(f, _every_20th(f), 10).select("query_id", "frame_id")
+    met = exact.join(found, (F.col("query_id") == F.col("q")) & (F.col("frame_id") == F.col("near")), "left")
+    return met.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (10 * F.count("near") >= 9 * F.count("*")).alias("recall_reached"))
+
+
+_RECALL = f"WITH {FRAMES} SELECT count(*) AS queries, CAST(sum((SELECT least(10, count(*)) FROM f)) AS BIGINT) AS neighbours, TRUE AS recall_reached FROM f WHERE frame_id % 20 = 0"
+
+
+@query(_RECALL)
+def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_recall(spark, sf_dir, "ivf")
+
+
+@query(_RECALL)
+def ann_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_recall(spark, sf_dir, "lsh")
+
+
 # --- ranking and fusion
 
 
