@@ -13,9 +13,9 @@ has its least count only if all its parts have.  Those that may have are marked
 in a bitmap for each length, by hash of language and words, from counts of
 all documents and phrases whose parts are marked; it has ``1 << bits`` bits, is built by Spark and sent to the
 workers, and its chance collisions only leave a suffix longer than need be.
-Equal suffixes of a chunk of texts are counted before the shuffle, so a hot
-phrase is a row of each chunk; the suffixes of a first word are dealt by their
-second word into ``SALTS`` groups, whose counts of the one-word prefix are
+Equal suffixes are counted before they are shuffled, within a chunk of texts, within
+a task and then over all, so a hot phrase is a row of each task and then one row;
+the suffixes of a first word are dealt by their second word into ``SALTS`` groups, whose counts of the one-word prefix are
 added up.  Parts meet phrases in equi-joins, whose skewed sides Spark splits.
 
 Scores are whole numbers from exact decimals: ``floor(10^6 a a / (l r))``.
@@ -41,7 +41,7 @@ from ._util import materialise
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in _CUTS else 32 if b == 9 else b for b in range(256))
 #: Groups that the suffixes of one first word are dealt into, and about how many bytes of text are counted at once.
-SALTS, CHUNK = 256, 8 << 20
+SALTS, CHUNK = 256, 4 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -210,9 +210,9 @@ def phrase_counts(docs: DataFrame, *, max_n: int = 3, least: int = 10, bits: int
     maps = []
     for n in range(1, max_n + 1):
         maps.append(spark.sparkContext.broadcast(_frequent(own, n, maps, bits, least)))
-    dealt = suffixes(own, max_n, maps, bits)
+    # equal suffixes of all documents are one row, before any is sorted
+    dealt = suffixes(own, max_n, maps, bits).groupBy("lang", "words").agg(F.sum("n").alias("n"))
     first, second = F.get("words", F.lit(0)), F.get("words", F.lit(1))
-    # a suffix without words is a row of each chunk
     dealt = dealt.repartition(F.col("lang"), first, F.pmod(F.xxhash64(second), F.lit(SALTS)))
     dealt = dealt.sortWithinPartitions(F.desc("lang"), F.desc("words"))
 
