@@ -58,17 +58,19 @@ def hybrid(frames: DataFrame, vector: list[float], expansions: list[list[float]]
     """Vector results, fused with the expanded search once there are at least ``early_out`` of them.
 
     The expanded search has no threshold, so frames below it return with the
-    second weight alone; ``strict`` applies it to both.  The count is a scalar
-    aggregate inside the plan: nothing runs until the action.
+    second weight alone; ``strict`` applies it to both.  Either list is planned
+    once: the first one's count is carried along as a window over at most
+    ``2 * limit`` rows, and nothing runs until the action.
     """
     first = search.above(search.topk(frames, vector, limit), threshold)
     second = expanded_search(frames, expansions or [vector], limit)
     if strict:
         second = search.above(second, threshold)
-    n = F.broadcast(first.agg(F.count("*").alias("__n")))  # one row
-    fused = weighted_fusion(first, second, w1, w2).crossJoin(n).where(F.col("__n") >= early_out)
-    alone = first.select("folder", "frame_id", "score").crossJoin(n).where(F.col("__n") < early_out)
-    return rank_results(fused.unionByName(alone).drop("__n"), limit)
+    a, b = first.select("folder", "frame_id", F.col("score").alias("s1")), second.select("folder", "frame_id", F.col("score").alias("s2"))
+    both = a.join(b, ["folder", "frame_id"], "full_outer").withColumn("__n", F.count("s1").over(Window.partitionBy(F.lit(1))))
+    fused = F.coalesce("s1", F.lit(0.0)) * w1 + F.coalesce("s2", F.lit(0.0)) * w2
+    kept = both.where((F.col("__n") >= early_out) | F.col("s1").isNotNull())
+    return rank_results(kept.select("folder", "frame_id", F.when(F.col("__n") >= early_out, fused).otherwise(F.col("s1")).alias("score")), limit)
 
 
 def federated_topk(indexes: list[DataFrame], vector: list[float], k: int, threshold: float = 0.0) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
@@ -26,12 +26,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def cosine_clusters(frames: DataFrame, eps: float = 0.05, noise: str = "one", *, tile: int = tiles.TILE) -> DataFrame:
+def cosine_clusters(frames: DataFrame, eps: float = 0.05, noise: str = "one", *, tile: int = tiles.TILE, cell: int = tiles.CELL) -> DataFrame:
     """``folder, frame_id, cluster``: density clusters of at least two within cosine distance ``eps``.
 
     With two as the least size every clustered point is a core point, so the
-    clusters are components.  Folders are compared
-    tile by tile; a tile sends on a spanning forest of its links, never its
+    clusters are components.  Frames meet those that the triangle inequality
+    leaves room for, tile by tile; a tile sends on a spanning forest of its links, never its
     pairs.  ``noise``: points without a neighbour form
     ``one`` cluster (-1) per folder, ``each`` its own, or are dropped.
     """
@@ -41,9 +41,10 @@ def cosine_clusters(frames: DataFrame, eps: float = 0.05, noise: str = "one", *,
         linked = 1 - x @ y.T <= eps if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
         return tiles.forest(a, b, np.triu(linked, 1) if same else linked)
 
-    edges = tiles.tile_pairs(frames, compare, f"src {kind}, dst {kind}", tile).select("src", "dst")
+    edges = tiles.near_pairs(frames, compare, f"src {kind}, dst {kind}", 1 - eps, tile, cell).select("src", "dst")
     found = components(frames.select(F.col("frame_id").alias("id")), edges)
-    sized = found.withColumn("n", F.count("*").over(Window.partitionBy("root")))
+    size = found.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("n"))  # counted before it is joined: a component may hold most rows
+    sized = found.join(size, F.col("root") == F.col("of")).drop("of")
     named = frames.select("folder", "frame_id").join(sized, F.col("frame_id") == F.col("id"))
     lone = F.col("n") == 1
     if noise == "drop":

@@ -19,7 +19,6 @@ from lumenframe.storage import delete_at_exit, shared_path, stored
 MODES = ("hybrid", "vector", "semantic")
 # fixed values: other names of modes that requests may use
 MODE_NAMES = {"clip_only": "vector", "llm_enhanced": "semantic"}
-#: Graph indexes have no counterpart in Spark: ``hnsw`` is answered by the exact search, which finds all that it would.
 STRATEGIES = ("exact_ip", "exact_l2", "hnsw", "lsh", "kmeans_cells")
 
 
@@ -172,25 +171,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1.0, length)
 
 
-def semantic_batch(rows: DataFrame, queries: DataFrame, query_key: str, key: str, threshold: float, k: int, *, query_block: int = 1024) -> DataFrame:
-    """The k best rows (``key, parts``) of every query (``query_key, t``: its terms) by tag score: ``query_key, key, score, rank``.
-
-    Queries are a stated set: they are counted and each block of at most
-    ``query_block`` meets all rows in one pass; a row's terms are split once.
-    """
-    n = queries.count()
-    blocks, found = max(1, -(-n // query_block)), None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        listed = part.agg(F.collect_list(F.struct(F.col(query_key).alias("id"), "t")).alias("__queries"))
-        scored = rows.crossJoin(F.broadcast(listed))  # one row: a block of the queries
-        hits = F.transform("__queries", lambda q: F.struct(q["id"].alias("id"), T.parts_score(q["t"], F.col("parts")).alias("score")))
-        one = scored.select(key, F.explode(F.filter(hits, lambda h: h["score"] >= threshold)).alias("h")).select(F.col("h.id").alias(query_key), key, "h.score")
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 6)), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def above(results: DataFrame, threshold: float) -> DataFrame:
     """Drops results under the threshold, after the ranking; 0 keeps all."""
     return results.where(F.col("score") >= threshold) if threshold > 0 else results
@@ -201,11 +181,11 @@ def container_scores(results: DataFrame) -> DataFrame:
     return results.withColumn("score", 1 - F.col("score")).withColumn("rank", F.col("rank") - 1)
 
 
-def similarity_graph(frames: DataFrame, neighbours: int = 10, threshold: float = 0.7, *, sources: Column | None = None, tile: int = tiles.TILE) -> DataFrame:
+def similarity_graph(frames: DataFrame, neighbours: int = 10, threshold: float = 0.7, *, sources: Column | None = None, tile: int = tiles.TILE, cell: int = tiles.CELL) -> DataFrame:
     """``folder, src, dst, score, rank``: most similar frames of the same folder above the threshold, never a frame itself.
 
-    Folders are compared tile by tile with matrix products; a tile sends on at
-    most ``neighbours`` rows for each frame, never its pairs.  ``sources``
+    Frames meet those that the triangle inequality leaves room for, tile by
+    tile, with matrix products; a tile sends on at most ``neighbours`` rows for each frame, never its pairs.  ``sources``
     restricts whose neighbours are wanted.
     """
     if sources is not None:
@@ -220,7 +200,7 @@ def similarity_graph(frames: DataFrame, neighbours: int = 10, threshold: float =
         two = tiles.best_of_rows(b, a, s.T, neighbours, threshold, False)
         return [np.concatenate(c) for c in zip(one, two, strict=True)]
 
-    pairs = tiles.tile_pairs(frames, compare, f"src {kind}, dst {kind}, score double", tile)
+    pairs = tiles.near_pairs(frames, compare, f"src {kind}, dst {kind}, score double", threshold, tile, cell)
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
 
@@ -317,17 +297,6 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield rows.column("query_id").to_numpy(), _unit(_matrix(rows.column("v").combine_chunks()))
 
 
-def least_hashed(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
-    """The ``n`` of ``rows`` rows whose key has the least hash, or a few less on very uneven keys.
-
-    A threshold on the hash leaves about four times ``n`` rows before any are
-    sorted, so what the tasks send on doesn't grow with their number.
-    """
-    mark = F.xxhash64(key)
-    top = -(1 << 63) + int((1 << 64) * min(1.0, 4 * n / max(1, rows))) - 1
-    return df.where(mark <= top).orderBy(mark, key).limit(n)
-
-
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "frame_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -369,7 +338,7 @@ def kmeans_cells(frames: DataFrame, cells: int | None = None, *, sample: int = 1
 
     n = frames.count()
     cells = cells or max(2, min(1000, int(n**0.5)))
-    some = least_hashed(frames, "frame_id", sample, n)
+    some = tiles.least_hashed(frames, "frame_id", sample, n)
     model = KMeans(k=cells, seed=seed, featuresCol="__f", predictionCol="cell").fit(some.select(array_to_vector(V.l2_normalise("v")).alias("__f")))
     coded = model.transform(frames.withColumn("__f", array_to_vector(V.l2_normalise("v")))).drop("__f")
     return [c.tolist() for c in model.clusterCenters()], coded
@@ -381,7 +350,7 @@ def fitted_probes(coded: DataFrame, centres: list[list[float]], k: int, *, recal
     A bounded sample of frames is searched exactly, in one pass; a frame is
     no neighbour of its own.  The number so grows with table and cells.
     """
-    some = least_hashed(coded.where("v is not null"), "frame_id", sample, coded.count()).select(F.col("frame_id").alias("query_id"), "v").collect()
+    some = tiles.least_hashed(coded.where("v is not null"), "frame_id", sample, coded.count()).select(F.col("frame_id").alias("query_id"), "v").collect()
     queries = coded.sparkSession.createDataFrame([(r["query_id"], r["v"]) for r in some], "query_id long, v array<double>")
     true = topk_batch(coded.select(F.col("cell").alias("folder"), "frame_id", "v"), queries, k + 1).where("query_id <> frame_id").collect()
     place = {r["query_id"]: np.argsort(np.argsort(-(np.asarray(centres) @ np.asarray(r["v"])), kind="stable")) for r in some}
@@ -420,9 +389,10 @@ def cell_topk_batch(coded: DataFrame, centres: list[list[float]], queries: DataF
 class VectorIndex:
     """Frames under one search strategy, built once for many searches.
 
-    ``exact_ip`` and ``hnsw`` rank by inner product of unit vectors,
-    ``exact_l2`` by distance; ``lsh`` and ``kmeans_cells`` are stored indexes
-    (``stored_index``) whose measured recall is at least ``recall``.
+    ``exact_ip`` ranks by inner product of unit vectors, ``exact_l2`` by
+    distance; ``lsh`` and ``kmeans_cells`` are stored indexes
+    (``stored_index``), ``hnsw`` is a stored graph (``neighbour_graph``), whose
+    measured recall is at least ``recall``.
     """
 
     frames: DataFrame
@@ -442,11 +412,15 @@ class VectorIndex:
             raise ValueError(f"vectors of {seen['low']} and of {seen['high']} dimensions")
         health.assert_unique(self.frames, "frame_id")
         if self.strategy in _STORED and self.index is None:
+            from lumenframe.operators.neighbour_graph import NeighbourGraph
             from lumenframe.operators.stored_index import StoredIndex
 
             spark = self.frames.sparkSession
             path = shared_path(spark) + "-index"
-            self.index = StoredIndex.build(self.frames, path, _STORED[self.strategy], cells=self.cells, recall=self.recall)
+            if self.strategy == "hnsw":
+                self.index = NeighbourGraph.build(self.frames, path, cells=self.cells, recall=self.recall)
+            else:
+                self.index = StoredIndex.build(self.frames, path, _STORED[self.strategy], cells=self.cells, recall=self.recall)
             delete_at_exit(spark, path)
         return self
 
@@ -463,7 +437,7 @@ class VectorIndex:
 
 
 #: Strategies that store an index, and its kind.
-_STORED = {"lsh": "lsh", "kmeans_cells": "ivf"}
+_STORED = {"lsh": "lsh", "kmeans_cells": "ivf", "hnsw": "graph"}
 
 
 def detail(results: DataFrame, level: str = "standard") -> DataFrame:

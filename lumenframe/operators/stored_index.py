@@ -37,28 +37,11 @@ from pyspark.sql import functions as F
 from lumenframe import storage
 from lumenframe.functions import vectors as V
 from lumenframe.operators import health, search
+from lumenframe.operators.tiles import least_hashed, lloyd, nearest
 
 KINDS = ("ivf", "lsh")
 
 
-def lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """Centres of ``k`` groups of rows; a centre that loses all rows starts again from one of them."""
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = nearest(x, centres)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=len(centres))
-        sums[n == 0] = x[rng.integers(len(x), size=int((n == 0).sum()))]
-        centres = sums / np.maximum(n, 1)[:, None]
-    return centres
-
-
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    half = (centres * centres).sum(axis=1) / 2
-    return np.concatenate([np.argmax(x[a : a + 8192] @ centres.T - half, axis=1) for a in range(0, len(x), 8192)]) if len(x) else np.zeros(0, int)
-
-
 class Residuals:
     """Coder of an inverted file: ``centres`` and, for each part of a vector, ``words`` of 256 codewords."""
 
@@ -171,7 +154,7 @@ class StoredIndex:
             index = cls(spark, path, kind, None, 1, 1, [])
             index._write_model(rows)
             return index
-        some = np.array([r["v"] for r in search.least_hashed(rows, "frame_id", sample, n).select("v").collect()])  # the bounded sample
+        some = np.array([r["v"] for r in least_hashed(rows, "frame_id", sample, n).select("v").collect()])  # the bounded sample
         rng = np.random.default_rng(seed)
         cells = max(1, min(cells or int(n**0.5), 4096, len(some)))
         coder = CODERS[kind].fit(some, cells, code_bytes, rng)
@@ -209,7 +192,7 @@ class StoredIndex:
 
     def _fit(self, rows: DataFrame, n: int, k: int, recall: float, sample: int = 200) -> None:
         """Doubles cells, then rows, until the sample's searches find ``recall`` of what the exact search does."""
-        asked = search.least_hashed(rows, "frame_id", sample, n).select(F.col("frame_id").alias("query_id"), "v").collect()
+        asked = least_hashed(rows, "frame_id", sample, n).select(F.col("frame_id").alias("query_id"), "v").collect()
         queries = self.spark.createDataFrame([(r["query_id"], r["v"]) for r in asked], "query_id long, v array<double>")
         true = {(r["query_id"], r["frame_id"]) for r in search.topk_batch(rows, queries, k).select("query_id", "frame_id").collect()}
         if not true:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import vectors as V
 from lumenframe.operators.fold import fold_sorted
 from lumenframe.operators.tiles import unit_rows
+from lumenframe.storage import stored
 
 
 def _order():
@@ -27,6 +28,18 @@ def neighbours(frames: DataFrame, window: int = 3) -> DataFrame:
     return ordered(frames).withColumn("context", F.filter(near, lambda x: x != F.col("frame_id")))
 
 
+def with_context(results: DataFrame, frames: DataFrame, window: int = 3) -> DataFrame:
+    """``results`` with ``context``, the neighbours of each; only the folders of the results are sorted.
+
+    Results are a bounded list; they are written first, so that their search
+    runs once and the planner knows their size.
+    """
+    results = stored(results)
+    folders = results.select(F.col("folder").alias("__in")).distinct()
+    some = frames.select("folder", "frame_id").join(folders, F.col("folder").eqNullSafe(F.col("__in")), "left_semi")
+    return results.join(neighbours(some, window).select("frame_id", "context"), "frame_id", "left")
+
+
 def prev_next(frames: DataFrame) -> DataFrame:
     f = ordered(frames)
     return f.select("folder", "frame_id", F.lag("frame_id").over(_order()).alias("prev_id"), F.lead("frame_id").over(_order()).alias("next_id"))

@@ -1,7 +1,9 @@
 """Pairs within a folder, tile by tile: bounded tasks, matrix products, and few rows out.
 
-A folder's rows are dealt into tiles of about ``tile`` rows by a hash of the
-id; each pair of tiles is a task of its own, so a folder of any size is spread
+``near_pairs`` is the exact join above a similarity: rows only meet where the
+triangle inequality leaves room for a partner.  ``tile_pairs`` compares all rows of a folder.
+Rows are dealt into tiles of about ``tile`` rows by a hash of the id; each
+pair of tiles is a task of its own, so a folder of any size is spread
 over many tasks and none holds more than two tiles.
 """
 
@@ -11,9 +13,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.storage import stored
+
 TILE = 2048
 
 
@@ -50,6 +55,132 @@ def tile_pairs(frames: DataFrame, compare: Callable, schema: str, tile: int = TI
     return rows.groupBy("folder", "__x", "__y").applyInPandas(cell, f"folder {kind}, {schema}")
 
 
+#: Rows of a cell that the centres aim at, centres at most, and rows that they are fitted on for each.
+CELL, CENTRES, EACH = 512, 1024, 32
+
+
+def near_pairs(frames: DataFrame, compare: Callable, schema: str, least: float, tile: int = TILE, cell: int = CELL) -> DataFrame:
+    """``tile_pairs`` for a ``compare`` that only wants pairs of cosine ``least`` or more: rows meet near ones alone.
+
+    Unit vectors of cosine ``least`` lie within ``t = sqrt(2 - 2 least)``.  A
+    row's home is the nearest of some centres.  By the triangle inequality a
+    row ``x`` can only be within ``t`` of rows of the home ``c`` if ``d(x, c)``
+    is at most ``t`` plus the radius of ``c``, and at most ``2 t`` plus the
+    distance to its own home.  So it is sent to its home and to those homes
+    of smaller number that both bounds allow, which meets every such
+    pair once.  A home's own rows and its guests are dealt into tiles, and each pair
+    of tiles is a task, so a home that holds very many rows is split.
+
+    The centres come from a bounded sample and move work, never results.
+    Where ``least`` is 0 or less nothing can be pruned, and all tiles meet.
+    """
+    if least <= 0:
+        return tile_pairs(frames, compare, schema, tile)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    rows = stored(_met(frames, cell, reach))
+    # tiles of a home: its own rows, then its guests
+    parts = lambda role: F.ceil(F.count_if(F.col("guest") == role) / F.lit(tile)).cast("int")
+    size = rows.groupBy(F.col("folder").alias("__folder"), F.col("home").alias("__home")).agg(parts(0).alias("__own"), parts(1).alias("__guests")).where("__own > 0")
+    rows = rows.join(size, F.col("folder").eqNullSafe(F.col("__folder")) & (F.col("home") == F.col("__home")))
+    at = F.when(F.col("guest") == 0, F.pmod(F.xxhash64("frame_id"), "__own")).otherwise(F.col("__own") + F.pmod(F.xxhash64("frame_id"), "__guests")).cast("int")
+    rows = rows.withColumn("__g", at)
+    # an own tile meets the own tiles and all guests, a guest tile the own tiles alone
+    last = F.when(F.col("guest") == 0, F.col("__own") + F.col("__guests")).otherwise(F.col("__own")) - 1
+    cells = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.least("__g", x).alias("x"), F.greatest("__g", x).alias("y")))
+    dealt = rows.select("folder", "frame_id", "v", "home", "__g", F.explode(cells).alias("c")).select("folder", "frame_id", "v", "home", "__g", F.col("c.x").alias("__x"), F.col("c.y").alias("__y"))
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows[rows["__g"] == key[2]].sort_values("frame_id")
+        right = left if key[2] == key[3] else rows[rows["__g"] == key[3]].sort_values("frame_id")
+        ids = [s["frame_id"].to_numpy() for s in (left, right)]
+        out = pd.DataFrame(dict(zip(names, compare(ids[0], unit_rows(left["v"]), ids[1], unit_rows(right["v"]), key[2] == key[3]), strict=True)), columns=names)
+        out.insert(0, "folder", key[0])
+        return out
+
+    return dealt.groupBy("folder", "home", "__x", "__y").applyInPandas(meet, f"folder {dict(frames.dtypes)['folder']}, {schema}")
+
+
+def _met(frames: DataFrame, cell: int, reach: float) -> DataFrame:
+    """``folder, frame_id, v, home, guest``: every row at home, and as a guest where it may have a partner."""
+    spark, rows = frames.sparkSession, frames.where(F.exists("v", lambda x: x != 0)).select("folder", "frame_id", "v")
+    n = rows.count()
+    centres = max(1, min(CENTRES, -(-n // cell)))
+    some = unit_rows([r["v"] for r in least_hashed(rows, "frame_id", EACH * centres, n).select("v").collect()]) if centres > 1 else None
+    if some is None or len(some) < 2:
+        return rows.withColumn("home", F.lit(0)).withColumn("guest", F.lit(0))
+    fitted = lloyd(some, centres, 8, np.random.default_rng(7))
+    shared = spark.sparkContext.broadcast(fitted)
+
+    def apart(batch: pa.RecordBatch) -> np.ndarray:
+        x, c = unit_rows(batch.column(2).to_pylist()), shared.value
+        return np.sqrt(np.maximum(1 + (c * c).sum(axis=1)[None] - 2 * (x @ c.T), 0))
+
+    def radii(batches):
+        most = np.zeros(len(shared.value))
+        for batch in batches:
+            if batch.num_rows:
+                d = apart(batch)
+                np.maximum.at(most, d.argmin(axis=1), d.min(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most), dtype=np.int32)), pa.array(most)], names=["home", "r"])
+
+    found = rows.mapInArrow(radii, "home int, r double").groupBy("home").agg(F.max("r").alias("r")).collect()  # one row for each centre
+    radius = np.zeros(len(fitted))
+    for r in found:
+        radius[r["home"]] = r["r"]
+    bound = spark.sparkContext.broadcast(radius)
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = apart(batch)
+                home = d.argmin(axis=1)
+                near = (d <= bound.value[None] + reach) & (d <= d.min(axis=1)[:, None] + 2 * reach) & (np.arange(d.shape[1])[None] < home[:, None])
+                i, j = np.nonzero(near)
+                take = pa.array(np.concatenate([np.arange(len(home)), i]))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(take) for c in range(3)], pa.array(np.concatenate([home, j]).astype(np.int32)), pa.array(np.repeat([0, 1], [len(home), len(i)]).astype(np.int32))],
+                    names=["folder", "frame_id", "v", "home", "guest"],
+                )
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(place, f"folder {kinds['folder']}, frame_id {kinds['frame_id']}, v {kinds['v']}, home int, guest int")
+
+
+def lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres of ``k`` groups of rows, first picked by their squared distance from those before; a centre that loses all rows starts again from one of them."""
+    picked = [int(rng.integers(len(x)))]
+    away = ((x - x[picked[0]]) ** 2).sum(axis=1)
+    while len(picked) < min(k, len(x)) and (total := away.sum()) > 0:
+        picked.append(min(int(np.searchsorted(np.cumsum(away), rng.random() * total)), len(x) - 1))
+        away = np.minimum(away, ((x - x[picked[-1]]) ** 2).sum(axis=1))
+    centres = x[picked]
+    for _ in range(rounds):
+        near = nearest(x, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        n = np.bincount(near, minlength=len(centres))
+        sums[n == 0] = x[rng.integers(len(x), size=int((n == 0).sum()))]
+        centres = sums / np.maximum(n, 1)[:, None]
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres * centres).sum(axis=1) / 2
+    return np.concatenate([np.argmax(x[a : a + 8192] @ centres.T - half, axis=1) for a in range(0, len(x), 8192)]) if len(x) else np.zeros(0, int)
+
+
+def least_hashed(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
+    """The ``n`` of ``rows`` rows whose key has the least hash, or a few less on very uneven keys.
+
+    A threshold on the hash leaves about four times ``n`` rows before any are
+    sorted, so what the tasks send on doesn't grow with their number.
+    """
+    mark = F.xxhash64(key)
+    top = -(1 << 63) + int((1 << 64) * min(1.0, 4 * n / max(1, rows))) - 1
+    return df.where(mark <= top).orderBy(mark, key).limit(n)
+
+
 def best_of_rows(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int, above: float, same: bool):
     """``(id, other, score)`` of the k best of every row above the threshold; a row is no partner of its own."""
     rows, cols = [], []

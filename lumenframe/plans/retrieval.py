@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe import schemas, storage
 from lumenframe.functions import vectors as V
 from lumenframe.operators import fusion, search, temporal
+from lumenframe.operators.neighbour_graph import NeighbourGraph
 from lumenframe.operators.stored_index import StoredIndex
 from lumenframe.sources import sinks
 
@@ -58,14 +59,9 @@ def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out_batch(search.topk_batch(f, _every_20th(f), 10))
 
 
-def _with_context(results: DataFrame, frames: DataFrame, window: int = 3) -> DataFrame:
-    near = temporal.neighbours(frames.select("folder", "frame_id"), window).select("frame_id", "context")
-    return results.join(near, "frame_id", "left")
-
-
 def flagship(spark: SparkSession, sf_dir: str, of: int = 0, k: int = 20) -> DataFrame:
     f = schemas.frames(spark, sf_dir)
-    r = _with_context(search.topk_by_example(f, of, k), f)
+    r = temporal.with_context(search.topk_by_example(f, of, k), f)
     return r.select("folder", "frame_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.array_join(F.col("context").cast("array<string>"), ",").alias("context"))
 
 
@@ -173,10 +169,10 @@ def ann_kmeans_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_recall(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Every 20th frame searched in a stored index: queries, true neighbours, and whether nine tenths of them are found."""
+    """Every 20th frame searched in a stored index or graph: queries, true neighbours, and whether nine tenths of them are found."""
     f = schemas.frames(spark, sf_dir)
     path = storage.shared_path(spark) + "-index"
-    index = StoredIndex.build(f, path, kind)
+    index = NeighbourGraph.build(f, path) if kind == "graph" else StoredIndex.build(f, path, kind)
     storage.delete_at_exit(spark, path)
     found = index.search(_every_20th(f), 10).select(F.col("query_id").alias("q"), F.col("frame_id").alias("near"))
     exact = search.topk_batch(f, _every_20th(f), 10).select("query_id", "frame_id")
@@ -197,6 +193,11 @@ def ann_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_recall(spark, sf_dir, "lsh")
 
 
+@query(_RECALL)
+def ann_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_recall(spark, sf_dir, "graph")
+
+
 # --- ranking and fusion
 
 
@@ -280,7 +281,7 @@ def explain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def detail_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = schemas.frames(spark, sf_dir)
-    d = search.detail(_with_context(search.topk_by_example(f, 7, 10), f), "standard")
+    d = search.detail(temporal.with_context(search.topk_by_example(f, 7, 10), f), "standard")
     p = F.from_json("payload", "keyframe int, frameid long, similarity_score double")
     return d.select("key", p["keyframe"].alias("keyframe"), p["frameid"].alias("frameid"), p["similarity_score"].alias("similarity_score"))
 
@@ -328,7 +329,7 @@ def sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = schemas.frames(spark, sf_dir)
     vector = search.vector_of(f, 7)
-    lists = {s: search.VectorIndex(f, s).build().search(vector, 10) for s in ("exact_ip", "exact_l2", "hnsw")}
+    lists = {s: search.VectorIndex(f, s, recall=1.0).build().search(vector, 10) for s in ("exact_ip", "exact_l2", "hnsw")}
     return fusion.multi_server(lists).select(F.col("source_server").alias("strategy"), "frame_id", F.col("rank").cast("long").alias("rank"))
 
 

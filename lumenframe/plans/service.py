@@ -188,8 +188,7 @@ class SearchService:
     def _post(self, found: DataFrame, text: str, o: search.SearchOptions) -> DataFrame:
         found = fusion.validate(found)
         if o.include_temporal_context and self.backend() != "remote":
-            near = temporal.neighbours(self.table().select("folder", "frame_id"), o.temporal_window).select("frame_id", "context")
-            found = found.join(near, "frame_id", "left")
+            found = temporal.with_context(found, self.table(), o.temporal_window)
         return fusion.explain(found, text) if o.include_explanations else found
 
     def chat_search(self, message: str, limit: int = 10) -> tuple[str, DataFrame | None]:

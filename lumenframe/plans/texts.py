@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import schemas, storage
 from lumenframe.functions import text as T
-from lumenframe.operators import health, ingest, search, stats
+from lumenframe.operators import health, ingest, postings, search, stats
 from lumenframe.sources import container, scan
 
 from . import service
@@ -27,7 +27,7 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best documents for every benchmark item whose id is divisible by 20: a stated query set against all rows."""
     q = schemas.table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select("item_id", T.terms(F.col("text")).alias("t"))
     parts = T.semantic_parts(F.array("lang", "source"), F.array().cast("array<string>"), F.col("text"), F.lit(""))
-    found = search.semantic_batch(schemas.table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts")), q, "item_id", "doc_id", 0.5, 50)
+    found = postings.best(schemas.table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts")), q, "item_id", "doc_id", 0.5, 50)
     return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

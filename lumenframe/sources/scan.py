@@ -35,7 +35,8 @@ def keyframe_files(spark: SparkSession, root: str) -> DataFrame:
 def inventory(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
     """``path`` (relative), ``hash`` (16 hex digits of SHA-256), ``size, mtime``."""
     prefix = root.rstrip("/") + "/"
-    relative = F.expr(f"substring(path, locate('{prefix}', path) + {len(prefix)})")
+    path = F.col("path")
+    relative = path.substr(F.locate(prefix, path) + len(prefix), F.length(path))
     return _files(spark, root, pathGlobFilter=pattern).select(
         relative.alias("path"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
     )

@@ -40,13 +40,14 @@ def export_rows(results: DataFrame, tags: bool = False, explanation: bool = Fals
 def export_json(results: DataFrame, timestamp: str, limit: int = 1000) -> DataFrame:
     """One JSON document: timestamp, total and the results in rank order.
 
-    A document is one row, so at most ``limit`` results fit (the search's own
-    limit); ``json_lines`` has no limit.
+    A document is one row, so it holds at most ``limit`` results (the search's own
+    limit); more are an error, none are left out.  ``json_lines`` has no limit.
     """
-    results = results.orderBy("rank").limit(limit)
+    results = results.orderBy("rank").limit(limit + 1)
     item = F.struct("rank", *[c for c in results.columns if c != "rank"])
     packed = results.agg(F.count("*").alias("total"), F.array_sort(F.collect_list(item)).alias("results"))
-    return packed.select(F.to_json(F.struct(F.lit(timestamp).alias("timestamp"), "total", "results"), {"ignoreNullFields": "true"}).alias("value"))
+    value = F.to_json(F.struct(F.lit(timestamp).alias("timestamp"), "total", "results"), {"ignoreNullFields": "true"})
+    return packed.select(F.when(F.col("total") > limit, F.raise_error(F.lit(f"more than {limit} results for one document; json_lines writes any number"))).otherwise(value).alias("value"))
 
 
 def json_lines(results: DataFrame) -> DataFrame:
