@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
 from lumenframe.operators.fold import fold_sorted
-from lumenframe.operators.tiles import unit_rows
+from lumenframe.operators.tiles import CELL, near_matches, unit_rows
 from lumenframe.storage import stored
 
 
@@ -126,12 +126,48 @@ def transition_frames(scenes: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.where(low <= high).select("folder", F.explode(F.sequence(low, high)).alias("pos")).distinct()
 
 
+#: From this threshold on windows are sought from seeds: below it nearly every frame has some.
+SEEDED = 0.5
+
+
 def sequence_match(target: DataFrame, database: DataFrame, length: int = 5, threshold: float = 0.8, *, tile: int = 1024, target_block: int = 32_768) -> DataFrame:
     """Aligned windows of ``length`` frames whose mean cosine reaches the threshold: ``folder, target_start, start, score``.
 
-    ``target`` is one sequence ``(pos, v)``, the stated query: it is counted
-    and meets the database in blocks of at most ``target_block`` positions.
-    Sequences of the database ``(folder, pos, v)`` are dealt into tiles of
+    ``target`` is one sequence ``(pos, v)``, the database holds sequences
+    ``(folder, pos, v)``.  From a threshold of ``SEEDED`` on, windows grow from
+    seeds (``seeded_match``), below it all windows are scored
+    (``dense_match``); the rows are the same.
+    """
+    if threshold >= SEEDED:
+        return seeded_match(target, database, length, threshold)
+    return dense_match(target, database, length, threshold, tile=tile, target_block=target_block)
+
+
+def seeded_match(target: DataFrame, database: DataFrame, length: int, threshold: float, *, tile: int = 1024, cell: int = CELL) -> DataFrame:
+    """``sequence_match`` from seeds: a window of mean ``t`` holds a frame whose cosine is ``t`` or more.
+
+    Such pairs of frames come from the pruned similarity join.  The cells of their
+    diagonals that a window through a seed may cover are scored, each once,
+    and windows are sums along diagonals.
+    """
+    there, stored_there = target.where("v is not null").select(F.col("pos").cast("long").alias("pos"), "v"), database.where("v is not null").select("folder", F.col("pos").cast("long").alias("pos"), "v")
+    # the margin covers rounding; the sum decides
+    seeds = near_matches(there.withColumnRenamed("pos", "frame_id"), stored_there.withColumnRenamed("pos", "frame_id"), threshold - 1e-9, tile, cell)
+    around = F.explode(F.sequence(F.lit(1 - length), F.lit(length - 1))).alias("k")
+    cells = seeds.select("left_id", "folder", "right_id", around).select((F.col("left_id") + F.col("k")).alias("i"), "folder", (F.col("right_id") + F.col("k")).alias("j")).where("i >= 0 and j >= 0").distinct()
+    a, b = there.toDF("t_pos", "t_v"), stored_there.toDF("d_folder", "d_pos", "d_v")
+    scored = cells.join(a, F.col("i") == F.col("t_pos")).join(b, F.col("folder").eqNullSafe(F.col("d_folder")) & (F.col("j") == F.col("d_pos")))
+    scored = scored.select("folder", "i", "j", F.least(F.greatest(V.cosine("t_v", "d_v"), F.lit(-1.0)), F.lit(1.0)).alias("c"))
+    along = Window.partitionBy("folder", F.col("i") - F.col("j")).orderBy("i").rangeBetween(0, length - 1)
+    windows = scored.select("folder", F.col("i").alias("target_start"), F.col("j").alias("start"), (F.sum("c").over(along) / length).alias("score"), F.count("*").over(along).alias("n"))
+    return windows.where((F.col("n") == length) & (F.col("score") >= threshold)).drop("n")
+
+
+def dense_match(target: DataFrame, database: DataFrame, length: int, threshold: float, *, tile: int = 1024, target_block: int = 32_768) -> DataFrame:
+    """``sequence_match`` by scoring every window.
+
+    The target is the stated query: it is counted and meets the database in blocks of at most ``target_block`` positions.
+    Sequences of the database are dealt into tiles of
     ``tile`` positions that overlap by a window, so each window lies in one
     tile; cosines are matrix products and windows their diagonals.
     """
@@ -141,33 +177,34 @@ def sequence_match(target: DataFrame, database: DataFrame, length: int = 5, thre
     tiled = database.where("v is not null").select("folder", "pos", "v", F.explode(F.sequence(first, last)).alias("tile"))
     found = None
     for at in range(0, (n if n is not None else -1) + 1, target_block):
-        rows = target.where(F.col("v").isNotNull() & F.col("pos").between(at, at + target_block + length - 2)).select("pos", "v").collect()
-        one = _match_block(tiled, [(r["pos"], r["v"]) for r in rows], at, target_block, length, threshold, tile, kind)
-        found = one if found is None else found.unionByName(one)
+        rows = target.where(F.col("v").isNotNull() & F.col("pos").between(at, at + target_block + length - 2)).select("pos", "v").orderBy("pos").collect()
+        if rows:
+            one = _match_block(tiled, np.array([r["pos"] for r in rows]), unit_rows([r["v"] for r in rows]), at, target_block, length, threshold, tile, kind)
+            found = one if found is None else found.unionByName(one)
     return database.sparkSession.createDataFrame([], f"folder {kind}, target_start long, start long, score double") if found is None else found
 
 
-def _match_block(tiled: DataFrame, target: list[tuple], at: int, block: int, length: int, threshold: float, tile: int, kind: str) -> DataFrame:
-    shared = tiled.sparkSession.sparkContext.broadcast(target)
+def _match_block(tiled: DataFrame, places: np.ndarray, vectors: np.ndarray, at: int, block: int, length: int, threshold: float, tile: int, kind: str) -> DataFrame:
+    shared = tiled.sparkSession.sparkContext.broadcast((places, vectors))
 
-    def laid(rows, begin: int, n: int):
+    def laid(pos: np.ndarray, m: np.ndarray, n: int):
         """Unit vectors by position, and which positions are there."""
-        m, here = np.zeros((n, len(rows[0][1]))), np.zeros(n, bool)
-        m[[p - begin for p, _ in rows]] = unit_rows([v for _, v in rows])
-        here[[p - begin for p, _ in rows]] = True
-        return m, here
+        out, here = np.zeros((n, m.shape[1])), np.zeros(n, bool)
+        out[pos], here[pos] = m, True
+        return out, here
 
     def match(key, rows):
         import pandas as pd
 
         begin, out = int(key[1]) * tile, []
-        d, d_here = laid(list(zip(rows["pos"].tolist(), rows["v"], strict=True)), begin, tile + length - 1)
+        pos, m = shared.value
+        d, d_here = laid(rows["pos"].to_numpy() - begin, unit_rows(rows["v"]), tile + length - 1)
         for lo in range(at, at + block, 2048):
             n = min(2048, at + block - lo)
-            part = [(p, v) for p, v in shared.value if lo <= p < lo + n + length - 1]
-            if not part:
+            a, b = np.searchsorted(pos, [lo, lo + n + length - 1])
+            if a == b:
                 continue
-            t, t_here = laid(part, lo, n + length - 1)
+            t, t_here = laid(pos[a:b] - lo, m[a:b], n + length - 1)
             sims = np.clip(t @ d.T, -1.0, 1.0)
             whole = t_here[:, None] & d_here[None, :]
             score = sum(sims[k : k + n, k : k + tile] for k in range(length)) / length

@@ -101,14 +101,45 @@ def near_pairs(frames: DataFrame, compare: Callable, schema: str, least: float,
     return dealt.groupBy("folder", "home", "__x", "__y").applyInPandas(meet, f"folder {dict(frames.dtypes)['folder']}, {schema}")
 
 
-def _met(frames: DataFrame, cell: int, reach: float) -> DataFrame:
-    """``folder, frame_id, v, home, guest``: every row at home, and as a guest where it may have a partner."""
-    spark, rows = frames.sparkSession, frames.where(F.exists("v", lambda x: x != 0)).select("folder", "frame_id", "v")
+def near_matches(left: DataFrame, right: DataFrame, least: float, tile: int = TILE, cell: int = CELL) -> DataFrame:
+    """``left_id, folder, right_id``: pairs of a row of ``left`` (``frame_id, v``) and one of ``right`` (``folder, frame_id, v``) of cosine ``least`` or more.
+
+    ``near_pairs`` for two sides: the right rows are at home, the left ones
+    are guests wherever they may have a partner.  ``least`` is above 0.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    kinds = dict(right.dtypes)
+    both = right.select("folder", "frame_id", "v", F.lit(False).alias("visits")).unionByName(left.select(F.lit(None).cast(kinds["folder"]).alias("folder"), F.col("frame_id").cast(kinds["frame_id"]).alias("frame_id"), "v", F.lit(True).alias("visits")))
+    rows = stored(_met(both, cell, reach, "visits"))
+    parts = lambda role: F.ceil(F.count_if(F.col("guest") == role) / F.lit(tile)).cast("int")
+    size = rows.groupBy(F.col("home").alias("__home")).agg(parts(0).alias("__own"), parts(1).alias("__guests")).where("__own > 0 and __guests > 0")
+    rows = rows.join(size, F.col("home") == F.col("__home"))
+    deal = lambda n: F.pmod(F.xxhash64("folder", "frame_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.where("guest = 0").select("folder", "frame_id", "v", "home", deal("__own").alias("__x"), every("__guests").alias("__y"))
+    guests = rows.where("guest = 1").select(F.col("frame_id").alias("frame_id"), F.col("v").alias("v"), F.col("home").alias("home"), every("__own").alias("__x"), deal("__guests").alias("__y"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        i, j = np.nonzero(unit_rows(b["v"]) @ unit_rows(a["v"]).T >= least) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int))
+        return pd.DataFrame({"left_id": b["frame_id"].to_numpy()[i], "folder": a["folder"].to_numpy()[j], "right_id": a["frame_id"].to_numpy()[j]})
+
+    return own.groupBy("home", "__x", "__y").cogroup(guests.groupBy("home", "__x", "__y")).applyInPandas(meet, f"left_id {kinds['frame_id']}, folder {kinds['folder']}, right_id {kinds['frame_id']}")
+
+
+def _met(frames: DataFrame, cell: int, reach: float, visits: str | None = None) -> DataFrame:
+    """``folder, frame_id, v, home, guest``: every row at home, and as a guest where it may have a partner.
+
+    Rows that ``visits`` marks have no home and are guests of any number; no
+    other row is one then.
+    """
+    spark = frames.sparkSession
+    rows = frames.where(F.exists("v", lambda x: x != 0)).select("folder", "frame_id", "v", (F.col(visits) if visits else F.lit(False)).alias("visits"))
+    every, rows = rows, rows.where("not visits")
     n = rows.count()
     centres = max(1, min(CENTRES, -(-n // cell)))
     some = unit_rows([r["v"] for r in least_hashed(rows, "frame_id", EACH * centres, n).select("v").collect()]) if centres > 1 else None
     if some is None or len(some) < 2:
-        return rows.withColumn("home", F.lit(0)).withColumn("guest", F.lit(0))
+        return every.select("folder", "frame_id", "v", F.lit(0).alias("home"), F.col("visits").cast("int").alias("guest"))
     fitted = lloyd(some, centres, 8, np.random.default_rng(7))
     shared = spark.sparkContext.broadcast(fitted)
 
@@ -134,17 +165,21 @@ def _met(frames: DataFrame, cell: int, reach: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 d = apart(batch)
-                home = d.argmin(axis=1)
-                near = (d <= bound.value[None] + reach) & (d <= d.min(axis=1)[:, None] + 2 * reach) & (np.arange(d.shape[1])[None] < home[:, None])
-                i, j = np.nonzero(near)
-                take = pa.array(np.concatenate([np.arange(len(home)), i]))
+                home, free = d.argmin(axis=1), batch.column(3).to_numpy(zero_copy_only=False)
+                near = (d <= bound.value[None] + reach) & (d <= d.min(axis=1)[:, None] + 2 * reach)
+                if visits:
+                    near &= free[:, None]
+                else:
+                    near &= np.arange(d.shape[1])[None] < home[:, None]
+                (i, j), own = np.nonzero(near), np.flatnonzero(~free)
+                take = pa.array(np.concatenate([own, i]))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(take) for c in range(3)], pa.array(np.concatenate([home, j]).astype(np.int32)), pa.array(np.repeat([0, 1], [len(home), len(i)]).astype(np.int32))],
+                    [*[batch.column(c).take(take) for c in range(3)], pa.array(np.concatenate([home[own], j]).astype(np.int32)), pa.array(np.repeat([0, 1], [len(own), len(i)]).astype(np.int32))],
                     names=["folder", "frame_id", "v", "home", "guest"],
                 )
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(place, f"folder {kinds['folder']}, frame_id {kinds['frame_id']}, v {kinds['v']}, home int, guest int")
+    return every.mapInArrow(place, f"folder {kinds['folder']}, frame_id {kinds['frame_id']}, v {kinds['v']}, home int, guest int")
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:

@@ -310,11 +310,14 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.export_rows(r).select(F.col("Rank").cast("long").alias("Rank"), "Folder", "FrameID", "Similarity")
 
 
-@query(
+_SEQUENCES = (
     f"WITH {POSITIONS}, x AS (SELECT b.folder, a.pos AS i, b.pos AS j, b.pos - a.pos AS d, list_cosine_similarity(a.v, b.v) AS sim FROM p a, p b WHERE a.folder = 0 AND b.folder <> 0), "
     "w AS (SELECT folder, i, j, avg(sim) OVER r AS score, count(*) OVER r AS n FROM x WINDOW r AS (PARTITION BY folder, d ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) "
     "SELECT folder, i AS target_start, j AS start, round(score, 6) AS score FROM w WHERE n = 3 AND score >= 0.10"
 )
+
+
+@query(_SEQUENCES)
 def sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequence of folder 0 against those of all other folders."""
     p = temporal.ordered(schemas.frames(spark, sf_dir))
@@ -322,6 +325,15 @@ def sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("folder", "target_start", "start", F.round("score", 6).alias("score"))
 
 
+@query(_SEQUENCES)
+def sequence_match_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows, grown from pairs of near frames."""
+    """The sequence of folder 0 against those of all other folders."""
+    p = temporal.ordered(schemas.frames(spark, sf_dir))
+    m = temporal.seeded_match(p.where("folder = 0"), p.where("folder <> 0"), 3, 0.10)
+    return m.select("folder", "target_start", "start", F.round("score", 6).alias("score"))
+
+
 @query(
     f"WITH {FRAMES}, i AS ({_topk(7, 10)}), d AS (SELECT folder, frame_id, row_number() OVER (ORDER BY list_distance(v, (SELECT v FROM f WHERE frame_id = 7)), frame_id) AS rank FROM f) "
     "SELECT s AS strategy, frame_id, rank FROM i, (VALUES ('exact_ip'), ('hnsw')) t(s) UNION ALL SELECT 'exact_l2', frame_id, rank FROM d WHERE rank <= 10"
