@@ -7,25 +7,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import vectors as V
+from lumenframe.operators import split
 from lumenframe.operators.fold import fold_sorted
+from lumenframe.operators.split import BLOCK
 from lumenframe.operators.tiles import CELL, near_matches, unit_rows
 from lumenframe.storage import stored
 
 
-def _order():
-    return Window.partitionBy("folder").orderBy("frame_id")
-
-
-def ordered(frames: DataFrame) -> DataFrame:
+def ordered(frames: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """0-based ``pos`` in the folder; unknown frames (negative ids) are dropped."""
-    return frames.where("frame_id >= 0").withColumn("pos", (F.row_number().over(_order()) - 1).cast("long"))
+    return split.numbered(frames, split.is_long(frames, block), block)
 
 
-def neighbours(frames: DataFrame, window: int = 3) -> DataFrame:
+def neighbours(frames: DataFrame, window: int = 3, *, block: int = BLOCK) -> DataFrame:
     """``context``: ids of up to ``window`` frames on either side, in order, without the frame itself."""
-    around = _order().rowsBetween(-window, window)
-    near = F.collect_list("frame_id").over(around)
-    return ordered(frames).withColumn("context", F.filter(near, lambda x: x != F.col("frame_id")))
+
+    def near(w):
+        return {"context": F.filter(F.collect_list("frame_id").over(w.rowsBetween(-window, window)), lambda x: x != F.col("frame_id"))}
+
+    return split.over(frames, split.is_long(frames, block), window, window, near, block)
 
 
 def with_context(results: DataFrame, frames: DataFrame, window: int = 3) -> DataFrame:
@@ -40,52 +40,56 @@ def with_context(results: DataFrame, frames: DataFrame, window: int = 3) -> Data
     return results.join(neighbours(some, window).select("frame_id", "context"), "frame_id", "left")
 
 
-def prev_next(frames: DataFrame) -> DataFrame:
-    f = ordered(frames)
-    return f.select("folder", "frame_id", F.lag("frame_id").over(_order()).alias("prev_id"), F.lead("frame_id").over(_order()).alias("next_id"))
+def prev_next(frames: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    beside = lambda w: {"prev_id": F.lag("frame_id").over(w), "next_id": F.lead("frame_id").over(w)}
+    return split.over(frames, split.is_long(frames, block), 1, 1, beside, block).select("folder", "frame_id", "prev_id", "next_id")
 
 
-def centred_context(frames: DataFrame, reach: int = 5, window: int = 3) -> DataFrame:
+def centred_context(frames: DataFrame, reach: int = 5, window: int = 3, *, block: int = BLOCK) -> DataFrame:
     """``around``: frames within ``reach`` including the frame; ``centred``: a slice around its middle (off-centre at ends)."""
-    f = ordered(frames).withColumn("around", F.collect_list("frame_id").over(_order().rowsBetween(-reach, reach)))
+    near = lambda w: {"around": F.collect_list("frame_id").over(w.rowsBetween(-reach, reach))}
+    f = split.over(frames, split.is_long(frames, block), reach, reach, near, block)
     start = F.greatest(F.lit(0), F.floor(F.size("around") / 2).cast("int") - window)
     return f.withColumn("centred", F.slice("around", start + 1, F.lit(2 * window + 1)))
 
 
-def gap_scenes(frames: DataFrame, gap: int = 5) -> DataFrame:
+def gap_scenes(frames: DataFrame, gap: int = 5, *, block: int = BLOCK) -> DataFrame:
     """``folder, scene_id, start_id, end_id``: a new scene where the step to the next frame exceeds ``gap``."""
-    f = ordered(frames).withColumn("cut", F.coalesce(F.col("frame_id") - F.lag("frame_id").over(_order()) > gap, F.lit(False)).cast("int"))
-    f = f.withColumn("scene_id", F.sum("cut").over(_order()).cast("long"))
+    long = split.is_long(frames, block)
+    cut = lambda w: {"cut": F.coalesce(F.col("frame_id") - F.lag("frame_id").over(w) > gap, F.lit(False)).cast("int")}
+    f = split.running(split.over(frames, long, 1, 0, cut, block), long, F.col("cut"), "scene_id", block)
     return f.groupBy("folder", "scene_id").agg(F.min("frame_id").alias("start_id"), F.max("frame_id").alias("end_id"))
 
 
-def sequential_similarity(frames: DataFrame) -> DataFrame:
+def sequential_similarity(frames: DataFrame, *, block: int = BLOCK, long: bool | None = None) -> DataFrame:
     """``sim``: cosine with the predecessor; null for the first, 1 where a vector is missing."""
-    f = ordered(frames).withColumn("__before", F.lag("v").over(_order()))
+    long = split.is_long(frames, block) if long is None else long
+    f = split.over(frames, long, 1, 0, lambda w: {"__before": F.lag("v").over(w)}, block)
     sim = F.when(F.col("v").isNull() | F.col("__before").isNull(), F.lit(1.0)).otherwise(V.cosine("v", "__before"))
     return f.withColumn("sim", F.when(F.col("pos") > 0, sim)).drop("__before")
 
 
-def transition_points(frames: DataFrame, threshold: float = 0.75) -> DataFrame:
+def transition_points(frames: DataFrame, threshold: float = 0.75, *, block: int = BLOCK) -> DataFrame:
     """Positions whose similarity to the predecessor is under the threshold."""
-    return sequential_similarity(frames).where(F.col("sim") < threshold).select("folder", "pos", "sim")
+    return sequential_similarity(frames, block=block).where(F.col("sim") < threshold).select("folder", "pos", "sim")
 
 
-def scene_groups(frames: DataFrame, threshold: float = 0.75, min_length: int = 2) -> DataFrame:
+def scene_groups(frames: DataFrame, threshold: float = 0.75, min_length: int = 2, *, block: int = BLOCK) -> DataFrame:
     """Segments between transitions, short ones dropped: ``folder, scene_id, start_pos, end_pos`` (inclusive)."""
-    f = scene_labels(sequential_similarity(frames), threshold)
+    long = split.is_long(frames, block)
+    f = scene_labels(sequential_similarity(frames, block=block, long=long), threshold, block=block, long=long)
     g = f.groupBy("folder", "scene_id").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
     return g.where(F.col("end_pos") - F.col("start_pos") + 1 >= min_length)
 
 
-def scene_labels(with_sim: DataFrame, threshold: float) -> DataFrame:
+def scene_labels(with_sim: DataFrame, threshold: float, *, block: int = BLOCK, long: bool | None = None) -> DataFrame:
     cut = F.coalesce(F.col("sim") < threshold, F.lit(False)).cast("int")
-    return with_sim.withColumn("scene_id", F.sum(cut).over(_order()).cast("long"))
+    return split.running(with_sim, split.is_long(with_sim, block) if long is None else long, cut, "scene_id", block)
 
 
-def scene_starts(frames: DataFrame, threshold: float = 0.7) -> DataFrame:
+def scene_starts(frames: DataFrame, threshold: float = 0.7, *, block: int = BLOCK) -> DataFrame:
     """Starts of scenes with both sentinels: 0, every cut, and the number of frames."""
-    f = sequential_similarity(frames)
+    f = sequential_similarity(frames, block=block)
     starts = f.where((F.col("pos") == 0) | (F.col("sim") < threshold)).select("folder", F.col("pos").alias("start_pos"))
     ends = f.groupBy("folder").agg(F.count("*").cast("long").alias("start_pos"))
     return starts.unionByName(ends)
@@ -99,7 +103,8 @@ def similarity_scenes(frames: DataFrame, threshold: float = 0.3, min_length: int
     frames are one scene.  Which cuts count depends on the last one taken:
     rows stream through a fold per folder that holds two numbers.
     """
-    f = sequential_similarity(frames).withColumn("n", F.count("*").over(Window.partitionBy("folder"))).select("folder", "pos", "sim", "n")
+    size = frames.where("frame_id >= 0").groupBy(F.col("folder").alias("of")).agg(F.count("*").alias("n"))
+    f = sequential_similarity(frames).join(size, F.col("folder").eqNullSafe(F.col("of"))).select("folder", "pos", "sim", "n")
 
     class Scenes:
         def __init__(self, key):
@@ -218,9 +223,10 @@ def _match_block(tiled: DataFrame, places: np.ndarray, vectors: np.ndarray, at:
     return tiled.groupBy("folder", "tile").applyInPandas(match, f"folder {kind}, target_start long, start long, score double")
 
 
-def interval_patterns(frames: DataFrame) -> DataFrame:
+def interval_patterns(frames: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Statistics of the steps between valid frames, and a label: irregular, dense, sparse or regular."""
-    steps = frames.where("frame_id >= 0").withColumn("step", (F.col("frame_id") - F.lag("frame_id").over(_order())).cast("double"))
+    step = lambda w: {"step": (F.col("frame_id") - F.lag("frame_id").over(w)).cast("double")}
+    steps = split.over(frames, split.is_long(frames, block), 1, 0, step, block)
     s = steps.groupBy("folder").agg(
         F.count("*").alias("valid"), F.avg("step").alias("mean"), F.stddev_pop("step").alias("std"), F.min("step").alias("least"), F.max("step").alias("most")
     )
