@@ -81,17 +81,22 @@ def build(
     tell = progress or (lambda step, total, what: None)
     spark, total = files.sparkSession, len(STEPS)
     tell(1, total, STEPS[0])
-    files = files.dropDuplicates(["hash"])
+    # which file gives a content is decided on names and hashes, once; bytes take no part
+    names = files.groupBy("hash", "path").agg(F.count("*").alias("times"))
+    names = names.groupBy("hash").agg(F.min("path").alias("path"), F.max("times").alias("times"))
     tell(2, total, STEPS[1])
-    new = remaining(files, path)
-    n = new.count()
+    new = storage.stored(remaining(names, path))
+    n, times = new.agg(F.count("*"), F.max("times")).first()
     if n:
+        if times > 1:  # a listing that names a file twice
+            files = files.dropDuplicates(["path", "hash"])
         chunks = max(1, -(-n // chunk_rows))
         before = stored_chunks(spark, path)
         round_ = 0 if before is None else before.select("chunk").distinct().count()
         new = new.withColumn("__k", F.pmod(F.xxhash64("hash"), F.lit(chunks)).cast("int"))
         for at in range(0, chunks, commit_chunks):
-            part = new.where(F.col("__k").between(at, at + commit_chunks - 1))
+            decided = new.where(F.col("__k").between(at, at + commit_chunks - 1)).select(F.col("hash").alias("__hash"), F.col("path").alias("__path"), "__k")
+            part = files.join(decided, F.col("hash").eqNullSafe(F.col("__hash")) & F.col("path").eqNullSafe(F.col("__path"))).select(*files.columns, "__k")
             tell(3, total, STEPS[2])
             rows = encoders.with_embeddings(part.withColumn("chunk", F.format_string("c%05d-%05d", F.lit(round_), F.col("__k"))).drop("__k"), encode, make)
             tell(4, total, STEPS[3])
