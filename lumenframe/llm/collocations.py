@@ -114,32 +114,58 @@ def _chunks(batches) -> Iterator[Words]:
             yield Words(texts, langs)
 
 
+#: Bits of a part of a bitmap: what a task counts goes out as one row for each part.
+PART = 1 << 15
+
+
 def _frequent(docs: DataFrame, n: int, maps: list, bits: int, least: int) -> np.ndarray:
-    """The bitmap of phrases of ``n`` words that may occur ``least`` times."""
+    """The bitmap of phrases of ``n`` words that may occur ``least`` times.
 
-    def run(batches):
+    A task counts into one array of ``1 << bits`` small numbers, up to
+    ``least``, and sends places and counts packed, part by part; the parts of all tasks are
+    added up where they meet, and only the bitmap comes to the driver.
+    """
+    kind = np.min_scalar_type(least)
+    size = min(PART, 1 << bits)
+
+    def count(batches):
+        held = np.zeros(1 << bits, kind)
         for words in _chunks(batches):
             hashes = words.hashes()
             found = supported(words, hashes, [m.value for m in maps], bits, n)
-            at, count = np.unique(buckets(hashes, n, bits)[found], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count)], names=["at", "count"])
-
-    counts = docs.mapInArrow(run, "at long, count long").groupBy("at").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
-    # parts of 4 KB, so that what comes to the driver is the bitmap and no list of phrases
-    parts = counts.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in parts.collect():  # the bitmap, whatever the corpus
-        # bucket numbers of positive values count from 1 and hold the positions 1 .. 32768 * number, number 0 holds position 0 alone
-        _put(out, r["part"], np.frombuffer(bytes(r["map"]), np.uint8))
-    return out
+            at, times = np.unique(buckets(hashes, n, bits)[found], return_counts=True)
+            held[at] = np.minimum(held[at] + times, least).astype(kind)
+        rows = []
+        for part in range(len(held) // size):
+            own = held[part * size : (part + 1) * size]
+            if len(at := np.flatnonzero(own)):
+                rows.append((part, at.astype("<u2").tobytes(), own[at].tobytes()))
+        if rows:
+            part, at, times = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(at, pa.binary()), pa.array(times, pa.binary())], names=["part", "at", "times"])
 
+    def add(batches):
+        part, held = None, None
 
-def _put(out: np.ndarray, part: int, bits: np.ndarray) -> None:
-    width = 8 * len(bits)
-    set_ = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
-    at = set_ + (part - 1) * width + 1 if part > 0 else set_
-    at = at[at < 8 * len(out)]
-    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(held >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "map"])
+
+        for batch in batches:
+            for p, at, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield out()
+                    part, held = p, np.zeros(size, np.int64)
+                held[np.frombuffer(at, "<u2")] += np.frombuffer(times, kind)
+        if part is not None:
+            yield out()
+
+    counts = docs.mapInArrow(count, "part long, at binary, times binary").repartition("part").sortWithinPartitions("part")
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for r in counts.mapInArrow(add, "part long, map binary").collect():  # the bitmap, whatever the corpus
+        own = np.frombuffer(bytes(r["map"]), np.uint8)
+        whole[r["part"] * size // 8 :][: len(own)] = own
+    return whole
 
 
 def suffixes(docs: DataFrame, max_n: int, maps: list, bits: int) -> DataFrame:
