@@ -74,3 +74,25 @@ def test_odd_tables(spark, tmp_path):
     assert index.search(one.limit(0), 3).count() == 0
     with pytest.raises(ValueError):
         NeighbourGraph.build(spark.createDataFrame(rows + rows, schema), f"{tmp_path}/d")
+
+
+def test_a_large_table_is_walked_in_shards(spark, tmp_path, monkeypatch):
+    """Rows without clusters, in several shards: the graph answers, not the exact search, and opens a part of the table."""
+    monkeypatch.setattr(neighbour_graph, "SHARD", 1_000)
+    x = np.random.default_rng(4).standard_normal((6_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = NeighbourGraph.build(_frames(spark, x), f"{tmp_path}/g")
+    assert not index.exact and index.width < 1_000 and 6 <= len(index.centres) <= 15
+    assert index.rows().groupBy("cell").count().agg(F.max("count")).first()[0] < 1_200
+    ids = list(range(3, 6_000, 100))
+    found = index.search(spark.createDataFrame([(i, x[i].tolist()) for i in ids], "query_id long, v array<double>"), 10).collect()
+    true = _true(x, ids)
+    assert len(true & {(r.query_id, r.frame_id) for r in found}) >= 0.9 * len(true)
+
+
+def test_copies_come_in_the_order_of_their_ids(spark, tmp_path):
+    x = np.random.default_rng(5).standard_normal((1_500, 8))
+    x[200:900] = x[200]
+    index = NeighbourGraph.build(_frames(spark, x), f"{tmp_path}/g")
+    found = index.search(spark.createDataFrame([(0, x[200].tolist())], "query_id long, v array<double>"), 10, width=20).orderBy("rank").collect()
+    assert not index.exact and [r.frame_id for r in found] == list(range(200, 210))
