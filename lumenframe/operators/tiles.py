@@ -57,6 +57,8 @@ def tile_pairs(frames: DataFrame, compare: Callable, schema: str, tile: int = TI
 
 #: Rows of a cell that the centres aim at, centres at most, and rows that they are fitted on for each.
 CELL, CENTRES, EACH = 512, 1024, 32
+#: Rows that are placed at once, and rows of a batch that is sent on.
+PLACED, SENT = 1024, 8192
 
 
 def near_pairs(frames: DataFrame, compare: Callable, schema: str, least: float, tile: int = TILE, cell: int = CELL) -> DataFrame:
@@ -72,12 +74,19 @@ def near_pairs(frames: DataFrame, compare: Callable, schema: str, least: float,
     of tiles is a task, so a home that holds very many rows is split.
 
     The centres come from a bounded sample and move work, never results.
-    Where ``least`` is 0 or less nothing can be pruned, and all tiles meet.
+    Where ``least`` is 0 or less nothing can be pruned, and all tiles meet; so
+    do they where the bounds, by that sample, would send a row to more homes
+    than its folder has tiles.
     """
     if least <= 0:
         return tile_pairs(frames, compare, schema, tile)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
-    rows = stored(_met(frames, cell, reach))
+    frames = stored(frames.where("v is not null").select("folder", "frame_id", "v"))
+    tiled = frames.groupBy("folder").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(tile))) / F.sum("n")).first()[0] or 0.0  # of the folder of a row, on average
+    met = _met(frames, cell, reach, most=float(tiled)) if tiled > 1 else None
+    if met is None:
+        return tile_pairs(frames, compare, schema, tile)
+    rows = stored(met)
     # tiles of a home: its own rows, then its guests
     parts = lambda role: F.ceil(F.count_if(F.col("guest") == role) / F.lit(tile)).cast("int")
     size = rows.groupBy(F.col("folder").alias("__folder"), F.col("home").alias("__home")).agg(parts(0).alias("__own"), parts(1).alias("__guests")).where("__own > 0")
@@ -126,11 +135,11 @@ def near_matches(left: DataFrame, right: DataFrame, least: float, tile: int = TI
     return own.groupBy("home", "__x", "__y").cogroup(guests.groupBy("home", "__x", "__y")).applyInPandas(meet, f"left_id {kinds['frame_id']}, folder {kinds['folder']}, right_id {kinds['frame_id']}")
 
 
-def _met(frames: DataFrame, cell: int, reach: float, visits: str | None = None) -> DataFrame:
+def _met(frames: DataFrame, cell: int, reach: float, visits: str | None = None, most: float | None = None) -> DataFrame | None:
     """``folder, frame_id, v, home, guest``: every row at home, and as a guest where it may have a partner.
 
     Rows that ``visits`` marks have no home and are guests of any number; no
-    other row is one then.
+    other row is one then.  None where a row would go to more than ``most`` homes, as rows of the sample do on average.
     """
     spark = frames.sparkSession
     rows = frames.where(F.exists("v", lambda x: x != 0)).select("folder", "frame_id", "v", (F.col(visits) if visits else F.lit(False)).alias("visits"))
@@ -143,40 +152,50 @@ def _met(frames: DataFrame, cell: int, reach: float, visits: str | None = None)
     fitted = lloyd(some, centres, 8, np.random.default_rng(7))
     shared = spark.sparkContext.broadcast(fitted)
 
-    def apart(batch: pa.RecordBatch) -> np.ndarray:
-        x, c = unit_rows(batch.column(2).to_pylist()), shared.value
+    def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(1 + (c * c).sum(axis=1)[None] - 2 * (x @ c.T), 0))
 
-    def radii(batches):
-        most = np.zeros(len(shared.value))
+    def apart(batch: pa.RecordBatch) -> np.ndarray:
+        return distances(unit_rows(batch.column(2).to_pylist()), shared.value)
+
+    def slices(batches):
         for batch in batches:
-            if batch.num_rows:
-                d = apart(batch)
-                np.maximum.at(most, d.argmin(axis=1), d.min(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most), dtype=np.int32)), pa.array(most)], names=["home", "r"])
+            yield from (batch.slice(a, PLACED) for a in range(0, batch.num_rows, PLACED))
+
+    def radii(batches):
+        far = np.zeros(len(shared.value))
+        for batch in slices(batches):
+            d = apart(batch)
+            np.maximum.at(far, d.argmin(axis=1), d.min(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(far), dtype=np.int32)), pa.array(far)], names=["home", "r"])
 
     found = rows.mapInArrow(radii, "home int, r double").groupBy("home").agg(F.max("r").alias("r")).collect()  # one row for each centre
     radius = np.zeros(len(fitted))
     for r in found:
         radius[r["home"]] = r["r"]
+    def allowed(d: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        return (d <= radius[None] + reach) & (d <= d.min(axis=1)[:, None] + 2 * reach)
+
+    if most is not None:
+        d = distances(some[:PLACED], fitted)
+        if 1 + (allowed(d, radius) & (np.arange(d.shape[1])[None] < d.argmin(axis=1)[:, None])).sum(axis=1).mean() > most:
+            return None
     bound = spark.sparkContext.broadcast(radius)
 
     def place(batches):
-        for batch in batches:
-            if batch.num_rows:
-                d = apart(batch)
-                home, free = d.argmin(axis=1), batch.column(3).to_numpy(zero_copy_only=False)
-                near = (d <= bound.value[None] + reach) & (d <= d.min(axis=1)[:, None] + 2 * reach)
-                if visits:
-                    near &= free[:, None]
-                else:
-                    near &= np.arange(d.shape[1])[None] < home[:, None]
-                (i, j), own = np.nonzero(near), np.flatnonzero(~free)
-                take = pa.array(np.concatenate([own, i]))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(take) for c in range(3)], pa.array(np.concatenate([home[own], j]).astype(np.int32)), pa.array(np.repeat([0, 1], [len(own), len(i)]).astype(np.int32))],
-                    names=["folder", "frame_id", "v", "home", "guest"],
-                )
+        for batch in slices(batches):
+            d = apart(batch)
+            home, free = d.argmin(axis=1), batch.column(3).to_numpy(zero_copy_only=False)
+            near = allowed(d, bound.value)
+            if visits:
+                near &= free[:, None]
+            else:
+                near &= np.arange(d.shape[1])[None] < home[:, None]
+            (i, j), own = np.nonzero(near), np.flatnonzero(~free)
+            rows, to, guest = np.concatenate([own, i]), np.concatenate([home[own], j]).astype(np.int32), np.repeat([0, 1], [len(own), len(i)]).astype(np.int32)
+            for a in range(0, len(rows), SENT):
+                take = pa.array(rows[a : a + SENT])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(to[a : a + SENT]), pa.array(guest[a : a + SENT])], names=["folder", "frame_id", "v", "home", "guest"])
 
     kinds = dict(rows.dtypes)
     return every.mapInArrow(place, f"folder {kinds['folder']}, frame_id {kinds['frame_id']}, v {kinds['v']}, home int, guest int")

@@ -87,3 +87,15 @@ def test_a_home_of_very_many_rows_is_split(spark):
     tasks = tiles.near_pairs(f, lambda a, x, b, y, same: [np.array([len(a)]), np.array([len(b)])], "m long, n long", 0.9, 64, 50).collect()
     assert len(tasks) > 60 and max(max(r.m, r.n) for r in tasks) < 150
     assert {r.cluster for r in graph.cosine_clusters(f, 0.1, tile=64, cell=50).collect()} == {0}
+
+
+def test_bounds_that_prune_nothing_send_no_guests(spark, monkeypatch):
+    """Vectors in all directions: a row meets the tiles of its folder, not nearly all homes; clustered ones keep their homes."""
+    rng = np.random.default_rng(6)
+    wide, narrow = rng.standard_normal((1_200, 16)), np.eye(24, 24)[np.arange(1_200) % 24] + 0.01 * rng.standard_normal((1_200, 24))
+    chosen, link = [], lambda a, x, b, y, same: tiles.forest(a, b, np.triu(x @ y.T >= 0.6, 1) if same else x @ y.T >= 0.6)
+    met = tiles._met
+    monkeypatch.setattr(tiles, "_met", lambda *a, **b: chosen.append(met(*a, **b)) or chosen[-1])
+    for x in (wide, narrow):
+        tiles.near_pairs(_frames(spark, x, np.zeros(len(x), int)), link, "src long, dst long", 0.6, 200, 25).collect()
+    assert chosen[0] is None and chosen[1].count() < 2 * len(narrow)
