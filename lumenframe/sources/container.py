@@ -75,7 +75,8 @@ def build(
 
     New rows are dealt into chunks by their hash, about ``chunk_rows`` in
     each, and committed ``commit_chunks`` at a time: a later build goes on
-    after the last commit.  Chunk names follow from the content, so the same
+    after the last commit.  The bytes are joined and stored once, in a folder for each commit,
+    so a commit reads its own rows alone.  Chunk names follow from the content, so the same
     build gives the same chunks.
     """
     tell = progress or (lambda step, total, what: None)
@@ -93,10 +94,13 @@ def build(
         chunks = max(1, -(-n // chunk_rows))
         before = stored_chunks(spark, path)
         round_ = 0 if before is None else before.select("chunk").distinct().count()
-        new = new.withColumn("__k", F.pmod(F.xxhash64("hash"), F.lit(chunks)).cast("int"))
+        decided = new.select(F.col("hash").alias("__hash"), F.col("path").alias("__path"), F.pmod(F.xxhash64("hash"), F.lit(chunks)).cast("int").alias("__k"))
+        part = files.join(decided, F.col("hash").eqNullSafe(F.col("__hash")) & F.col("path").eqNullSafe(F.col("__path"))).select(*files.columns, "__k")
+        dealt = storage.dealt(part.withColumn("__commit", F.floor(F.col("__k") / F.lit(commit_chunks)).cast("int")), "__commit")
         for at in range(0, chunks, commit_chunks):
-            decided = new.where(F.col("__k").between(at, at + commit_chunks - 1)).select(F.col("hash").alias("__hash"), F.col("path").alias("__path"), "__k")
-            part = files.join(decided, F.col("hash").eqNullSafe(F.col("__hash")) & F.col("path").eqNullSafe(F.col("__path"))).select(*files.columns, "__k")
+            part = dealt(at // commit_chunks)
+            if part is None:
+                continue
             tell(3, total, STEPS[2])
             rows = encoders.with_embeddings(part.withColumn("chunk", F.format_string("c%05d-%05d", F.lit(round_), F.col("__k"))).drop("__k"), encode, make)
             tell(4, total, STEPS[3])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,23 @@ def bucketed(df: DataFrame, column: str, n: int) -> DataFrame:
     return spark.table(name)
 
 
+def dealt(df: DataFrame, column: str) -> Callable[[int], DataFrame | None]:
+    """Writes ``df`` by the values of ``column``, once; the result reads the rows of one value from its own folder, None where there are none.
+
+    Rows of a value are brought together first, so that a value is a few files.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark)
+    df.hint("rebalance", column).write.partitionBy(column).parquet(path)
+    delete_at_exit(spark, path)
+    schema = df.drop(column).schema
+
+    def of(value: int) -> DataFrame | None:
+        return spark.read.schema(schema).parquet(f"{path}/{column}={value}") if exists(spark, f"{path}/{column}={value}") else None
+
+    return of
+
+
 def _forget(spark: SparkSession, name: str) -> None:
     if spark.sparkContext._jsc is not None:  # else the session has ended, and with it a catalog in memory
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -96,3 +96,21 @@ def test_images_are_recovered_from_bytes_or_paths(spark, tmp_path):
     got = {r.frame_id: (r.content and bytes(r.content), r.resolved) for r in container.recover_images(wanted, rows, there, ["/new"]).collect()}
     assert got == {1: (b"red car 1", None), 9: (None, "/new/keyframes/v9/9.jpg"), 10: (None, None)}
     assert container.recover_images(wanted, None, there, ["/new"]).where("content is null").count() == 3
+
+
+def test_files_are_read_once_for_all_commits(spark, tmp_path):
+    """The listing with its bytes is evaluated as often for ten commits as for one."""
+    files = container.ingest.attach_frame_ids(_files(spark, 40), spark.createDataFrame([], "folder string, stem string, frame_id long"))
+    read = []
+    for name, commit in (("one", 10), ("ten", 1)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        said = container.build(files.mapInArrow(count, files.schema), f"file://{tmp_path}/{name}", chunk_rows=4, commit_chunks=commit)
+        assert said["rows"] == 40 and said["chunks"] > 5
+        read.append(seen.value)
+    assert read[0] == read[1]
