@@ -1,10 +1,10 @@
 """Vector indexes on disk: an inverted file with product-quantised residuals, and hyperplane codes by prefix.
 
 Both store two tables by cell, as Parquet partitions: ``codes`` (id and a few
-bytes of each vector) and ``vectors`` (the vectors themselves).  A search names the
+bytes of each vector) and ``vectors`` (the same with the vectors themselves).  A search names the
 cells of a query, so that only their partitions are listed and read; their
-codes give approximate scores, and the best of those are read again from
-``vectors``, within the same cells, and scored exactly.
+codes give approximate scores, and the vectors of the best of a cell lie beside their codes and are
+scored exactly in the same task: only k rows of each query leave it.
 
 * ``ivf``: cells are the nearest of some centres, a code is the residual to
   the centre, quantised part by part (``code_bytes`` parts of 256 codewords).
@@ -13,7 +13,7 @@ codes give approximate scores, and the best of those are read again from
   moved to get there; the Hamming distance stands for the angle.
 
 Centres and codewords are fitted on a bounded sample (``sample`` rows), every
-row is indexed.  How many cells are probed (``probes``) and how many rows are
+row is indexed.  How many cells are probed (``probes``) and how many rows of a cell are
 scored exactly (``rerank``) is measured on the index itself: doubled until a
 bounded set of stored rows finds ``recall`` of its true neighbours; at the
 end of that road stand all cells and all rows, the exact search.
@@ -40,6 +40,8 @@ from lumenframe.operators import health, search
 from lumenframe.operators.tiles import least_hashed, lloyd, nearest
 
 KINDS = ("ivf", "lsh")
+#: Queries of a cell that are scored together.
+TOGETHER = 512
 
 
 class Residuals:
@@ -169,7 +171,7 @@ class StoredIndex:
         kinds = dict(rows.dtypes)
         coded = storage.stored(rows.mapInArrow(code, f"folder {kinds['folder']}, frame_id {kinds['frame_id']}, v array<double>, cell int, code binary"))
         # a cell is a few files: rebalancing splits cells that hold very many rows
-        for table, columns in (("codes", ["folder", "frame_id", "code"]), ("vectors", ["folder", "frame_id", "v"])):
+        for table, columns in (("codes", ["folder", "frame_id", "code"]), ("vectors", ["folder", "frame_id", "v", "code"])):
             coded.select(*columns, "cell").hint("rebalance", "cell").sortWithinPartitions("cell", "frame_id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/{table}")
         used = sorted(r["cell"] for r in coded.select("cell").distinct().collect())  # 4096 at most
         index = cls(spark, path, kind, coder, 1, 4 * k, used)
@@ -210,7 +212,7 @@ class StoredIndex:
         # half of what may be missed is left to the cells, half to the codes
         allowed = (1 + recall) / 2
         self.probes = int(np.sort(places)[max(0, int(np.ceil(allowed * len(places))) - 1)]) + 1
-        self.rerank = 4 * k
+        self.rerank = 2 * k
         while self.rerank < n:
             found = {(r["query_id"], r["frame_id"]) for r in self.search(queries, k).select("query_id", "frame_id").collect()}
             if len(found & true) >= recall * len(true):
@@ -223,7 +225,7 @@ class StoredIndex:
         return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("cell").isin([int(c) for c in cells]))
 
     def search(self, queries: DataFrame, k: int, *, probes: int | None = None, rerank: int | None = None, query_block: int = 4096) -> DataFrame:
-        """``query_id, folder, frame_id, score, rank`` for ``query_id, v``: exact cosines of the rows whose codes are best."""
+        """``query_id, folder, frame_id, score, rank`` for ``query_id, v``: exact cosines of the rows whose codes are best in their cell."""
         probes, rerank = probes or self.probes, max(k, rerank or self.rerank)
         found = None
         for ids, q in search._blocks(queries, query_block) if self.cells else ():
@@ -248,31 +250,38 @@ class StoredIndex:
             for c in line[used[line]][:probes]:
                 asks.setdefault(int(c), []).append(i)
         shared = self.spark.sparkContext.broadcast((self.coder, q, ids, {c: np.array(v) for c, v in asks.items()}))
-        codes = self._table("codes", list(asks)).select("frame_id", "code", "cell")
+        rows = self._table("vectors", list(asks)).select("folder", "frame_id", "v", "code", "cell")
 
         def best(batches: Iterator[pa.RecordBatch]):
             coder, q, ids, asks = shared.value
             for batch in batches:
-                cell = batch.column(2).to_numpy()
-                frame = batch.column(0).to_numpy()
-                packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else None
+                cell, frame = batch.column(4).to_numpy(), batch.column(1).to_numpy()
+                packed = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else None
+                v = search._matrix(batch.column(2))
                 for c in np.unique(cell):
-                    rows, who = np.flatnonzero(cell == c), asks[int(c)]
-                    s = coder.scores(q[who], int(c), packed[rows])
-                    keep = np.argpartition(-s, rerank - 1, axis=1)[:, :rerank] if len(rows) > rerank else np.tile(np.arange(len(rows)), (len(who), 1))
-                    n = keep.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[who], n)), pa.array(frame[rows][keep].ravel()), pa.array(np.full(keep.size, c, np.int32)), pa.array(np.take_along_axis(s, keep, axis=1).ravel())],
-                        names=["query_id", "near_id", "near_cell", "guess"],
-                    )
-
-        kind = dict(codes.dtypes)["frame_id"]
-        near = codes.mapInArrow(best, f"query_id long, near_id {kind}, near_cell int, guess double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "near_id")
-        near = storage.stored(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank).select("query_id", "near_id", "near_cell"))
-        asked = self.spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, q, strict=True)], "asked_id long, asked array<double>")
-        cells = [r["near_cell"] for r in near.select("near_cell").distinct().collect()]
-        rows = self._table("vectors", cells)
-        # the candidates are bounded by the block of queries; a planner that knows their size decides how they meet the rows
-        pairs = rows.join(near, (F.col("cell") == F.col("near_cell")) & (F.col("frame_id") == F.col("near_id"))).join(F.broadcast(asked), F.col("query_id") == F.col("asked_id"))
-        return pairs.select("query_id", "folder", "frame_id", V.dot("v", "asked").alias("score"))
+                    rows = np.flatnonzero(cell == c)
+                    for at in range(0, len(asks[int(c)]), TOGETHER):
+                        who = asks[int(c)][at : at + TOGETHER]
+                        some, score = _scored(coder, q[who], int(c), packed[rows], v[rows], frame[rows], rerank, k)
+                        take = pa.array(rows[some].ravel())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(ids[who], some.shape[1])), batch.column(0).take(take), batch.column(1).take(take), pa.array(score.ravel())], names=["query_id", "folder", "frame_id", "score"]
+                        )
+
+        kinds = dict(rows.dtypes)
+        return rows.mapInArrow(best, f"query_id long, folder {kinds['folder']}, frame_id {kinds['frame_id']}, score double")
+
+
+def _scored(coder: Residuals | Planes, q: np.ndarray, cell: int, codes: np.ndarray, v: np.ndarray, frame: np.ndarray, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of the k best of a cell's rows for each query: of those whose ``rerank`` codes are best, by exact products."""
+    if len(codes) > rerank:
+        s = coder.scores(q, cell, codes)
+        keep = np.sort(np.argpartition(s, len(codes) - rerank, axis=1)[:, len(codes) - rerank :], axis=1)
+    else:  # all are scored exactly
+        keep = np.broadcast_to(np.arange(len(codes)), (len(q), len(codes)))
+    exact = np.empty(keep.shape)
+    step = max(1, 1_000_000 // (keep.shape[1] * v.shape[1]))  # queries whose kept vectors are gathered at once
+    for a in range(0, len(q), step):
+        exact[a : a + step] = np.einsum("qd,qrd->qr", q[a : a + step], v[keep[a : a + step]])
+    first = np.lexsort((frame[keep], -exact), axis=1)[:, :k]
+    return np.take_along_axis(keep, first, axis=1), np.take_along_axis(exact, first, axis=1)

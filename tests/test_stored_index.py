@@ -92,3 +92,12 @@ def test_odd_tables(spark, tmp_path, kind):
         StoredIndex.build(spark.createDataFrame(rows + rows, schema), f"{tmp_path}/d", kind)
     with pytest.raises(ValueError):
         StoredIndex.build(spark.createDataFrame(rows, schema), f"{tmp_path}/d", "tree")
+
+
+@pytest.mark.parametrize("kind", ["ivf", "lsh"])
+def test_candidates_stay_in_their_cell(spark, tmp_path, kind):
+    """However many rows are scored exactly, k of each query and cell leave the task."""
+    x = _clustered(2_000, 2_000, 16, np.random.default_rng(2), spread=1.0)
+    index = StoredIndex.build(_frames(spark, x), f"{tmp_path}/i", kind, cells=4, code_bytes=2)
+    sent = index._search_block(np.arange(5), x[:5], 3, len(index.cells), 1_000)
+    assert 15 <= sent.count() <= 5 * 3 * len(index.cells)
