@@ -19,6 +19,8 @@ from lumenframe.storage import delete_at_exit, shared_path, stored
 MODES = ("hybrid", "vector", "semantic")
 # fixed values: other names of modes that requests may use
 MODE_NAMES = {"clip_only": "vector", "llm_enhanced": "semantic"}
+#: Frames of a block, and queries that are scored against it at once: what a task of a large batch holds.
+FRAME_BLOCK, QUERY_STEP = 16_384, 256
 STRATEGIES = ("exact_ip", "exact_l2", "hnsw", "lsh", "kmeans_cells")
 
 
@@ -81,7 +83,7 @@ def topk_by_example(frames: DataFrame, frame_id: int, k: int, **options) -> Data
     return topk(frames, vector, k, **options)
 
 
-def topk_batch(frames: DataFrame, queries: DataFrame, k: int, *, query_block: int = 4096, frame_block: int = 65_536) -> DataFrame:
+def topk_batch(frames: DataFrame, queries: DataFrame, k: int, *, query_block: int = 4096, frame_block: int = FRAME_BLOCK) -> DataFrame:
     """The k best frames of every query (``query_id, v``): ``query_id, folder, frame_id, score, rank``.
 
     Queries are a stated set and are counted.  Up to ``query_block`` of them
@@ -115,8 +117,8 @@ def _score_cells(frames: DataFrame, queries: DataFrame, k: int, q_blocks: int, f
             return pd.DataFrame({"query_id": [], "folder": [], "frame_id": [], "score": []})
         m, other, frame = tiles.unit_rows(q["v"]), tiles.unit_rows(f["v"]).T, f["frame_id"].to_numpy()
         rows, cols, scores = [], [], []
-        for at in range(0, len(m), 256):
-            for i, line in enumerate(m[at : at + 256] @ other, at):
+        for at in range(0, len(m), QUERY_STEP):
+            for i, line in enumerate(m[at : at + QUERY_STEP] @ other, at):
                 best = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k]) if len(line) > k else np.arange(len(line))
                 best = best[np.lexsort((frame[best], -line[best]))][:k]
                 rows.append(np.full(len(best), i))

@@ -138,3 +138,11 @@ def test_approximate_recall_holds_on_a_larger_table(spark):
         recall = len(true & {(r.query_id, r.frame_id) for r in found.collect()}) / len(true)
         print(name, "recall on 20,000 rows", recall)
         assert recall >= 0.9
+
+
+def test_a_large_batch_has_bounded_blocks():
+    """The scores that a task of a large batch holds at once take 64 MB at most."""
+    import inspect
+
+    block = inspect.signature(search.topk_batch).parameters["frame_block"].default
+    assert block * 256 * 8 <= 64 << 20
