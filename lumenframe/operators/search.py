@@ -316,13 +316,18 @@ def _score_kept(frames: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: in
                 continue
             frame, m = batch.column(1).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(2)))
             rows, cols, scores = [], [], []
-            for i, mark in enumerate(kept(m, batch.column(3).to_numpy() if cell else None)):
-                at = np.flatnonzero(mark)
-                s = m[at] @ q[i]
-                best = np.lexsort((frame[at], -s))[:k]
-                rows.append(np.full(len(best), i))
-                cols.append(at[best])
-                scores.append(s[best])
+            marks = kept(m, batch.column(3).to_numpy() if cell else None)
+            for at in range(0, len(q), QUERY_STEP):
+                s = np.where(marks[at : at + QUERY_STEP], q[at : at + QUERY_STEP] @ m.T, -np.inf)
+                # those as good as the kth, ties with them; the first k of each query in the order of score and id
+                kth = np.partition(s, len(m) - k, axis=1)[:, len(m) - k, None] if len(m) > k else -np.inf
+                i, c = np.nonzero((s >= kth) & marks[at : at + QUERY_STEP])
+                order = np.lexsort((frame[c], -s[i, c], i))
+                i, c = i[order], c[order]
+                first = np.arange(len(i)) - np.searchsorted(i, np.arange(len(s)))[i] < k
+                rows.append(i[first] + at)
+                cols.append(c[first])
+                scores.append(s[i[first], c[first]])
             rows, take = np.concatenate(rows), pa.array(np.concatenate(cols))
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(scores))], names=["query_id", "folder", "frame_id", "score"])
 
@@ -340,10 +345,11 @@ def kmeans_cells(frames: DataFrame, cells: int | None = None, *, sample: int = 1
 
     n = frames.count()
     cells = cells or max(2, min(1000, int(n**0.5)))
-    some = tiles.least_hashed(frames, "frame_id", sample, n)
+    # the sample's order comes from one task; it is dealt out again, so that all cores fit
+    some = tiles.least_hashed(frames, "frame_id", sample, n).repartition(frames.sparkSession.sparkContext.defaultParallelism)
     model = KMeans(k=cells, seed=seed, featuresCol="__f", predictionCol="cell").fit(some.select(array_to_vector(V.l2_normalise("v")).alias("__f")))
     coded = model.transform(frames.withColumn("__f", array_to_vector(V.l2_normalise("v")))).drop("__f")
-    return [c.tolist() for c in model.clusterCenters()], coded
+    return [c.tolist() for c in model.clusterCenters()], stored(coded)  # read by every search: rows are assigned once
 
 
 def fitted_probes(coded: DataFrame, centres: list[list[float]], k: int, *, recall: float = 0.95, sample: int = 200) -> int:

@@ -146,3 +146,17 @@ def test_a_large_batch_has_bounded_blocks():
 
     block = inspect.signature(search.topk_batch).parameters["frame_block"].default
     assert block * 256 * 8 <= 64 << 20
+
+
+def test_cells_are_fitted_by_all_cores_and_assigned_once(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    x = np.random.default_rng(9).standard_normal((400, 8))
+    frames = spark.createDataFrame([(0, i, v) for i, v in enumerate(x.tolist())], "folder long, frame_id long, v array<double>")
+    parts, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df, *a: parts.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    centres, coded = search.kmeans_cells(frames, 6)
+    assert parts == [spark.sparkContext.defaultParallelism] and len(coded.inputFiles()) > 0
+    queries = frames.where("frame_id < 300").select(F.col("frame_id").alias("query_id"), "v")
+    got = {(r.query_id, r.frame_id) for r in search.cell_topk_batch(coded, centres, queries, 5, 6).collect()}
+    assert got == {(r.query_id, r.frame_id) for r in search.topk_batch(frames, queries, 5).collect()}
